@@ -1,0 +1 @@
+"""Cohort surveys arrive as whole rounds; no operator here works on a stream."""
