@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.96
 # Standard normal 97.5 % point, only used to start the exact quantile search.
@@ -105,7 +106,10 @@ def gamma_quantile(p: float, shape: np.ndarray) -> np.ndarray:
     return x
 
 
-@F.pandas_udf("lower double, upper double")
+_LIMITS = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
+
+
+@F.pandas_udf(_LIMITS)
 def poisson_limits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Exact 95 % limits of a Poisson mean given a count; one row per stratum."""
     for counts in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundwise.functions import codes, dates
@@ -50,32 +50,50 @@ def clean_questionnaire(raw: DataFrame) -> DataFrame:
     )
 
 
-def attach_demographics(panel: DataFrame, eligibility: DataFrame, questionnaire: DataFrame) -> DataFrame:
-    """Left-join both tables by (subject, round), clean the flags, compute age.
+def join_demographics(panel: DataFrame, eligibility: DataFrame, questionnaire: DataFrame) -> DataFrame:
+    """Left-join both tables by (subject, round).
 
-    No age filter here: person-time must be computed on all rows first. Rows that
-    found no questionnaire count as not on treatment.
+    Rows that found no questionnaire count as not on treatment.
     """
     keys = [P.ID, P.ROUND]
     joined = panel.join(eligibility, keys, "left").join(questionnaire, keys, "left")
-    joined = joined.withColumn("onART", F.coalesce("onART", F.lit(0)))
-    joined = P.clean_absorbing_flag(joined, "circ", "circ_imputed")
-    joined = P.impute_between(joined, "eversex_clean", "eversex_clean_imputed")
-    joined = joined.withColumn("resident_imputed", F.col("resident"))
-    joined = P.fill_both(joined, ["sex", "birth_day", "resident_imputed"])
-    age = dates.age_at(F.col("visit_day"), F.col("birth_day"), F.col("ageyrs"))
-    return joined.withColumn("ageyrs2", age)
+    return joined.withColumns({"onART": F.coalesce("onART", F.lit(0)), "resident_imputed": F.col("resident")})
+
+
+def demographic_fills() -> dict[str, Column]:
+    """Window columns that fill the joined answers over a subject's rounds."""
+    filled = {c: P.both_ways(c) for c in ("sex", "birth_day", "resident_imputed")}
+    return {
+        "circ_imputed": P.between("circ"),
+        "eversex_clean_imputed": P.between("eversex_clean"),
+        **filled,
+    }
+
+
+def age_column() -> Column:
+    return dates.age_at(F.col("visit_day"), F.col("birth_day"), F.col("ageyrs"))
+
+
+def attach_demographics(panel: DataFrame, eligibility: DataFrame, questionnaire: DataFrame) -> DataFrame:
+    """Join both tables, clean and fill the flags, compute age.
+
+    No age filter here: person-time must be computed on all rows first.
+    """
+    joined = join_demographics(panel, eligibility, questionnaire).withColumns(demographic_fills())
+    lagged = joined.withColumn("circ_imputed_lag", P.previous("circ_imputed"))
+    return lagged.withColumns({"circ_imputed_fix": P.unless_reverted("circ_imputed"), "ageyrs2": age_column()})
 
 
 def add_bands(panel: DataFrame, age: str = "ageyrs2") -> DataFrame:
     """The three age bandings and the level code of the five-year one."""
     value = F.col(age)
     five_year = codes.band_labels(**codes.FIVE_YEAR_BANDS)
-    banded = panel.withColumns(
+    agecat = codes.band(value, **codes.FIVE_YEAR_BANDS)
+    return panel.withColumns(
         {
-            "agecat": codes.band(value, **codes.FIVE_YEAR_BANDS),
+            "agecat": agecat,
             "agecat3": codes.band(value, **codes.MODEL_BANDS),
             "age_band": codes.band(value, **codes.REPORT_BANDS),
+            "agecat_num": codes.level_code(agecat, five_year),
         }
     )
-    return banded.withColumn("agecat_num", codes.level_code(F.col("agecat"), five_year))

@@ -66,24 +66,36 @@ def complete_rounds(visits: DataFrame, id: str = ID, round: str = ROUND) -> Data
 
 
 def fill_down(col: str, id: str = ID, order: str = ROUND) -> Column:
+    """The value, else the last one before it."""
     w = _history(id, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return F.last(col, ignorenulls=True).over(w)
 
 
 def fill_up(col: str, id: str = ID, order: str = ROUND) -> Column:
-    w = _history(id, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return F.first(col, ignorenulls=True).over(w)
+    """The value, else the next one after it (one pass, unlike a shrinking frame)."""
+    following = F.expr(f"lead(`{col}`) IGNORE NULLS OVER (PARTITION BY `{id}` ORDER BY `{order}`)")
+    return F.coalesce(F.col(col), following)
+
+
+def between(col: str, id: str = ID, order: str = ROUND) -> Column:
+    """The value, else the one its neighbours before and after agree on."""
+    down, up = fill_down(col, id, order), fill_up(col, id, order)
+    return F.when(down == up, down)
+
+
+def both_ways(col: str, id: str = ID, order: str = ROUND) -> Column:
+    """The value, else the last one before it, else the next one after it."""
+    return F.coalesce(fill_down(col, id, order), fill_up(col, id, order))
 
 
 def fill_both(df: DataFrame, cols: list[str], id: str = ID, order: str = ROUND) -> DataFrame:
     """Carry values forward, then backward into what is still missing."""
-    return df.withColumns({c: F.coalesce(fill_down(c, id, order), fill_up(c, id, order)) for c in cols})
+    return df.withColumns({c: both_ways(c, id, order) for c in cols})
 
 
 def impute_between(df: DataFrame, col: str, out: str, id: str = ID, order: str = ROUND) -> DataFrame:
     """Fill a gap only where the neighbours before and after it agree."""
-    down, up = fill_down(col, id, order), fill_up(col, id, order)
-    return df.withColumn(out, F.when(down == up, down))
+    return df.withColumn(out, between(col, id, order))
 
 
 def round_gaps(df: DataFrame, id: str = ID, round: str = ROUND) -> DataFrame:
@@ -165,17 +177,26 @@ def draw_event_round(subjects: DataFrame, seed: int, id: str = ID) -> DataFrame:
     return usable.withColumn("seroconv_imp", F.when(F.col("cohortclass") == CONVERTER, drawn_round(id, seed)))
 
 
-def annotate_subjects(panel: DataFrame, seed: int, id: str = ID, round: str = ROUND, status: str = "hivstatus_imputed") -> DataFrame:
-    """Class, bounds and drawn round on every row of the panel, without a join.
+def subject_bounds_over(id: str = ID, round: str = ROUND, status: str = "hivstatus_imputed") -> dict[str, Column]:
+    """First / last rounds of a subject as window columns, for use on the panel itself."""
+    whole = _history(id, round).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return {name: column.over(whole) for name, column in _first_last(status, round).items()}
+
+
+def label_subjects(panel: DataFrame, seed: int, id: str = ID) -> DataFrame:
+    """Class and drawn round on every row, from the bounds on it, without a join.
 
     Subjects with bad bounds stay in the panel with NULL in all of these columns.
     """
-    whole = Window.partitionBy(id).orderBy(round).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bounded = panel.withColumns({n: c.over(whole) for n, c in _first_last(status, round).items()})
-    bounded = bounded.withColumn("_bad", has_bad_bounds()).withColumn("cohortclass", subject_class())
-    bounded = bounded.withColumn("seroconv_imp", F.when(F.col("cohortclass") == CONVERTER, drawn_round(id, seed)))
-    hidden = ["first_neg", "last_neg", "first_pos", "cohortclass", "seroconv_imp"]
-    return bounded.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in hidden}).drop("_bad")
+    good = ~has_bad_bounds()
+    named = panel.withColumns({"cohortclass": F.when(good, subject_class()), "_draw": F.when(good, drawn_round(id, seed))})
+    kept = {c: F.when(good, F.col(c)) for c in ("first_neg", "last_neg", "first_pos")}
+    return named.withColumns({"seroconv_imp": F.when(F.col("cohortclass") == CONVERTER, F.col("_draw")), **kept}).drop("_draw")
+
+
+def annotate_subjects(panel: DataFrame, seed: int, id: str = ID, round: str = ROUND, status: str = "hivstatus_imputed") -> DataFrame:
+    """Bounds, class and drawn round of the subject on every row of the panel."""
+    return label_subjects(panel.withColumns(subject_bounds_over(id, round, status)), seed, id)
 
 
 def code_events(panel: DataFrame, round: str = ROUND, status: str = "hivstatus_imputed") -> DataFrame:
@@ -212,7 +233,16 @@ def clean_absorbing_flag(df: DataFrame, col: str, out: str, id: str = ID, order:
     ``{out}_lag``, ``{out}_fix`` (filled, unreliable subjects NULL).
     """
     filled = impute_between(df, col, out, id, order)
-    filled = filled.withColumn(f"{out}_lag", F.lag(out).over(_history(id, order)))
-    backward = F.when((F.col(f"{out}_lag") == 1) & (F.col(out) == 0), 1).otherwise(0)
+    lagged = filled.withColumn(f"{out}_lag", previous(out, id, order))
+    return lagged.withColumn(f"{out}_fix", unless_reverted(out, id, order))
+
+
+def previous(col: str, id: str = ID, order: str = ROUND) -> Column:
+    return F.lag(col).over(_history(id, order))
+
+
+def unless_reverted(col: str, id: str = ID, order: str = ROUND) -> Column:
+    """The filled flag, NULL for subjects whose flag went from 1 (``{col}_lag``) to 0."""
+    backward = F.when((F.col(f"{col}_lag") == 1) & (F.col(col) == 0), 1).otherwise(0)
     whole = _history(id, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return filled.withColumn(f"{out}_fix", F.when(F.max(backward).over(whole) == 0, F.col(out)))
+    return F.when(F.max(backward).over(whole) == 0, F.col(col))

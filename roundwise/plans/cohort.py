@@ -36,12 +36,20 @@ def event_panel(status_raw: DataFrame, settings: StudySettings) -> DataFrame:
 
 
 def analysis_panel(status_raw: DataFrame, eligibility_raw: DataFrame, questionnaire_raw: DataFrame, settings: StudySettings) -> DataFrame:
-    """The panel all estimates start from. The age filter comes after person-time."""
-    panel = D.attach_demographics(
-        event_panel(status_raw, settings),
-        D.clean_eligibility(eligibility_raw),
-        D.clean_questionnaire(questionnaire_raw),
-    )
+    """The panel all estimates start from.
+
+    Same result as ``attach_demographics`` on ``event_panel``, with the steps ordered
+    so that the tables meet before any window: everything that runs over a subject's
+    rounds then shares one partitioning and one sort, and the windows that do not build
+    on each other are evaluated together. The age filter comes after person-time.
+    """
+    visits = D.clean_status_visits(status_raw, settings.first_year)
+    panel = P.fill_visit_day(P.complete_rounds(visits), P.mean_day_by_round(visits))
+    panel = D.join_demographics(panel, D.clean_eligibility(eligibility_raw), D.clean_questionnaire(questionnaire_raw))
+    panel = panel.withColumns({"hivstatus_imputed": P.between("hivstatus"), **D.demographic_fills()})
+    panel = panel.withColumns({**P.subject_bounds_over(), "circ_imputed_lag": P.previous("circ_imputed")})
+    panel = panel.withColumns({"circ_imputed_fix": P.unless_reverted("circ_imputed"), "ageyrs2": D.age_column()})
+    panel = P.person_time(P.code_events(P.label_subjects(panel, settings.seed)))
     panel = panel.where(F.col("ageyrs2").between(settings.min_age, settings.max_age))
     if settings.residents_only:
         panel = panel.where(F.col("resident_imputed") == 1)

@@ -9,18 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roundwise.operators.panel import one_row_per_round
+from roundwise.functions import codes
+from roundwise.operators.curves import running_total
+from roundwise.operators.quantiles import exact_quantiles
 from roundwise.plans.cohort import StudySettings
 
 SETTINGS = StudySettings(seed=1984, first_year=1995)
 
 
+# Only the columns used; naming them spares a schema-inference job per read.
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "lineitem": "l_quantity double, l_extendedprice double, l_discount double, l_tax double",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _cents(price: str) -> Column:
-    return F.round(F.col(price) * 100).cast("bigint")
+# The codes of the order table.
+_STATES = ["F", "O", "P"]
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_KEY_SPACE = 1 << 44  # order keys stay below this
 
 
 def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,34 +40,38 @@ def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     order number at that order.
 
     Orders are summed per quarter before the running sums, so a customer with very
-    many orders costs the window no more rows than there are quarters.
+    many orders costs the window no more rows than there are quarters. All aggregation
+    buffers are plain numbers, which keeps the aggregation hash-based.
     """
+    state, priority = codes.level_code(F.col("o_orderstatus"), _STATES), codes.level_code(F.col("o_orderpriority"), _PRIORITIES)
     orders = read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("study_id"),
+        F.col("o_custkey").alias("id"),
         ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate")).alias("rnd"),
-        "o_orderdate",
-        "o_orderkey",
-        "o_orderstatus",
-        "o_orderpriority",
-        _cents("o_totalprice").alias("cents"),
+        (F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * _KEY_SPACE + F.col("o_orderkey")).alias("place"),
+        (state * 8 + priority).alias("code"),
+        F.floor(F.col("o_totalprice") * 100 + 0.5).alias("cents"),
     )
-    first = F.min(F.struct("o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority", "cents"))
-    quarters = orders.groupBy("study_id", "rnd").agg(
-        first.alias("first"), F.sum("cents").alias("total"), F.count(F.lit(1)).alias("n_orders")
+    quarters = orders.groupBy("id", "rnd").agg(
+        F.min("place").alias("place"),
+        F.min_by("code", "place").alias("code"),
+        F.min_by("cents", "place").alias("cents"),
+        F.sum("cents").alias("total"),
+        F.count(F.lit(1)).alias("n_orders"),
     )
+    quarters = quarters.withColumn("study_id", F.col("id").cast("string"))
     before = Window.partitionBy("study_id").orderBy("rnd").rowsBetween(Window.unboundedPreceding, -1)
     earlier_cents = F.coalesce(F.sum("total").over(before), F.lit(0))
     earlier_orders = F.coalesce(F.sum("n_orders").over(before), F.lit(0))
     return quarters.select(
         "study_id",
         "rnd",
-        F.format_string("R%03d", "rnd").alias("round"),
-        F.col("study_id").cast("bigint").alias("id"),
-        F.col("first.o_orderdate").cast("date").alias("visit_date"),
-        F.col("first.o_orderkey").alias("key"),
-        F.col("first.o_orderstatus").alias("state"),
-        F.col("first.o_orderpriority").alias("priority"),
-        (earlier_cents + F.col("first.cents")).alias("cum"),
+        F.concat(F.lit("R"), F.lpad(F.col("rnd").cast("string"), 3, "0")).alias("round"),
+        "id",
+        F.date_from_unix_date(F.floor(F.col("place") / _KEY_SPACE).cast("int")).alias("visit_date"),
+        F.pmod(F.col("place"), F.lit(_KEY_SPACE)).alias("key"),
+        codes.recode(F.floor(F.col("code") / 8), {i + 1: v for i, v in enumerate(_STATES)}, keep_other=False).alias("state"),
+        codes.recode(F.col("code") % 8, {i + 1: v for i, v in enumerate(_PRIORITIES)}, keep_other=False).alias("priority"),
+        (earlier_cents + F.col("cents")).alias("cum"),
         (earlier_orders + 1).alias("ordinal"),
     )
 
@@ -117,3 +133,51 @@ def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
         ever.alias("eversex"),
         first_age.alias("ag1stsex"),
     )
+
+
+# --- scenario curves and parameters -----------------------------------------------
+
+BASELINE_SCENARIO = "BUILDING"
+CURVE_KEYS = ["scenario", "gender", "age_group"]
+
+
+def scenario_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders labelled with scenario (market segment), gender, age group and month."""
+    birth = F.date_add(F.lit("1945-01-01").cast("date"), ((F.col("c_custkey") * 37) % 14000).cast("int"))
+    age = F.floor(F.date_diff(F.lit("1998-01-01").cast("date"), birth) / 365.25)
+    people = read(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.col("c_mktsegment").alias("scenario"),
+        F.when(F.col("c_nationkey") % 2 == 0, "Women").otherwise("Men").alias("gender"),
+        F.coalesce(codes.band(age, **codes.REPORT_BANDS), F.lit("50+")).alias("age_group"),
+    )
+    orders = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("month"),
+        F.col("o_totalprice").alias("price"),
+    )
+    return orders.join(people, "c_custkey")
+
+
+def scenario_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, 2.5 % and 97.5 % quantile and running mean total of each curve by month."""
+    orders = scenario_orders(spark, sf_dir)
+    keys = [*CURVE_KEYS, "month"]
+    limits = exact_quantiles(orders, keys, "price", [0.025, 0.975])
+    limits = limits.groupBy(*keys).agg(
+        F.max(F.when(F.col("prob") == 0.025, F.col("value"))).alias("inc_lower"),
+        F.max(F.when(F.col("prob") == 0.975, F.col("value"))).alias("inc_upper"),
+    )
+    means = orders.groupBy(*keys).agg(F.avg("price").alias("inc_mean"))
+    curves = means.join(limits, keys)
+    return running_total(curves, CURVE_KEYS, "month", "inc_mean", "cuminc_mean")
+
+
+def parameter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide numeric table; the discount enters as its complement."""
+    return read(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_extendedprice", (1 - F.col("l_discount")).alias("l_discount"), "l_tax"
+    )
+
+
+PARAMETERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
