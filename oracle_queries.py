@@ -30,8 +30,8 @@ def oracle(name: str, needs: str, body: str) -> None:
     ORACLES[name] = f"WITH {heads}\n{body.strip()}" if heads else body.strip()
 
 
-def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
+def r(expr: str, name: str | None = None) -> str:
+    return f"round({expr}, 6) + 0.0 AS {name or expr}"
 
 
 def i(expr: str, name: str) -> str:
@@ -488,7 +488,7 @@ JOIN effective e ON e."Year" = y."Year" AND e."AgeBin" = p.agecat AND e."Gender"
 AGE98 = "floor((DATE '1998-01-01' - (DATE '1945-01-01' + CAST((c_custkey * 37) % 14000 AS INTEGER))) / 365.25)"
 part("scenario_orders", "", f"""
 SELECT c_mktsegment AS scenario, CASE WHEN c_nationkey % 2 = 0 THEN 'Women' ELSE 'Men' END AS gender,
-  coalesce({band_case('age', REPORT)}, '50+') AS age_group, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS month, o_totalprice AS price
+  coalesce({band_case('age', REPORT)}, '50+') AS age_group, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS month, o_totalprice * 100 / 299993 AS price
 FROM orders JOIN (SELECT *, {AGE98} AS age FROM customer) ON c_custkey = o_custkey""")
 part("curves", "scenario_orders", """
 SELECT *, sum(inc_mean) OVER (PARTITION BY scenario, gender, age_group ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cuminc_mean
@@ -496,8 +496,8 @@ FROM (SELECT scenario, gender, age_group, month, avg(price) AS inc_mean, quantil
   FROM scenario_orders GROUP BY 1, 2, 3, 4)""")
 oracle("scenario_curves", "curves", f"SELECT scenario, gender, age_group, month, {r('inc_mean')}, {r('inc_lower')}, {r('inc_upper')}, {r('cuminc_mean')} FROM curves")
 oracle("result_collection", "curves", f"""
-SELECT scenario, {i('count(*)', 'n_rows')}, round(sum(inc_mean), 2) AS total, 'inc_age_gender' AS table_name FROM curves GROUP BY scenario
-UNION ALL SELECT scenario, count(*), round(sum(cuminc_mean), 2) AS total, 'inf_averted_age_gender' FROM curves GROUP BY scenario""")
+SELECT scenario, {i('count(*)', 'n_rows')}, {r('sum(inc_mean)', 'total')}, 'inc_age_gender' AS table_name FROM curves GROUP BY scenario
+UNION ALL SELECT scenario, count(*), {r('sum(cuminc_mean)', 'total')}, 'inf_averted_age_gender' FROM curves GROUP BY scenario""")
 
 
 def loess(source: str, keys: list[str], x: str, ys: list[str], span: float, names: list[str]) -> str:
@@ -509,7 +509,7 @@ def loess(source: str, keys: list[str], x: str, ys: list[str], span: float, name
     tops = ", ".join(f"sum(w * y{n} * power(u, {k})) AS t{k}_{n}" for n in range(len(ys)) for k in range(3))
     values = ", ".join(f"b.{y} AS y{n}" for n, y in enumerate(ys))
     fits = ", ".join(
-        r(f"CASE WHEN det > 1e-12 * a0 * a0 * a0 THEN (t0_{n} * (a2 * a4 - a3 * a3) + t1_{n} * (a2 * a3 - a1 * a4) + t2_{n} * (a1 * a3 - a2 * a2)) / det END", name, 3)
+        r(f"CASE WHEN det > 1e-12 * a0 * a0 * a0 THEN (t0_{n} * (a2 * a4 - a3 * a3) + t1_{n} * (a2 * a3 - a1 * a4) + t2_{n} * (a1 * a3 - a2 * a2)) / det END", name)
         for n, name in enumerate(names)
     )
     return f"""
@@ -541,9 +541,9 @@ YOUNG = "gender = 'Women' AND age_group IN ('15-24', '25-34')"
 oracle("stack_measures", "smoothed averted", f"""
 SELECT age_group, gender, month, scenario, 'incidence' AS measure, loess_inc_mean AS value FROM smoothed WHERE {YOUNG} AND month > 12 AND loess_inc_mean IS NOT NULL
 UNION ALL SELECT age_group, gender, month, scenario, 'cum_incidence', {r('100 * delta_inc_mean_pct', 'value')} FROM averted WHERE {YOUNG} AND delta_inc_mean_pct IS NOT NULL""")
-part("unrounded", "curves", PARTS["smoothed"][1].replace("round(", "(").replace(", 3) + 0.0", ")"))
+part("unrounded", "curves", PARTS["smoothed"][1].replace("round(", "(").replace(", 6) + 0.0", ")"))
 oracle("compare_to_data", "unrounded scenario_orders", f"""
-SELECT m.gender, m.age_group, m.month, {r('m.loess_inc_mean', 'loess_inc_mean', 3)}, {r('o.observed', 'observed', 3)}, {r('m.loess_inc_mean - o.observed', 'difference', 3)}
+SELECT m.gender, m.age_group, m.month, {r('m.loess_inc_mean', 'loess_inc_mean')}, {r('o.observed', 'observed')}, {r('m.loess_inc_mean - o.observed', 'difference')}
 FROM unrounded m JOIN (SELECT gender, age_group, month, avg(price) AS observed FROM scenario_orders GROUP BY 1, 2, 3) o
   ON o.gender = m.gender AND o.age_group = m.age_group AND o.month = m.month WHERE m.scenario = 'BUILDING'""")
 part("parameters", "", "\nUNION ALL ".join(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundwise.functions import codes
+from roundwise.functions.dates import year_of
 from roundwise.functions.intervals import interval_text, poisson_limits, wald
 from roundwise.operators.panel import ID
 
@@ -41,6 +42,55 @@ def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.unpivot([], columns, "column", "n_missing")
 
 
+# --- cells -------------------------------------------------------------------------
+
+
+def cell_table(df: DataFrame) -> DataFrame:
+    """Sums per sex, round, year and age that rates, trends and counts roll up from.
+
+    Bounded by sexes x rounds x years x ages however many subjects there are, so it is
+    kept (and recomputed if an executor is lost) while several tables are built on it.
+    ``fit_*`` leaves out rows without positive person-time, which no model can use.
+    """
+    timed, fit = F.col("py").isNotNull(), F.col("py") > 0
+    status = F.col("hivstatus_imputed")
+    cells = df.groupBy("sex", "round", "year", "ageyrs2", "agecat", "agecat3").agg(
+        F.sum("visit_day").alias("day_sum"),
+        F.count("visit_day").alias("day_n"),
+        F.sum("py").alias("pysum"),
+        F.sum(F.when(timed, F.col("hivinc"))).alias("events"),
+        F.sum(F.when(fit, F.col("py"))).alias("fit_py"),
+        F.sum(F.when(fit, F.col("hivinc"))).alias("fit_events"),
+        F.count(status).alias("n_status"),
+        F.count_if(status == 1).alias("n_positive"),
+    )
+    return cells.persist()
+
+
+def cell_person_time(cells: DataFrame, strata: list[str], known: bool = False) -> DataFrame:
+    """Crude events and person-years per stratum; ``known`` drops missing strata."""
+    timed = cells.where(F.col("pysum").isNotNull())
+    return (timed.dropna(subset=strata) if known else timed).groupBy(*strata).agg(F.sum("pysum").alias("pysum"), F.sum("events").alias("events"))
+
+
+def cell_fit_time(cells: DataFrame, strata: list[str]) -> DataFrame:
+    """Events and person-years for fitting, strata known."""
+    usable = cells.where(F.col("fit_py").isNotNull()).dropna(subset=strata)
+    return usable.groupBy(*strata).agg(F.sum("fit_py").alias("pysum"), F.sum("fit_events").alias("events"))
+
+
+def cell_status(cells: DataFrame, strata: list[str]) -> DataFrame:
+    """Known and positive statuses per stratum, strata known."""
+    usable = cells.where(F.col("n_status") > 0).dropna(subset=strata)
+    return usable.groupBy(*strata).agg(F.sum("n_status").alias("n"), F.sum("n_positive").alias("positives"))
+
+
+def cell_years(cells: DataFrame) -> DataFrame:
+    """Calendar year of each round's mean visit day."""
+    means = cells.groupBy("round").agg((F.sum("day_sum") / F.sum("day_n")).alias("mean_day"))
+    return means.select("round", year_of(F.col("mean_day")).alias("Year"))
+
+
 # --- person-time and rates --------------------------------------------------------
 
 
@@ -100,22 +150,37 @@ def in_listed_order(column: str, order: Sequence[str]) -> Column:
 # --- proportions ------------------------------------------------------------------
 
 
+def _flag_counts(flag: str, null_policy: str) -> tuple[Column, Column]:
+    one = F.col(flag) == 1
+    if null_policy == "ignore":
+        return F.count(flag), F.count_if(one)
+    if null_policy == "count":
+        return F.count(F.lit(1)), F.count_if(one | F.col(flag).isNull())
+    raise ValueError(f"unknown null policy {null_policy!r}")
+
+
 def proportion_table(df: DataFrame, flag: str, strata: list[str], null_policy: str = "ignore") -> DataFrame:
     """Proportion of a 0/1 flag with Wald interval.
 
     ``null_policy="count"`` takes a missing flag as a one and every row into the
     denominator, as some published tables do.
     """
-    one = F.col(flag) == 1
-    if null_policy == "ignore":
-        n, positives = F.count(flag), F.count_if(one)
-    elif null_policy == "count":
-        n, positives = F.count(F.lit(1)), F.count_if(one | F.col(flag).isNull())
-    else:
-        raise ValueError(f"unknown null policy {null_policy!r}")
+    n, positives = _flag_counts(flag, null_policy)
     return with_wald(df.groupBy(*strata).agg(n.alias("n"), positives.alias("positives")))
 
 
+def proportion_tables(df: DataFrame, flags: Mapping[str, tuple[str, str]], strata: list[str], tag: str) -> DataFrame:
+    """Several proportions over the same strata in one pass, stacked under a tag.
+
+    ``flags`` maps each tag value to (flag column, null policy).
+    """
+    pieces = []
+    for name, (flag, policy) in flags.items():
+        n, positives = _flag_counts(flag, policy)
+        pieces.append(F.struct(F.lit(name).alias(tag), n.alias("n"), positives.alias("positives")))
+    return with_wald(df.groupBy(*strata).agg(F.array(*pieces).alias("_p")).select(*strata, F.inline("_p")))
+
+
 def with_wald(cells: DataFrame) -> DataFrame:
     p = cells.withColumn("prop", F.try_divide(F.col("positives"), F.col("n")))
     se, low, high = wald(F.col("prop"), F.col("n"))
@@ -166,17 +231,16 @@ def wide_counts(df: DataFrame, row: str, column: str, values: Sequence[str], id:
     return counts.groupBy(row).pivot(column, list(values)).agg(F.first("n_subjects"))
 
 
-def effective_counts(df: DataFrame, status: str = "hivstatus_imputed") -> DataFrame:
+def effective_counts(cells: DataFrame) -> DataFrame:
     """Rows with a known status by sex, year and five-year band, zero-filled.
 
-    Years run from the first to the last one seen; labels read Female / Male.
+    Starts from ``cell_table``. Years run from the first to the last one with a known
+    status; labels read Female / Male.
     """
-    known = df.where(codes.is_in(F.col(status), 0, 1) & F.col("year").isNotNull())
-    counts = known.groupBy("sex", "year", "agecat").agg(F.count(F.lit(1)).alias("_n"))
-    years = counts.agg(F.sequence(F.min("year"), F.max("year")).alias("_years"))
-    bands = codes.band_labels(**codes.FIVE_YEAR_BANDS)
-    grid = years.select(F.explode("_years").alias("year"))
-    for name, values in (("sex", ["F", "M"]), ("agecat", bands)):
+    known = cells.where((F.col("n_status") > 0) & F.col("year").isNotNull())
+    counts = known.groupBy("sex", "year", "agecat").agg(F.sum("n_status").alias("_n"))
+    grid = counts.agg(F.sequence(F.min("year"), F.max("year")).alias("_y")).select(F.explode("_y").alias("year"))
+    for name, values in (("sex", ["F", "M"]), ("agecat", codes.band_labels(**codes.FIVE_YEAR_BANDS))):
         grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
     filled = grid.join(counts, ["sex", "year", "agecat"], "left")
     return filled.select(

@@ -14,6 +14,7 @@ from roundwise.operators import demographics as D
 from roundwise.operators import estimates as E
 from roundwise.operators import panel as P
 from roundwise.operators import quantiles as Q
+from roundwise.operators import splines as S
 from roundwise.operators import trends as M
 from roundwise.plans import cohort as C
 from roundwise.plans import fixtures as X
@@ -59,6 +60,10 @@ def _panel(spark, d):
     return C.analysis_panel(X.status_visits(spark, d), X.eligibility(spark, d), X.questionnaire(spark, d), X.SETTINGS)
 
 
+def _cells(spark, d):
+    return E.cell_table(_panel(spark, d))
+
+
 # --- sources, sinks ----------------------------------------------------------------
 
 
@@ -105,7 +110,7 @@ def result_collection(spark, d):
     folder = sinks.write_collection(frames, shared_folder(spark))
     loaded = readers.read_collection(spark, folder, list(frames))
     parts = [
-        loaded[n].groupBy("scenario").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(loaded[n].columns[-1]), 2).alias("total")).withColumn("table_name", F.lit(n))
+        loaded[n].groupBy("scenario").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(loaded[n].columns[-1]).alias("total")).withColumn("table_name", F.lit(n))
         for n in frames
     ]
     return parts[0].unionByName(parts[1])
@@ -338,7 +343,7 @@ def column_proportions(spark, d):
 
 @query
 def effective_count_long(spark, d):
-    return E.effective_counts(_panel(spark, d))
+    return E.effective_counts(_cells(spark, d))
 
 
 @query
@@ -419,12 +424,11 @@ def crude_cases_py_agecat3(spark, d):
 @query
 def crude_rates(spark, d):
     """Crude rate overall, by sex, and by sex and model band, stacked."""
-    panel = _panel(spark, d)
-    parts = [E.crude_rate(panel, strata) for strata in ([], ["sex"], ["sex", "agecat3"])]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part.dropna(), allowMissingColumns=True)
-    return stacked
+    cells = _cells(spark, d)
+    stacked = E.cell_person_time(cells, [])
+    for strata in (["sex"], ["sex", "agecat3"]):
+        stacked = stacked.unionByName(E.cell_person_time(cells, strata, known=True), allowMissingColumns=True)
+    return stacked.withColumn("rate", F.try_divide(100 * F.col("events"), F.col("pysum")))
 
 
 @query
@@ -468,12 +472,8 @@ def coverage_circumcised(spark, d):
 
 @query
 def eversex_both_null_policies(spark, d):
-    panel = _panel(spark, d)
-    parts = [
-        E.proportion_table(panel, "eversex_clean_imputed", ["agecat", "round", "sex"], policy).withColumn("null_policy", F.lit(policy))
-        for policy in ("ignore", "count")
-    ]
-    return parts[0].unionByName(parts[1])
+    flag = "eversex_clean_imputed"
+    return E.proportion_tables(_panel(spark, d), {p: (flag, p) for p in ("ignore", "count")}, ["agecat", "round", "sex"], "null_policy")
 
 
 @query
@@ -490,28 +490,22 @@ def median_first_age(spark, d):
 # --- trends ------------------------------------------------------------------------
 
 
-def _round_years(panel):
-    return P.mean_day_by_round(panel).select("round", F.col("year").alias("Year"))
-
-
 @query
 def rate_trend_factor(spark, d):
     """Rate per 100 person-years by round: overall, by sex, by sex and model band."""
-    cells = M.rate_cells(_panel(spark, d), ["sex", "agecat3", "round"])
-    overall = cells.groupBy("round").agg(F.sum("pysum").alias("pysum"), F.sum("events").alias("events"))
-    by_sex = cells.where("sex is not null").groupBy("sex", "round").agg(F.sum("pysum").alias("pysum"), F.sum("events").alias("events"))
-    by_band = cells.where("sex is not null and agecat3 is not null")
-    stacked = by_band.unionByName(by_sex, allowMissingColumns=True).unionByName(overall, allowMissingColumns=True)
+    cells = _cells(spark, d)
+    stacked = E.cell_fit_time(cells, ["round"])
+    for strata in (["sex", "round"], ["sex", "agecat3", "round"]):
+        stacked = stacked.unionByName(E.cell_fit_time(cells, strata), allowMissingColumns=True)
     return M.rate_factor(stacked, per=100.0)
 
 
 @query
 def rate_trend_with_year(spark, d):
     """Factor rates by sex and model band with calendar year and crude counts."""
-    panel = _panel(spark, d)
-    fitted = M.rate_factor(M.rate_cells(panel, ["sex", "agecat3", "round"]).dropna(), per=100.0).drop("pysum", "events")
-    crude = E.crude_person_time(panel, ["sex", "agecat3", "round"])
-    joined = fitted.join(_round_years(panel), "round").join(crude, ["sex", "agecat3", "round"])
+    cells, keys = _cells(spark, d), ["sex", "agecat3", "round"]
+    fitted = M.rate_factor(E.cell_fit_time(cells, keys), per=100.0).drop("pysum", "events")
+    joined = fitted.join(E.cell_years(cells), "round").join(E.cell_person_time(cells, keys), keys)
     return joined.select("Year", "round", codes.recode(F.col("sex"), codes.SEX_PLURAL).alias("sex"), F.col("agecat3").alias("age"), "pysum", "events", "inc", "lb", "ub")
 
 
@@ -564,18 +558,17 @@ def baseline_ratio(spark, d):
 @query
 def new_infections(spark, d):
     """Rate by sex, model band and round times the person-years at each age."""
-    panel = _panel(spark, d)
-    rates = M.rate_factor(M.rate_cells(panel, ["sex", "agecat3", "round"]).dropna()).select("sex", "agecat3", "round", "inc", "lb", "ub")
-    years = E.crude_person_time(panel, ["sex", "agecat3", "round", "ageyrs2"]).drop("events")
-    return M.new_infections(rates, years, ["sex", "agecat3", "round"])
+    cells, keys = _cells(spark, d), ["sex", "agecat3", "round"]
+    rates = M.rate_factor(E.cell_fit_time(cells, keys)).select(*keys, "inc", "lb", "ub")
+    return M.new_infections(rates, E.cell_person_time(cells, [*keys, "ageyrs2"]).drop("events"), keys)
 
 
 @query
 def ingest_form(spark, d):
-    panel = _panel(spark, d)
-    preds = M.predict_lines(_prevalence_lines(panel), 6, 19, centre=CENTRE)
-    preds = preds.join(P.mean_day_by_round(panel).select("round", "year"), "round")
-    return M.ingest_form(preds, E.effective_counts(panel))
+    cells = _cells(spark, d)
+    lines = M.logit_lines(E.cell_status(cells, ["sex", "agecat", "round"]), ["sex", "agecat"], centre=CENTRE)
+    preds = M.predict_lines(lines, 6, 19, centre=CENTRE).join(E.cell_years(cells).withColumnRenamed("Year", "year"), "round")
+    return M.ingest_form(preds, E.effective_counts(cells))
 
 
 # --- scenarios ---------------------------------------------------------------------
@@ -594,7 +587,7 @@ def _smoothed(spark, d):
 @query
 def smooth_curves(spark, d):
     """Smoothed mean, lower and upper curve; the later months are cut off afterwards."""
-    return rounded(_smoothed(spark, d).where("month > 12"), 3)
+    return _smoothed(spark, d).where("month > 12")
 
 
 @query
@@ -605,7 +598,7 @@ def smooth_coverage(spark, d):
     )
     raw = F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.col("k") / F.col("n"))
     cover = cells.withColumn("artcov_mean", codes.nan_to(raw, 0.0))
-    return rounded(K.smooth_curves(cover, ["sex"], "round", ["artcov_mean"], span=0.5), 3)
+    return K.smooth_curves(cover, ["sex"], "round", ["artcov_mean"], span=0.5)
 
 
 @query
@@ -617,9 +610,10 @@ def infections_averted(spark, d):
 def stack_measures(spark, d):
     """Smoothed curves and averted shares of women under 35 as one long table."""
     women = (F.col("gender") == "Women") & F.col("age_group").isin("15-24", "25-34")
-    curves = rounded(_smoothed(spark, d).where(women & (F.col("month") > 12)), 3)
-    averted = K.infections_averted(X.scenario_curves(spark, d), X.BASELINE_SCENARIO, ["gender", "age_group", "month"]).where(women)
-    return K.stack_measures(curves, averted, ["age_group", "gender", "month"])
+    curves = X.scenario_curves(spark, d).persist()
+    smooth = K.smooth_curves(curves.where(women), X.CURVE_KEYS, "month", ["inc_mean"], prefix="loess_").where("month > 12")
+    averted = K.infections_averted(curves, X.BASELINE_SCENARIO, ["gender", "age_group", "month"]).where(women)
+    return K.stack_measures(smooth, averted, ["age_group", "gender", "month"])
 
 
 @query
@@ -628,7 +622,7 @@ def compare_to_data(spark, d):
     model = _smoothed(spark, d).where(F.col("scenario") == X.BASELINE_SCENARIO)
     observed = X.scenario_orders(spark, d).groupBy("gender", "age_group", "month").agg(F.avg("price").alias("observed"))
     joined = K.compare_to_data(model, observed, ["gender", "age_group", "month"], "loess_inc_mean", "observed")
-    return rounded(joined.select("gender", "age_group", "month", "loess_inc_mean", "observed", "difference"), 3)
+    return joined.select("gender", "age_group", "month", "loess_inc_mean", "observed", "difference")
 
 
 @query
@@ -666,14 +660,15 @@ def label_bands(spark, d):
 @query
 def combine_indicators(spark, d):
     """Circumcision, ever-sex and treatment tables under one layout, in order."""
-    panel = _panel(spark, d)
-    men = panel.where(F.col("sex") == "M")
-    shown = [F.col("agecat"), F.col("prop").alias("prob"), "lb", "ub"]
-    vmmc = E.proportion_table(men, "circ_imputed_fix", ["year", "sex", "agecat"]).select("year", F.lit("Male").alias("strata"), *shown)
-    young = panel.where(F.col("agecat").isin(*FIVE_YEAR[:2]))
-    ever = E.proportion_table(young, "eversex_clean_imputed", ["year", "sex", "agecat"]).select("year", F.col("sex").alias("strata"), *shown)
-    art = _onart(panel).select("year", F.col("sex").alias("strata"), *shown)
-    return K.combine_indicators({"vmmc": vmmc, "eversex": ever, "art": art}).orderBy("year", "strata", "agecat", "source")
+    men = F.when(F.col("sex") == "M", F.col("circ_imputed_fix"))
+    young = F.when(F.col("agecat").isin(*FIVE_YEAR[:2]), F.col("eversex_clean_imputed"))
+    treated = F.when(F.col("hivstatus_imputed") == 1, F.col("onART"))
+    flags = {"vmmc": men, "eversex": young, "art": treated}
+    panel = _panel(spark, d).withColumns({f"_{n}": c for n, c in flags.items()})
+    tables = E.proportion_tables(panel, {n: (f"_{n}", "ignore") for n in flags}, ["year", "sex", "agecat"], "source").persist()
+    shown = ["year", F.col("sex").alias("strata"), "agecat", F.col("prop").alias("prob"), "lb", "ub"]
+    frames = {n: tables.where(F.col("source") == n).select(*shown) for n in flags}
+    return K.combine_indicators(frames).orderBy("year", "strata", "agecat", "source")
 
 
 @query
@@ -681,3 +676,88 @@ def top_rows(spark, d):
     """The six cells with the most events, latest round first among equals."""
     table = E.crude_person_time(_panel(spark, d), ["sex", "round", "agecat"]).dropna()
     return table.orderBy(F.desc("events"), F.desc("round"), "sex", "agecat").limit(6)
+
+
+# --- smoothed trends ---------------------------------------------------------------
+
+
+@query
+def rate_spline_round(spark, d):
+    """Smoothed rate per 100 person-years by round: overall, by sex, by sex and band."""
+    cells = _cells(spark, d)
+    stacked = E.cell_fit_time(cells, ["sex", "agecat3", "round"])
+    for strata in (["sex", "round"], ["round"]):
+        stacked = stacked.unionByName(E.cell_fit_time(cells, strata), allowMissingColumns=True)
+    return S.rate_smooth(stacked, ["sex", "agecat3"], "curve", per=100.0)
+
+
+def _rate_surface(cells):
+    by_age = E.cell_fit_time(cells, ["sex", "round", "ageyrs2"]).withColumnRenamed("ageyrs2", "age")
+    return S.rate_smooth(by_age, ["sex"], "surface").withColumnRenamed("age", "ageyrs2")
+
+
+@query
+def rate_surface(spark, d):
+    """Rate over round and age per sex, with year and ratio to the reference round."""
+    cells = _cells(spark, d)
+    preds = M.ratio_to_reference(_rate_surface(cells), ["sex", "ageyrs2"], "inc", RATE_REFERENCE, "irr")
+    return preds.join(E.cell_years(cells), "round")
+
+
+@query
+def new_infections_surface(spark, d):
+    """Expected events per sex, round and age: smoothed rate times person-years."""
+    cells, keys = _cells(spark, d), ["sex", "round", "ageyrs2"]
+    return M.new_infections(_rate_surface(cells), E.cell_person_time(cells, keys).drop("events"), keys)
+
+
+@query
+def rate_factor_smooth(spark, d):
+    """Common and band-specific rate curves per sex, with year, ratio, crude counts."""
+    cells, keys = _cells(spark, d), ["sex", "agecat", "round"]
+    preds = S.rate_smooth(E.cell_fit_time(cells, keys).withColumnRenamed("agecat", "band"), ["sex"], "bands").withColumnRenamed("band", "agecat")
+    preds = M.ratio_to_reference(preds, ["sex", "agecat"], "inc", RATE_REFERENCE, "irr")
+    return preds.join(E.cell_years(cells), "round").join(E.cell_person_time(cells, keys), keys)
+
+
+def _surface(panel, flag, reference):
+    cells = M.binomial_cells(panel, flag, ["sex", "round", "ageyrs2"]).dropna().withColumnRenamed("ageyrs2", "age")
+    return M.ratio_to_reference(S.proportion_smooth(cells, ["sex"], "surface"), ["sex", "age"], "prob", reference, "ratio")
+
+
+@query
+def prevalence_surface(spark, d):
+    return _surface(_panel(spark, d), "hivstatus_imputed", PREVALENCE_REFERENCE)
+
+
+@query
+def onart_surface(spark, d):
+    """Treatment coverage of the positive over round and age, upper bounds patched."""
+    return M.patch_upper_bound(_surface(_panel(spark, d).where("hivstatus_imputed = 1"), "onART", PREVALENCE_REFERENCE), 0.01)
+
+
+@query
+def circumcised_surface(spark, d):
+    return _surface(_panel(spark, d).where("sex = 'M'"), "circ_imputed_fix", 8)
+
+
+@query
+def eversex_surface(spark, d):
+    return _surface(_panel(spark, d), "eversex_clean_imputed", PREVALENCE_REFERENCE)
+
+
+@query
+def circumcised_factor_smooth(spark, d):
+    """Circumcised share of men: common and band-specific curves over rounds."""
+    men = _panel(spark, d).where("sex = 'M'")
+    cells = M.binomial_cells(men, "circ_imputed_fix", ["sex", "agecat", "round"]).dropna().withColumnRenamed("agecat", "band")
+    return M.ratio_to_reference(S.proportion_smooth(cells, ["sex"], "bands"), ["sex", "band"], "prob", 8, "ratio")
+
+
+@query
+def eversex_spline(spark, d):
+    """Ever-sex share of the two youngest bands by sex as one curve each."""
+    young = _panel(spark, d).where(F.col("agecat").isin(*FIVE_YEAR[:2]))
+    cells = M.binomial_cells(young, "eversex_clean_imputed", ["sex", "agecat", "round"]).dropna()
+    preds = S.proportion_smooth(cells, ["sex", "agecat"], "curve")
+    return M.ratio_to_reference(preds, ["sex", "agecat"], "prob", PREVALENCE_REFERENCE, "prevrr")
