@@ -34,38 +34,36 @@ def band_labels(edges: Sequence[int], labels: Sequence[str] | None = None, close
     return [f"{left}{a},{b}{right}" for a, b in zip(edges, edges[1:])]
 
 
-def band(value: Column, edges: Sequence[int], labels: Sequence[str] | None = None, closed: str = "left", outer: bool = False) -> Column:
+def _literal(value) -> str:
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "\\'") + "'"
+
+
+def band(value: str, edges: Sequence[int], labels: Sequence[str] | None = None, closed: str = "left", outer: bool = False) -> Column:
     """Label of the interval a value falls in, NULL outside all of them.
 
-    ``outer`` also closes the open end of the outermost interval.
+    ``value`` is a column name or SQL expression; ``outer`` also closes the open end of
+    the outermost interval.
     """
     names = band_labels(edges, labels, closed, outer)
-    last = len(names) - 1
-    result = None
+    branches = []
     for i, name in enumerate(names):
-        low, high = edges[i], edges[i + 1]
         if closed == "left":
-            upper = value <= high if outer and i == last else value < high
-            inside = (value >= low) & upper
+            low, high = ">=", "<=" if outer and i == len(names) - 1 else "<"
         else:
-            lower = value >= low if outer and i == 0 else value > low
-            inside = lower & (value <= high)
-        result = F.when(inside, F.lit(name)) if result is None else result.when(inside, F.lit(name))
-    return result
+            low, high = ">=" if outer and i == 0 else ">", "<="
+        branches.append(f"WHEN {value} {low} {edges[i]} AND {value} {high} {edges[i + 1]} THEN {_literal(name)}")
+    return F.expr(f"CASE {' '.join(branches)} END")
 
 
-def level_code(label: Column, levels: Sequence[str]) -> Column:
+def level_code(label: str, levels: Sequence[str]) -> Column:
     """1-based position of a label among its levels, NULL when not a level."""
     return recode(label, {name: i + 1 for i, name in enumerate(levels)}, keep_other=False)
 
 
-def recode(value: Column, mapping: Mapping, keep_other: bool = True) -> Column:
-    """Replace the listed values; others stay, or turn NULL."""
-    result = None
-    for old, new in mapping.items():
-        hit = value == F.lit(old)
-        result = F.when(hit, F.lit(new)) if result is None else result.when(hit, F.lit(new))
-    return result.otherwise(value) if keep_other else result
+def recode(value: str, mapping: Mapping, keep_other: bool = True) -> Column:
+    """Replace the listed values of a column or SQL expression; others stay, or turn NULL."""
+    branches = " ".join(f"WHEN {_literal(old)} THEN {_literal(new)}" for old, new in mapping.items())
+    return F.expr(f"CASE {value} {branches}{f' ELSE {value}' if keep_other else ''} END")
 
 
 def digits(label: Column) -> Column:

@@ -119,7 +119,7 @@ def stack_measures(curves: DataFrame, averted: DataFrame, keys: list[str]) -> Da
     both = left.unionByName(right, allowMissingColumns=True)
     long = both.unpivot([*keys, "scenario"], ["loess_inc_mean", "delta_inc_mean_pct"], "measure", "value")
     names = {"loess_inc_mean": "incidence", "delta_inc_mean_pct": "cum_incidence"}
-    return long.where(F.col("value").isNotNull()).withColumn("measure", codes.recode(F.col("measure"), names))
+    return long.where(F.col("value").isNotNull()).withColumn("measure", codes.recode("measure", names))
 
 
 def compare_to_data(model: DataFrame, observed: DataFrame, keys: list[str], model_value: str, observed_value: str) -> DataFrame:
@@ -143,4 +143,4 @@ def combine_indicators(sources: dict[str, DataFrame]) -> DataFrame:
     for name, frame in sources.items():
         tagged = frame.select("year", "strata", "agecat", "prob", "lb", "ub").withColumn("source", F.lit(name))
         stacked = tagged if stacked is None else stacked.unionByName(tagged, allowMissingColumns=True)
-    return stacked.withColumn("strata", codes.recode(F.col("strata"), codes.SEX_LONG)).where(F.col("prob").isNotNull())
+    return stacked.withColumn("strata", codes.recode("strata", codes.SEX_LONG)).where(F.col("prob").isNotNull())

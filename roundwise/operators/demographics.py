@@ -17,7 +17,7 @@ def clean_status_visits(raw: DataFrame, first_year: int) -> DataFrame:
         F.col("study_id").alias(P.ID),
         codes.digits(F.col("round")).alias(P.ROUND),
         "finalhiv",
-        codes.recode(F.col("finalhiv"), codes.STATUS_CODES, keep_other=False).alias("hivstatus"),
+        codes.recode("finalhiv", codes.STATUS_CODES, keep_other=False).alias("hivstatus"),
         F.when(~early, day).alias("visit_day"),
         F.when(~early, dates.year_of(day)).alias("year"),
     )
@@ -42,8 +42,8 @@ def clean_questionnaire(raw: DataFrame) -> DataFrame:
         codes.digits(F.col("round")).alias(P.ROUND),
         "arvmed",
         "cuarvmed",
-        codes.recode(F.col("circum"), codes.CIRCUMCISION_CODES, keep_other=False).alias("circ"),
-        codes.recode(F.col("eversex"), codes.EVER_SEX_CODES, keep_other=False).alias("eversex_clean"),
+        codes.recode("circum", codes.CIRCUMCISION_CODES, keep_other=False).alias("circ"),
+        codes.recode("eversex", codes.EVER_SEX_CODES, keep_other=False).alias("eversex_clean"),
         "ag1stsex",
         codes.within(F.col("ag1stsex"), 10, 96).alias("ag1stsex_clean"),
         F.when(F.col("arvmed") == 1, 1).otherwise(0).alias("onART"),
@@ -86,14 +86,13 @@ def attach_demographics(panel: DataFrame, eligibility: DataFrame, questionnaire:
 
 def add_bands(panel: DataFrame, age: str = "ageyrs2") -> DataFrame:
     """The three age bandings and the level code of the five-year one."""
-    value = F.col(age)
-    five_year = codes.band_labels(**codes.FIVE_YEAR_BANDS)
-    agecat = codes.band(value, **codes.FIVE_YEAR_BANDS)
+    five_year = codes.FIVE_YEAR_BANDS
+    codes_of_bands = {**five_year, "labels": range(1, len(five_year["edges"]))}
     return panel.withColumns(
         {
-            "agecat": agecat,
-            "agecat3": codes.band(value, **codes.MODEL_BANDS),
-            "age_band": codes.band(value, **codes.REPORT_BANDS),
-            "agecat_num": codes.level_code(agecat, five_year),
+            "agecat": codes.band(age, **five_year),
+            "agecat3": codes.band(age, **codes.MODEL_BANDS),
+            "age_band": codes.band(age, **codes.REPORT_BANDS),
+            "agecat_num": codes.band(age, **codes_of_bands),
         }
     )

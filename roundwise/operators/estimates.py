@@ -247,5 +247,5 @@ def effective_counts(cells: DataFrame) -> DataFrame:
         F.col("year").alias("Year"),
         F.col("agecat").alias("AgeBin"),
         F.coalesce("_n", F.lit(0)).alias("effective_count"),
-        codes.recode(F.col("sex"), codes.SEX_LONG).alias("Gender"),
+        codes.recode("sex", codes.SEX_LONG).alias("Gender"),
     )

@@ -191,7 +191,7 @@ def ingest_form(preds: DataFrame, counts: DataFrame) -> DataFrame:
     left = preds.select(
         F.col("year").alias("Year"),
         F.lit("All").alias("Province"),
-        codes.recode(F.col("sex"), codes.SEX_LONG).alias("Gender"),
+        codes.recode("sex", codes.SEX_LONG).alias("Gender"),
         F.replace(F.col("agecat"), F.lit(","), F.lit(":")).alias("AgeBin"),
         F.col("prob").alias("Prevalence"),
         F.lit("").alias("weight"),

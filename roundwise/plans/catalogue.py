@@ -121,7 +121,7 @@ def prediction_grid(spark, d):
     """Every round of the study crossed with every age seen and its band."""
     span = _panel(spark, d).agg(F.min("round").alias("r0"), F.max("round").alias("r1"), F.min("ageyrs2").alias("a0"), F.max("ageyrs2").alias("a1"))
     grid = span.select("*", F.explode(F.sequence("r0", "r1")).alias("round")).select("round", F.explode(F.sequence("a0", "a1")).alias("ageyrs2"))
-    return grid.withColumn("agecat", codes.band(F.col("ageyrs2"), **codes.FIVE_YEAR_BANDS))
+    return grid.withColumn("agecat", codes.band("ageyrs2", **codes.FIVE_YEAR_BANDS))
 
 
 # --- panel -------------------------------------------------------------------------
@@ -411,13 +411,13 @@ def crude_cases_py(spark, d):
 @query
 def crude_cases_py_agecat(spark, d):
     table = E.crude_person_time(_panel(spark, d), ["sex", "round", "agecat"])
-    return table.withColumn("strata", codes.recode(F.col("sex"), codes.SEX_LONG)).dropna()
+    return table.withColumn("strata", codes.recode("sex", codes.SEX_LONG)).dropna()
 
 
 @query
 def crude_cases_py_agecat3(spark, d):
     table = E.crude_person_time(_panel(spark, d), ["sex", "round", "agecat3"])
-    shown = table.withColumn("pysum", F.round("pysum")).withColumn("sex", codes.recode(F.col("sex"), codes.SEX_PLURAL))
+    shown = table.withColumn("pysum", F.round("pysum")).withColumn("sex", codes.recode("sex", codes.SEX_PLURAL))
     return shown.withColumnRenamed("agecat3", "age").dropna()
 
 
@@ -506,7 +506,7 @@ def rate_trend_with_year(spark, d):
     cells, keys = _cells(spark, d), ["sex", "agecat3", "round"]
     fitted = M.rate_factor(E.cell_fit_time(cells, keys), per=100.0).drop("pysum", "events")
     joined = fitted.join(E.cell_years(cells), "round").join(E.cell_person_time(cells, keys), keys)
-    return joined.select("Year", "round", codes.recode(F.col("sex"), codes.SEX_PLURAL).alias("sex"), F.col("agecat3").alias("age"), "pysum", "events", "inc", "lb", "ub")
+    return joined.select("Year", "round", codes.recode("sex", codes.SEX_PLURAL).alias("sex"), F.col("agecat3").alias("age"), "pysum", "events", "inc", "lb", "ub")
 
 
 @query
@@ -645,11 +645,11 @@ def parameter_histogram(spark, d):
 def label_bands(spark, d):
     """Five-year labels turned into plain age groups and gender labels."""
     table = E.proportion_table(_panel(spark, d), "hivstatus_imputed", ["agecat", "sex"])
-    return table.select(
+    return table.withColumn("_start", codes.label_start(F.col("agecat"))).select(
         "agecat",
-        codes.band(codes.label_start(F.col("agecat")), **codes.LABEL_START_BANDS).alias("age_group"),
-        codes.level_code(F.col("agecat"), FIVE_YEAR).alias("level"),
-        codes.recode(F.col("sex"), codes.SEX_PLURAL).alias("gender"),
+        codes.band("_start", **codes.LABEL_START_BANDS).alias("age_group"),
+        codes.level_code("agecat", FIVE_YEAR).alias("level"),
+        codes.recode("sex", codes.SEX_PLURAL).alias("gender"),
         "prop",
     )
 

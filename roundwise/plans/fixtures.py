@@ -6,7 +6,7 @@ and spending stand for test results, customers for demographics.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundwise.functions import codes
@@ -33,6 +33,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _STATES = ["F", "O", "P"]
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _KEY_SPACE = 1 << 44  # order keys stay below this
+_QUARTER = "(year(o_orderdate) - 1995) * 4 + quarter(o_orderdate)"
+_BORN = "date_add(DATE '1945-01-01', CAST((c_custkey * 37) % 14000 AS INT))"
 
 
 def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,69 +45,63 @@ def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     many orders costs the window no more rows than there are quarters. All aggregation
     buffers are plain numbers, which keeps the aggregation hash-based.
     """
-    state, priority = codes.level_code(F.col("o_orderstatus"), _STATES), codes.level_code(F.col("o_orderpriority"), _PRIORITIES)
-    orders = read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("id"),
-        ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate")).alias("rnd"),
-        (F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * _KEY_SPACE + F.col("o_orderkey")).alias("place"),
-        (state * 8 + priority).alias("code"),
-        F.floor(F.col("o_totalprice") * 100 + 0.5).alias("cents"),
+    labels = [codes.level_code("o_orderstatus", _STATES).alias("s"), codes.level_code("o_orderpriority", _PRIORITIES).alias("p")]
+    orders = read(spark, sf_dir, "orders").select("*", *labels).selectExpr(
+        "o_custkey AS id",
+        f"{_QUARTER} AS rnd",
+        f"CAST(unix_date(CAST(o_orderdate AS DATE)) AS BIGINT) * {_KEY_SPACE} + o_orderkey AS place",
+        "s * 8 + p AS code",
+        "floor(o_totalprice * 100 + 0.5) AS cents",
     )
-    quarters = orders.groupBy("id", "rnd").agg(
-        F.min("place").alias("place"),
-        F.min_by("code", "place").alias("code"),
-        F.min_by("cents", "place").alias("cents"),
-        F.sum("cents").alias("total"),
-        F.count(F.lit(1)).alias("n_orders"),
-    )
-    quarters = quarters.withColumn("study_id", F.col("id").cast("string"))
-    before = Window.partitionBy("study_id").orderBy("rnd").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_cents = F.coalesce(F.sum("total").over(before), F.lit(0))
-    earlier_orders = F.coalesce(F.sum("n_orders").over(before), F.lit(0))
-    return quarters.select(
+    first = ["min(place) AS place", "min_by(code, place) AS code", "min_by(cents, place) AS cents"]
+    totals = ["sum(cents) AS total", "count(1) AS n_orders"]
+    quarters = orders.groupBy("id", "rnd").agg(*map(F.expr, first + totals))
+    before = "OVER (PARTITION BY study_id ORDER BY rnd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return quarters.selectExpr("*", "CAST(id AS STRING) AS study_id").selectExpr(
         "study_id",
         "rnd",
-        F.concat(F.lit("R"), F.lpad(F.col("rnd").cast("string"), 3, "0")).alias("round"),
+        "concat('R', lpad(CAST(rnd AS STRING), 3, '0')) AS round",
         "id",
-        F.date_from_unix_date(F.floor(F.col("place") / _KEY_SPACE).cast("int")).alias("visit_date"),
-        F.pmod(F.col("place"), F.lit(_KEY_SPACE)).alias("key"),
-        codes.recode(F.floor(F.col("code") / 8), {i + 1: v for i, v in enumerate(_STATES)}, keep_other=False).alias("state"),
-        codes.recode(F.col("code") % 8, {i + 1: v for i, v in enumerate(_PRIORITIES)}, keep_other=False).alias("priority"),
-        (earlier_cents + F.col("cents")).alias("cum"),
-        (earlier_orders + 1).alias("ordinal"),
+        f"date_from_unix_date(CAST(floor(place / {_KEY_SPACE}) AS INT)) AS visit_date",
+        f"place % {_KEY_SPACE} AS key",
+        "code",
+        f"coalesce(sum(total) {before}, 0) + cents AS cum",
+        f"coalesce(sum(n_orders) {before}, 0) + 1 AS ordinal",
     )
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Order status and priority back as text."""
+    names = {"state": ("floor(code / 8)", _STATES), "priority": ("code % 8", _PRIORITIES)}
+    return df.withColumns({c: codes.recode(e, {i + 1: v for i, v in enumerate(vs)}, keep_other=False) for c, (e, vs) in names.items()})
+
+
 def status_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positive = F.when(F.col("key") % 7 == 0, "S").otherwise("P")
-    disorder = (F.col("id") % 20 == 0) & (F.col("priority") == "5-LOW")
-    result = (
-        F.when(F.col("state") == "P", F.lit(None))
-        .when(F.col("cum") >= 300_000_000, positive)
-        .when(disorder, "P")
-        .otherwise("N")
-    )
-    return _survey(spark, sf_dir).select(
-        "study_id", "round", result.alias("finalhiv"), F.date_format("visit_date", "yyyy-MM-dd").alias("intdate")
+    return _named(_survey(spark, sf_dir)).selectExpr(
+        "study_id",
+        "round",
+        """CASE WHEN state = 'P' THEN NULL
+                WHEN cum >= 300000000 THEN CASE WHEN key % 7 = 0 THEN 'S' ELSE 'P' END
+                WHEN id % 20 = 0 AND priority = '5-LOW' THEN 'P' ELSE 'N' END AS finalhiv""",
+        "date_format(visit_date, 'yyyy-MM-dd') AS intdate",
     )
 
 
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    birth = F.date_add(F.lit("1945-01-01").cast("date"), ((F.col("c_custkey") * 37) % 14000).cast("int"))
-    people = read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("study_id"),
-        F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("M").alias("sex"),
-        birth.alias("born"),
-        F.when(F.col("c_custkey") % 50 != 7, F.date_format(birth, "dd/MM/yyyy")).alias("birthdate"),
-        F.when(F.col("c_acctbal") >= 0, 1).otherwise(0).alias("resident"),
-        (F.col("c_custkey") % 3).cast("int").alias("mobility"),
+    people = read(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS study_id",
+        "CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex",
+        f"{_BORN} AS born",
+        f"CASE WHEN c_custkey % 50 <> 7 THEN date_format({_BORN}, 'dd/MM/yyyy') END AS birthdate",
+        "CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS resident",
+        "CAST(c_custkey % 3 AS INT) AS mobility",
     )
     visits = _survey(spark, sf_dir).select("study_id", "rnd", "round", "visit_date")
-    return visits.join(people, "study_id").select(
+    return visits.join(people, "study_id").selectExpr(
         "study_id",
         "round",
-        F.when(F.col("rnd") % 5 != 0, F.col("sex")).alias("sex"),
-        (F.year("visit_date") - F.year("born")).alias("ageyrs"),
+        "CASE WHEN rnd % 5 <> 0 THEN sex END AS sex",
+        "year(visit_date) - year(born) AS ageyrs",
         "birthdate",
         "resident",
         "mobility",
@@ -113,25 +109,15 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questionnaire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priority, key, ordinal = F.col("priority"), F.col("key"), F.col("ordinal")
-    tail = key % 10
-    treated = F.when(priority == "1-URGENT", 1).when(priority != "2-HIGH", 2)
-    circumcised = (
-        F.when((F.col("id") % 25 == 0) & (ordinal == 7), 2)
-        .when(priority == "3-MEDIUM", F.lit(None))
-        .when(ordinal >= 5, 1)
-        .otherwise(2)
-    )
-    ever = F.when(tail == 0, 8).when(tail == 1, F.lit(None)).when(tail <= 3, 2).otherwise(1)
-    first_age = F.when(key % 50 == 0, 97).otherwise((8 + key % 20).cast("int"))
-    return _survey(spark, sf_dir).select(
+    return _named(_survey(spark, sf_dir)).selectExpr(
         "study_id",
         "round",
-        treated.alias("arvmed"),
-        F.when(key % 3 == 0, 1).otherwise(2).alias("cuarvmed"),
-        circumcised.alias("circum"),
-        ever.alias("eversex"),
-        first_age.alias("ag1stsex"),
+        "CASE WHEN priority = '1-URGENT' THEN 1 WHEN priority <> '2-HIGH' THEN 2 END AS arvmed",
+        "CASE WHEN key % 3 = 0 THEN 1 ELSE 2 END AS cuarvmed",
+        """CASE WHEN id % 25 = 0 AND ordinal = 7 THEN 2 WHEN priority = '3-MEDIUM' THEN NULL
+                WHEN ordinal >= 5 THEN 1 ELSE 2 END AS circum""",
+        "CASE WHEN key % 10 = 0 THEN 8 WHEN key % 10 = 1 THEN NULL WHEN key % 10 <= 3 THEN 2 ELSE 1 END AS eversex",
+        "CASE WHEN key % 50 = 0 THEN 97 ELSE CAST(8 + key % 20 AS INT) END AS ag1stsex",
     )
 
 
@@ -146,20 +132,19 @@ CURVE_KEYS = ["scenario", "gender", "age_group"]
 
 def scenario_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders labelled with scenario (market segment), gender, age group and month."""
-    birth = F.date_add(F.lit("1945-01-01").cast("date"), ((F.col("c_custkey") * 37) % 14000).cast("int"))
-    age = F.floor(F.date_diff(F.lit("1998-01-01").cast("date"), birth) / 365.25)
-    people = read(spark, sf_dir, "customer").select(
+    people = read(spark, sf_dir, "customer").selectExpr(
         "c_custkey",
-        F.col("c_mktsegment").alias("scenario"),
-        F.when(F.col("c_nationkey") % 2 == 0, "Women").otherwise("Men").alias("gender"),
-        F.coalesce(codes.band(age, **codes.REPORT_BANDS), F.lit("50+")).alias("age_group"),
+        "c_mktsegment AS scenario",
+        "CASE WHEN c_nationkey % 2 = 0 THEN 'Women' ELSE 'Men' END AS gender",
+        f"floor(date_diff(DATE '1998-01-01', {_BORN}) / 365.25) AS age",
     )
-    orders = read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("c_custkey"),
-        ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("month"),
-        (F.col("o_totalprice") * 100 / PRICE_UNIT).alias("price"),
+    age_group = F.coalesce(codes.band("age", **codes.REPORT_BANDS), F.lit("50+")).alias("age_group")
+    orders = read(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS c_custkey",
+        "(year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS month",
+        f"o_totalprice * 100 / {PRICE_UNIT} AS price",
     )
-    return orders.join(people, "c_custkey")
+    return orders.join(people.select("c_custkey", "scenario", "gender", age_group), "c_custkey")
 
 
 def scenario_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
