@@ -317,8 +317,8 @@ oracle("residents_only", "panel", crude("sex", f", {r('100 * sum(hivinc) / sum(p
 oracle("missing_counts", "panel", "\nUNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {i(f'count(*) - count({c})', 'n_missing')} FROM panel" for c in ("sex", "ageyrs2", "agecat", "hivstatus_imputed", "hivinc", "py")))
 oracle("numeric_summary", "panel", "\nUNION ALL ".join(f"""
-SELECT '{c}' AS "column", {r(f'min(CAST({c} AS DOUBLE))', 'minimum')}, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 'q1')}, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 'median')},
-  {r(f'avg({c})', 'mean')}, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 'q3')}, {r(f'max(CAST({c} AS DOUBLE))', 'maximum')}, {i(f'count(*) - count({c})', 'n_missing')} FROM panel"""
+SELECT '{c}' AS "column", {r(f'min(CAST({c} AS DOUBLE))', 'minimum')}, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)', 'q25')}, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)', 'q50')},
+  {r(f'avg({c})', 'mean')}, {r(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)', 'q75')}, {r(f'max(CAST({c} AS DOUBLE))', 'maximum')}, {i(f'count(*) - count({c})', 'n_missing')} FROM panel"""
     for c in ("py", "ageyrs2", "ag1stsex_clean")))
 
 
@@ -382,6 +382,9 @@ SELECT CASE level WHEN 3 THEN 'Overall' WHEN 1 THEN 'Sex' ELSE 'Sex × Age' END
   {r('t', 'person_years')}, {i('k', 'cases')}, {r('100 * k / t', 'inc_per_100py')}, {r('100 * low_events / t', 'lower_95')}, {r('100 * high_events / t', 'upper_95')},
   printf('%.2f (%.2f–%.2f)', 100 * k / t, 100 * low_events / t, 100 * high_events / t) AS inc_95ci
 FROM ({exact_limits(LEVELS)})""")
+oracle("subgroup_labels", "panel", f"""
+SELECT concat_ws(' / ', sex, age_band) AS subgroup, sex, age_band AS band, {i('sum(hivinc)', 'cases')}, {r('sum(py)', 'person_years')}
+FROM panel WHERE hivinc IN (0, 1) AND py IS NOT NULL AND age_band IS NOT NULL GROUP BY sex, age_band""")
 oracle("prevalence_wald", "panel", proportion("hivstatus_imputed", "year, sex"))
 oracle("prevalence_by_agecat", "panel", proportion("hivstatus_imputed", "year, sex, agecat", "WHERE hivstatus_imputed IS NOT NULL"))
 oracle("coverage_onart", "panel", proportion("onART", "year, sex, agecat", "WHERE hivstatus_imputed = 1"))

@@ -76,6 +76,11 @@ def label_start(label: Column) -> Column:
     return F.substring(label, 2, 2).try_cast("int")
 
 
+def label_part(label: Column, separator: str, index: int) -> Column:
+    """One piece (from 0) of a label split at a literal separator, NULL if there is none."""
+    return F.get(F.split(label, "\\Q" + separator + "\\E"), F.lit(index))
+
+
 def within(value: Column, low, high) -> Column:
     """The value where it is plausible, NULL where it is not."""
     return F.when(value.between(low, high), value)

@@ -8,6 +8,8 @@ number of subjects, and all of them share a single hash partitioning by subject.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -158,6 +160,11 @@ def bad_bounds(subjects: DataFrame, id: str = ID) -> DataFrame:
     return subjects.where(has_bad_bounds()).select(id, "last_neg", "first_pos")
 
 
+def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
+    """Drop the columns whose name matches a regular expression."""
+    return df.drop(*[c for c in df.columns if re.search(pattern, c)])
+
+
 def drawn_round(id: str, seed: int) -> Column:
     """Round drawn uniformly from (last_neg, first_pos] by a hash of subject and seed.
 
@@ -173,7 +180,7 @@ def drawn_round(id: str, seed: int) -> Column:
 
 def draw_event_round(subjects: DataFrame, seed: int, id: str = ID) -> DataFrame:
     """Add ``seroconv_imp`` to usable converters; subjects with bad bounds are left out."""
-    usable = subjects.where(~has_bad_bounds())
+    usable = drop_matching(subjects, "^seroconv").where(~has_bad_bounds())
     return usable.withColumn("seroconv_imp", F.when(F.col("cohortclass") == CONVERTER, drawn_round(id, seed)))
 
 
@@ -220,10 +227,16 @@ def person_time(panel: DataFrame, id: str = ID, round: str = ROUND, day: str = "
     return panel.withColumn("py", F.when(F.col("hivinc").isin(0, 1), years))
 
 
-def events_without_person_time(panel: DataFrame, id: str = ID) -> DataFrame:
-    """All rows of the subjects that have an event on a row without person-time."""
-    offenders = panel.where((F.col("hivinc") == 1) & F.col("py").isNull()).select(id).distinct()
-    return panel.join(offenders, id, "left_semi")
+def events_without_person_time(panel: DataFrame, id: str = ID, round: str = ROUND) -> DataFrame:
+    """All rows of the subjects that have an event on a row without person-time.
+
+    Marked by a window over the subject, so a panel hashed by subject is read once and
+    not joined with itself.
+    """
+    whole = _history(id, round).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lacking = (F.col("hivinc") == 1) & F.col("py").isNull()
+    marked = panel.withColumn("_lacking", F.max(F.coalesce(lacking, F.lit(False))).over(whole))
+    return marked.where("_lacking").drop("_lacking")
 
 
 def clean_absorbing_flag(df: DataFrame, col: str, out: str, id: str = ID, order: str = ROUND) -> DataFrame:

@@ -2,115 +2,123 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roundwise.operators.lookups import BROADCAST_ROWS, join_lookup
+
 SKETCH_ACCURACY = 10_000
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Linearly interpolated order statistics (type 7), one row per (keys, prob).
+def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Per group: counts, mean, minimum, maximum and exact named quantiles.
 
-    The built-in exact percentile keeps all distinct values of a group in one task.
-    Here a sketch of fixed size gives, per group and probability, a bracket certain to
-    hold the order statistics wanted; values below it are only counted, values above
-    it are dropped, and just the bracket (under a thousandth of a large group) is
-    ranked. Equal values are counted once, before the first shuffle.
+    Quantiles are linearly interpolated order statistics (type 7). The built-in exact
+    percentile keeps all distinct values of a group in one task; here a first pass takes
+    a sketch of fixed size per group, giving each quantile a bracket certain to hold the
+    order statistics wanted. A second pass only counts the values below the bracket,
+    drops those above it, and ranks the bracket itself: under a thousandth of a large
+    group, equal values counted once. Brackets of up to ``BROADCAST_ROWS`` groups are
+    broadcast, so that nothing outside them is shuffled; with more groups, equal values
+    are merged first and the brackets joined by shuffle.
     """
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    group = keys or [F.lit(1).alias("_all")]
-    # A sketch rank is off by at most n / accuracy, so four such steps on either side
-    # leave room for the neighbour used in interpolation once n > accuracy.
-    slack = 4.0 / accuracy
-    marks = [m for p in probs for m in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    sketch = data.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", marks, accuracy).alias("_marks"),
-    )
-    exact = F.col("_n") <= accuracy
-    targets = [
-        F.struct(
-            F.lit(float(p)).alias("prob"),
-            F.when(exact | F.lit(p <= slack), F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("low"),
-            F.when(exact | F.lit(p >= 1 - slack), F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("high"),
-        )
-        for i, p in enumerate(probs)
-    ]
+    probs = list(quantiles.values())
     names = keys or ["_all"]
-    brackets = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_n", F.array(*targets).alias("_targets"))
-
-    cells = data.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]
+    data = df.select(*(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    brackets = _brackets(data, names, probs, accuracy)
+    head = brackets.limit(BROADCAST_ROWS + 1).toArrow()
+    known = data.where(F.col("_v").isNotNull())
+    if head.num_rows <= BROADCAST_ROWS:
+        brackets = df.sparkSession.createDataFrame(head, schema=brackets.schema)
+        counted, side = known.withColumn("_c", F.lit(1)), F.broadcast(brackets)
+    else:
+        counted, side = known.groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c")), brackets
+    side = side.select(*[F.col(k).alias(f"_k_{k}") for k in names], "n", "_targets")
     inside = (
-        cells.join(brackets, same)
-        .select(*names, "_v", "_c", "_n", F.explode("_targets").alias("_t"))
+        counted.join(side, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names])
+        .select(*names, "_v", "_c", "n", F.explode("_targets").alias("_t"))
         .where(F.col("_v") <= F.col("_t.high"))
-        .groupBy(*names, F.col("_t.prob").alias("prob"), "_n", F.when(F.col("_v") >= F.col("_t.low"), F.col("_v")).alias("_v"))
+        .groupBy(*names, F.col("_t.prob").alias("prob"), "n", F.when(F.col("_v") >= F.col("_t.low"), F.col("_v")).alias("_v"))
         .agg(F.sum("_c").alias("_c"))
     )
     w = Window.partitionBy(*names, "prob").orderBy(F.col("_v").asc_nulls_first())
-    ranked = inside.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    position = (F.col("_n") - 1) * F.col("prob")
-    below = F.floor(position)
-    ranked = ranked.withColumn("_pos", position - below).withColumn("_k", below)
+    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    position = (F.col("n") - 1) * F.col("prob")
+    ranked = inside.withColumns({"_upto": upto, "_pos": position - F.floor(position), "_k": F.floor(position)})
     picked = ranked.groupBy(*names, "prob").agg(
         F.min(F.when(F.col("_upto") > F.col("_k"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.least(F.col("_k") + 1, F.col("_n") - 1), F.col("_v"))).alias("_b"),
+        F.min(F.when(F.col("_upto") > F.least(F.col("_k") + 1, F.col("n") - 1), F.col("_v"))).alias("_b"),
         F.max("_pos").alias("_pos"),
     )
-    interpolated = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_pos")
-    return picked.select(*keys, "prob", interpolated.alias("value"))
+    found = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_pos")
+    wide = picked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in names]).agg(
+        *[F.max(F.when(F.col("prob") == p, found)).alias(name) for name, p in quantiles.items()]
+    )
+    joined = brackets.join(wide, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names], "left")
+    return joined.select(*keys, "n", "n_missing", "mean", "minimum", "maximum", *quantiles)
+
+
+def _brackets(data: DataFrame, names: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """Basic figures of each group and a (prob, low, high) bracket per quantile.
+
+    A sketch rank is off by at most n / accuracy. Four such steps on either side leave
+    room for the neighbour used in interpolation once n exceeds the accuracy; up to
+    there the whole group is the bracket.
+    """
+    slack = 4.0 / accuracy
+    marks = [m for p in probs for m in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    stats = data.groupBy(*names).agg(
+        F.count("_v").alias("n"),
+        F.count_if(F.col("_v").isNull()).alias("n_missing"),
+        F.avg("_v").alias("mean"),
+        F.min("_v").alias("minimum"),
+        F.max("_v").alias("maximum"),
+        F.percentile_approx("_v", marks, accuracy).alias("_marks"),
+    )
+    whole = F.col("n") <= accuracy
+    targets = [
+        F.struct(
+            F.lit(float(p)).alias("prob"),
+            F.when(whole | F.lit(p <= slack), F.col("minimum")).otherwise(F.col("_marks")[2 * i]).alias("low"),
+            F.when(whole | F.lit(p >= 1 - slack), F.col("maximum")).otherwise(F.col("_marks")[2 * i + 1]).alias("high"),
+        )
+        for i, p in enumerate(probs)
+    ]
+    return stats.withColumn("_targets", F.array(*targets)).drop("_marks")
 
 
 def equal_width_counts(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """Counts per equal-width bin between the minimum and maximum of each key.
 
-    The ranges come from an aggregate and are joined back, so a key holding most of
-    the rows is never gathered in one task.
+    The ranges come from a first aggregation and are joined back as a lookup, so rows
+    are counted where they are read and a key holding most of them is never gathered
+    in one task.
     """
     data = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
-    cells = data.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranges = data.groupBy(F.col(key).alias("_key")).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
-    width = (F.col("high") - F.col("low")) / bins
-    bin_no = F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("low"), width)), F.lit(0)), F.lit(bins - 1))
-    return (
-        cells.join(ranges, F.col(key) == F.col("_key"))
-        .groupBy(key, bin_no.cast("int").alias("bin"), "low", "high")
-        .agg(F.sum("_c").alias("n"))
-        .select(
-            key,
-            "bin",
-            (F.col("low") + F.col("bin") * width).alias("bin_low"),
-            (F.col("low") + (F.col("bin") + 1) * width).alias("bin_high"),
-            "n",
-        )
+    ranges = data.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    width = (F.col("_high") - F.col("_low")) / bins
+    step = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), width)), F.lit(0))
+    counts = (
+        join_lookup(data, ranges, [key], "inner")
+        .groupBy(key, F.least(step, F.lit(bins - 1)).cast("int").alias("bin"), "_low", "_high")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    edges = [(F.col("_low") + (F.col("bin") + i) * width).alias(name) for i, name in enumerate(("bin_low", "bin_high"))]
+    return counts.select(key, "bin", *edges, "n")
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count, one row per column."""
-    casts = [F.col(c).cast("double").alias(c) for c in columns]
-    long = df.select(*casts).unpivot([], columns, "column", "value")
-    basics = long.groupBy("column").agg(
-        F.min("value").alias("minimum"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("maximum"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-    )
-    quartiles = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
-    wide = quartiles.groupBy("column").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    )
-    return basics.join(wide, "column", "left").select("column", "minimum", "q1", "median", "mean", "q3", "maximum", "n_missing")
+    table = group_summary(melt(df, columns), ["key"], "value", QUARTILES)
+    return table.select(F.col("key").alias("column"), "minimum", "q25", "q50", "mean", "q75", "maximum", "n_missing")
 
 
 def parameter_quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles of every column, one row per column."""
-    long = melt(df, columns)
-    wide = exact_quantiles(long, ["key"], "value", [0.25, 0.5, 0.75]).groupBy("key")
-    return wide.agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
+    return group_summary(melt(df, columns), ["key"], "value", QUARTILES).select("key", *QUARTILES)
 
 
 def melt(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -93,9 +93,9 @@ def parquet_hand_off(spark, d):
 def csv_round_trip(spark, d):
     """Prevalence table written as CSV under report names and read back by schema."""
     table = E.proportion_table(_panel(spark, d), "hivstatus_imputed", ["year", "sex"])
-    table = table.withColumn("year", F.col("year").cast("string"))
+    table = table.withColumn("share", F.col("prop")).withColumn("year", F.col("year").cast("string"))
     names = ["year", "sex", "prevcount", "hivpos", "hivprev", "se", "lb", "ub"]
-    path = sinks.write_csv(table, shared_folder(spark), names)
+    path = sinks.write_csv(table, shared_folder(spark), names, positions=list(range(8)))
     return readers.read_csv(spark, path, readers.PREVALENCE_BY_SEX)
 
 
@@ -442,6 +442,14 @@ def rate_table_3level(spark, d):
     return table.orderBy(E.in_listed_order("group", ["Overall", "Sex", "Sex × Age"]), "subgroup")
 
 
+@query
+def subgroup_labels(spark, d):
+    """Report rows by sex and band with their combined label taken apart again."""
+    table = E.rate_table(_panel(spark, d)).where(F.col("group") == "Sex × Age")
+    parts = [codes.label_part(F.col("subgroup"), " / ", i).alias(n) for i, n in enumerate(("sex", "band"))]
+    return table.select("subgroup", *parts, "cases", "person_years")
+
+
 @query
 def prevalence_wald(spark, d):
     return E.proportion_table(_panel(spark, d), "hivstatus_imputed", ["year", "sex"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roundwise.functions import codes
 from roundwise.operators.curves import running_total
-from roundwise.operators.quantiles import exact_quantiles
+from roundwise.operators.quantiles import group_summary
 from roundwise.plans.cohort import StudySettings
 
 SETTINGS = StudySettings(seed=1984, first_year=1995)
@@ -149,15 +149,8 @@ def scenario_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scenario_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, 2.5 % and 97.5 % quantile and running mean total of each curve by month."""
-    orders = scenario_orders(spark, sf_dir)
-    keys = [*CURVE_KEYS, "month"]
-    limits = exact_quantiles(orders, keys, "price", [0.025, 0.975])
-    limits = limits.groupBy(*keys).agg(
-        F.max(F.when(F.col("prob") == 0.025, F.col("value"))).alias("inc_lower"),
-        F.max(F.when(F.col("prob") == 0.975, F.col("value"))).alias("inc_upper"),
-    )
-    means = orders.groupBy(*keys).agg(F.avg("price").alias("inc_mean"))
-    curves = means.join(limits, keys)
+    summary = group_summary(scenario_orders(spark, sf_dir), [*CURVE_KEYS, "month"], "price", {"inc_lower": 0.025, "inc_upper": 0.975})
+    curves = summary.select(*CURVE_KEYS, "month", F.col("mean").alias("inc_mean"), "inc_lower", "inc_upper")
     return running_total(curves, CURVE_KEYS, "month", "inc_mean", "cuminc_mean")
 
 

@@ -14,13 +14,14 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
-def write_csv(df: DataFrame, path: str, names: list[str] | None = None, single_file: bool = True) -> str:
-    """CSV with a header, optionally under new column names.
+def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = True) -> str:
+    """CSV with a header, optionally of some columns by position and under new names.
 
     ``single_file`` suits report tables; leave it off for anything that grows with
     the number of subjects.
     """
-    out = df.toDF(*names) if names else df
+    chosen = df.select(*[df.columns[i] for i in positions]) if positions else df
+    out = chosen.toDF(*names) if names else chosen
     if single_file:
         out = out.coalesce(1)
     out.write.mode("error").option("header", True).option("nullValue", "NA").csv(path)

@@ -82,22 +82,27 @@ def skewed(spark, rows=60_000):
     return spark.range(rows).select(g.alias("g"), v.alias("v"))
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_quantiles_are_exact_on_skewed_groups(spark, accuracy):
+@pytest.mark.parametrize("accuracy, many_groups", [(50, False), (50, True), (10_000, False)])
+def test_quantiles_are_exact_on_skewed_groups(spark, monkeypatch, accuracy, many_groups):
     """Low accuracy forces the bracketed way for nearly all groups."""
     df = skewed(spark)
     probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
-    got = {(r["g"], r["prob"]): r["value"] for r in Q.exact_quantiles(df, ["g"], "v", probs, accuracy).collect()}
-    data = df.toPandas()
-    for g, values in data.groupby("g")["v"]:
-        for p in probs:
-            assert got[(g, p)] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, p)
+    names = {f"q{i}": p for i, p in enumerate(probs)}
+    if many_groups:
+        monkeypatch.setattr(Q, "BROADCAST_ROWS", 5)
+    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", names, accuracy).collect()}
+    for g, values in df.toPandas().groupby("g")["v"]:
+        assert (got[g]["n"], got[g]["n_missing"]) == (len(values), 0)
+        assert got[g]["mean"] == pytest.approx(values.mean())
+        for name, p in names.items():
+            assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, p)
 
 
 def test_quantiles_with_missing_key_and_no_key(spark):
-    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0), ("a", None)], "g string, v double")
-    assert {(r["g"], r["value"]) for r in Q.exact_quantiles(df, ["g"], "v", [0.5]).collect()} == {(None, 1.5), ("a", 5.0)}
-    assert Q.exact_quantiles(df, [], "v", [0.5]).first()["value"] == 2.0
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0), ("a", None), ("b", None)], "g string, v double")
+    rows = {r["g"]: (r["n"], r["n_missing"], r["m"]) for r in Q.group_summary(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert rows == {None: (2, 0, 1.5), "a": (1, 1, 5.0), "b": (0, 1, None)}
+    assert Q.group_summary(df, [], "v", {"m": 0.5}).first()["m"] == 2.0
 
 
 def test_histogram_counts_every_row(spark):
