@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 DAYS_PER_YEAR = 365.25
 
 
-def parse_day(text: Column, pattern: str = "yyyy-MM-dd") -> Column:
-    """Day number of a date text, NULL where it does not parse."""
-    return F.unix_date(F.try_to_timestamp(text, F.lit(pattern)).cast("date")).cast("double")
+ISO = "yyyy-MM-dd"
+
+
+def parse_day(text: Column, pattern: str = ISO) -> Column:
+    """Day number of a date text, NULL where it does not parse.
+
+    ISO dates take the cast, which is several times faster than a pattern; the length
+    rules out the bare years and months the cast would also accept.
+    """
+    if pattern == ISO:
+        date = F.when(F.length(text) >= 8, text.try_cast("date"))
+    else:
+        date = F.try_to_timestamp(text, F.lit(pattern)).cast("date")
+    return F.unix_date(date).cast("double")
 
 
 def day_of(date: Column) -> Column:

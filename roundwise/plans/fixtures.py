@@ -131,7 +131,11 @@ CURVE_KEYS = ["scenario", "gender", "age_group"]
 
 
 def scenario_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders labelled with scenario (market segment), gender, age group and month."""
+    """Orders labelled with scenario (market segment), gender, age group and month.
+
+    A plain equi-join on the customer; should one customer hold a large share of the
+    orders, AQE splits that partition of the orders side.
+    """
     people = read(spark, sf_dir, "customer").selectExpr(
         "c_custkey",
         "c_mktsegment AS scenario",

@@ -23,7 +23,7 @@ def write_csv(df: DataFrame, path: str, names: list[str] | None = None, position
     chosen = df.select(*[df.columns[i] for i in positions]) if positions else df
     out = chosen.toDF(*names) if names else chosen
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)  # only the finished rows meet in one task
     out.write.mode("error").option("header", True).option("nullValue", "NA").csv(path)
     return path
 
