@@ -518,7 +518,7 @@ def loess(source: str, keys: list[str], x: str, ys: list[str], span: float, name
     return f"""
 SELECT {key_list}, {x}, {fits} FROM (SELECT *, a0 * (a2 * a4 - a3 * a3) + a1 * (a2 * a3 - a1 * a4) + a2 * (a1 * a3 - a2 * a2) AS det FROM (
   SELECT {key_list}, {x}, {moments}, {tops} FROM (
-    SELECT *, (bx - {x}) / h AS u, CASE WHEN abs(bx - {x}) < h THEN power(1 - power(abs(bx - {x}) / h, 3), 3) ELSE 0.0 END AS w FROM (
+    SELECT *, (bx - {x}) / nullif(h, 0) AS u, CASE WHEN abs(bx - {x}) < h THEN power(1 - power(abs(bx - {x}) / h, 3), 3) ELSE 0.0 END AS w FROM (
       SELECT *, max(CASE WHEN nearest <= q THEN abs(bx - {x}) END) OVER (PARTITION BY {key_list}, {x}) AS h FROM (
         SELECT {a_keys}, a.{x}, b.{x} AS bx, {values},
           row_number() OVER (PARTITION BY {a_keys}, a.{x} ORDER BY abs(b.{x} - a.{x})) AS nearest,

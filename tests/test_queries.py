@@ -17,7 +17,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     result = QUERIES[name](spark, SF).toArrow()
-    expected = duck.execute(ORACLES[name]).to_arrow_table()
+    expected = duck.sql(ORACLES[name]).to_arrow_table()
     assert differences(result, expected) == []
 
 
