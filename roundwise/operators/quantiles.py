@@ -52,8 +52,12 @@ def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping
         F.min(F.when(F.col("_upto") > F.col("_k"), F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_upto") > F.least(F.col("_k") + 1, F.col("n") - 1), F.col("_v"))).alias("_b"),
         F.max("_pos").alias("_pos"),
+        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
+        F.max("_k").alias("_k"),
     )
-    found = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_pos")
+    missed = (F.col("_below") > F.col("_k")) | F.col("_a").isNull() | F.col("_b").isNull()
+    alarm = F.raise_error(F.lit("a quantile bracket missed its order statistic"))
+    found = F.when(missed, alarm).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_pos"))
     wide = picked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in names]).agg(
         *[F.max(F.when(F.col("prob") == p, found)).alias(name) for name, p in quantiles.items()]
     )
