@@ -83,9 +83,9 @@ def survey_tables_profile(spark, d):
 
 @query
 def parquet_hand_off(spark, d):
-    """Panel written by one job, partitioned by round, and aggregated by the next."""
+    """Panel written by one job, as it is spread by subject, and aggregated by the next."""
     keep = ["research_id", "round", "sex", "hivinc", "py", "agecat"]
-    path = sinks.write_table(_panel(spark, d).select(*keep), shared_folder(spark), ["round"])
+    path = sinks.write_table(_panel(spark, d).select(*keep), shared_folder(spark))
     return E.crude_person_time(readers.read_table(spark, path), ["sex", "agecat"])
 
 

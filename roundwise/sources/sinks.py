@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Hand a panel or a table over to another job as Parquet."""
+    """Hand a panel or a table over to another job as Parquet.
+
+    Every task writes one file per ``partition_by`` value it holds, so leave that off
+    for a panel spread by subject unless readers really select by those columns.
+    """
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
