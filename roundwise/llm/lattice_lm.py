@@ -1,11 +1,19 @@
 """Subword lattice likelihood: the marginal probability of a text over all segmentations.
 
-The pieces are those of an existing vocabulary; their existing ranks give first unigram
-scores (Zipf), which expectation-maximisation adapts to the training corpus: expected
-piece counts over all segmentations of all training words. A text is its words, each with
-a leading space, and one end mark. No piece crosses a space, so the lattice of a text is
-the chain of its words' lattices: each distinct word is summed once, by forward recursion
-in log space, and a text's log probability is the sum over its words and the end.
+The pieces are those of an existing vocabulary and, as whole-word pieces, the words of the
+training texts. The vocabulary's ranks give first unigram scores (Zipf), which
+expectation-maximisation adapts to the training words: expected piece counts over all
+segmentations. A text is its words and one end mark; no piece crosses a word, so the
+lattice of a text is the chain of its words' lattices, each distinct word is summed once,
+and a text's log probability is the sum over its words and the end.
+
+A word's lattice has one arc for the whole word, worth its training count less a discount,
+and the arcs of the subword pieces, which share the discounted mass: an initial piece
+(with a leading space), then further pieces until a stop. Initial pieces have scores that
+sum to 1, further pieces and the stop likewise, so the probabilities of all words and the
+end mark sum to 1 at most. The discount is estimated from the words seen once and twice;
+the subword scores are fitted to what it takes from each distinct word, so they describe
+rare words. Sums over segmentations are forward recursions in log space.
 
 The word table is counted over all documents and joined back: its frequent words, at most
 ``HOT_WORDS``, are broadcast and summed where the texts are read, the others are joined by
@@ -32,7 +40,7 @@ from pyspark.sql import functions as F
 
 from roundwise.llm.shared import cut, slices
 
-EM_STEPS = 2
+EM_STEPS = 4
 ZIPF_SHIFT = 100.0
 PRIOR_PIECES = 1000.0
 HOT_WORDS = 1 << 17
@@ -60,8 +68,8 @@ class Pieces:
             ranked = [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, lines)]
         usable = [(p, r) for p, r in sorted(ranked, key=lambda x: x[1]) if p == p.lower() and not SPACES & set(p[1:] if p.startswith(b" ") else p)]
         self.pieces = [p for p, _ in usable]
-        zipf = np.array([1 / (r + ZIPF_SHIFT) for _, r in usable])
-        self.existing = zipf / zipf.sum()
+        self.initial = np.array([p.startswith(b" ") for p in self.pieces])
+        self.existing = np.array([1 / (r + ZIPF_SHIFT) for _, r in usable])
         self.longest = max(map(len, self.pieces))
         self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
         self.keys = np.array([self.key(p) for p in self.pieces], np.uint64)
@@ -74,7 +82,7 @@ class Pieces:
         lost = wanted[self.first[self.slot(self.keys, 0)] != wanted]
         self.second = np.full(1 << SLOT_BITS, -1, np.int32)
         while len(np.unique(self.slot(self.keys[lost], 1))) < len(lost):
-            self.odd[1] = self.odd[1] * np.uint64(3)
+            self.odd[1] = np.uint64(int(self.odd[1]) * 3 % (1 << 64))
         self.second[self.slot(self.keys[lost], 1)] = lost
 
     @staticmethod
@@ -134,8 +142,8 @@ def forward(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return alpha, arcs
 
 
-def expected_pieces(ids: np.ndarray, scores: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Expected piece counts over all segmentations of words that occur ``counts`` times."""
+def expected_pieces(ids: np.ndarray, scores: np.ndarray, size: int) -> np.ndarray:
+    """Expected piece counts over all segmentations, summed over the words."""
     alpha, arcs = forward(ids, scores)
     w, n, k = ids.shape
     beta = np.full((w, n), -np.inf)
@@ -144,7 +152,7 @@ def expected_pieces(ids: np.ndarray, scores: np.ndarray, counts: np.ndarray, siz
         lengths = np.arange(1, min(k, n - 1 - i) + 1)
         beta[:, i] = log_sum(arcs[:, i + lengths, lengths - 1] + beta[:, i + lengths])
     word, j, length = np.nonzero(ids >= 0)
-    mass = np.exp(alpha[word, j - length - 1] + arcs[word, j, length] + beta[word, j] - alpha[word, -1]) * counts[word]
+    mass = np.exp(alpha[word, j - length - 1] + arcs[word, j, length] + beta[word, j] - alpha[word, -1])
     return np.bincount(ids[word, j, length], mass, size)
 
 
@@ -161,11 +169,11 @@ def by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
             yield part, np.frombuffer(b"".join(coded[i] for i in part), np.uint8).reshape(len(part), n)
 
 
-def word_log_probabilities(words: list[str], pieces: Pieces, scores: np.ndarray) -> np.ndarray:
-    """Natural log of the marginal probability of each word with its leading space."""
+def subword_log_probabilities(words: list[str], pieces: Pieces, scores: np.ndarray, stop: float) -> np.ndarray:
+    """Natural log of each word's probability, summed over its subword segmentations."""
     out = np.zeros(len(words))
     for part, block in by_length(words):
-        out[part] = forward(pieces.lattice(block), scores)[0][:, -1]
+        out[part] = forward(pieces.lattice(block), scores)[0][:, -1] + stop
     return out
 
 
@@ -191,32 +199,37 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.select(held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def adapt(words: DataFrame, rank_file: str, ends: int, steps: int = EM_STEPS) -> tuple[np.ndarray, float]:
-    """Log scores of the pieces and of the end mark after ``steps`` EM steps over all
-    training words. What is gathered is one number for each piece."""
+def normalised(mass: np.ndarray, stops: float, pieces: Pieces) -> tuple[np.ndarray, float]:
+    """Log scores: initial pieces sum to 1, further pieces and the stop sum to 1."""
+    further = mass[~pieces.initial].sum() + stops
+    return np.log(mass / np.where(pieces.initial, mass[pieces.initial].sum(), further)), float(np.log(stops / further))
+
+
+def adapt(words: DataFrame, rank_file: str, distinct: int, steps: int = EM_STEPS) -> tuple[np.ndarray, float]:
+    """Log scores of the pieces and of the stop after ``steps`` EM steps over all training
+    words. What is gathered is one number for each piece."""
     pieces = pieces_of(rank_file)
     spark = words.sparkSession
-    chance, end = pieces.existing * 0.999, 0.001
-    train = words.filter("n > 0")
-    for _ in range(steps):
-        shared = spark.sparkContext.broadcast(np.log(chance))
+    prior = PRIOR_PIECES * pieces.existing / pieces.existing.sum()
+    scores, stop = normalised(prior, PRIOR_PIECES / 2, pieces)
+    train = words.filter("n > 0").select("word")
+    for _ in range(steps if distinct else 0):
+        shared = spark.sparkContext.broadcast(scores)
 
         def expect(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = pieces_of(rank_file)
             total = np.zeros(len(own.pieces))
             for rows in slices(batches, WORDS_AT_ONCE):
-                counts = np.array(rows["n"], float)
-                for part, block in by_length(rows["word"]):
-                    total += expected_pieces(own.lattice(block), shared.value, counts[part], len(total))
+                for _, block in by_length(rows["word"]):
+                    total += expected_pieces(own.lattice(block), shared.value, len(total))
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["piece", "mass"])
 
-        got = train.select("word", "n").mapInArrow(expect, "piece long, mass double").groupBy("piece").agg(F.sum("mass").alias("mass")).toArrow()
-        mass = PRIOR_PIECES * pieces.existing
+        got = train.mapInArrow(expect, "piece long, mass double").groupBy("piece").agg(F.sum("mass").alias("mass")).toArrow()
+        mass = prior.copy()
         mass[got["piece"].to_numpy()] += got["mass"].to_numpy()
-        whole = mass.sum() + ends + 1
-        chance, end = mass / whole, (ends + 1) / whole
-    return np.log(chance), float(np.log(end))
+        scores, stop = normalised(mass, distinct + PRIOR_PIECES / 2, pieces)
+    return scores, stop
 
 
 def score(docs: DataFrame, rank_file: str) -> DataFrame:
@@ -224,15 +237,24 @@ def score(docs: DataFrame, rank_file: str) -> DataFrame:
     spark = docs.sparkSession
     kept = cut(word_table(docs), "lattice-words")
     ends = docs.filter(~held_out(F.col("doc_id"))).count()
-    facts = kept.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
-    tokens, distinct = (facts["n"] or 0) + ends, facts["v"] + (ends > 0)
-    scores, end_score = adapt(kept, rank_file, ends)
+    facts = kept.agg(F.sum("n").alias("n"), *[F.count(F.when(F.col("n") >= k, 1)).alias(f"v{k}") for k in (1, 2, 3)]).first()
+    tokens, seen = (facts["n"] or 0) + ends, facts["v1"]
+    distinct = seen + (ends > 0)
+    once, twice = facts["v1"] - facts["v2"], facts["v2"] - facts["v3"]
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    scores, stop = adapt(kept, rank_file, seen)
     learnt = spark.sparkContext.broadcast(scores)
+    # one more token for the end and one for words never seen keep both possible
+    whole_n = tokens + 2
+    subword_share = (discount * seen + 1) / whole_n
 
     def marginal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces_of(rank_file)
         for rows in slices(batches, WORDS_AT_ONCE):
-            lattice = word_log_probabilities(rows["word"], own, learnt.value) / np.log(10)
+            subword = subword_log_probabilities(rows["word"], own, learnt.value, stop) + np.log(subword_share)
+            counted = np.maximum(0.0, np.array(rows["n"], float) - discount) / whole_n
+            with np.errstate(divide="ignore"):
+                lattice = np.logaddexp(np.log(counted), subword) / np.log(10)
             yield pa.RecordBatch.from_arrays([pa.array(rows["word"], pa.string()), pa.array(rows["n"], pa.int64()), pa.array(lattice)], ["word", "n", "lattice"])
 
     def base(n: Column) -> Column:
@@ -252,7 +274,7 @@ def score(docs: DataFrame, rank_file: str) -> DataFrame:
     frequent = table.filter(is_hot).toArrow().to_pydict()
     hot = spark.sparkContext.broadcast({w.encode(): (b, s) for w, b, s in zip(frequent["word"], frequent["base"], frequent["lattice"], strict=True)})
     end_base = float(np.log10((ends + 0.5) / (tokens + 0.5 * (distinct + 1))))
-    end_lattice = end_score / np.log(10)
+    end_lattice = float(np.log10((ends + 1) / whole_n))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value

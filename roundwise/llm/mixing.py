@@ -241,8 +241,9 @@ def rate_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     return out.select("doc_id", "n_tokens", "domains", "posterior", "rate", copies_of(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say, columns unchanged."""
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, seed: int = 0, at_least: int = 1) -> DataFrame:
+    """The rows of ``docs``, each as often as its copies say but ``at_least`` so often,
+    columns unchanged. With 1, the default targets only ever repeat documents."""
     model = fit_classifier(docs, labelled)
     rates = solve(cut(posteriors(docs, model), "mixing-posteriors"), model.domains, targets)
     shared = docs.sparkSession.sparkContext.broadcast((model, rates))
@@ -252,5 +253,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
         own, found = shared.value
         return pd.Series(found.follow(np.array([own.posterior(t) for t in texts]).reshape(len(texts), -1))[0])
 
-    counted = docs.withColumn("__copies", copies_of(rate("text"), F.col("doc_id"), seed))
+    counted = docs.withColumn("__copies", F.greatest(F.lit(at_least), copies_of(rate("text"), F.col("doc_id"), seed)))
     return counted.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")

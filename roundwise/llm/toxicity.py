@@ -46,6 +46,7 @@ LOOKALIKES = {
 }
 CHANGE, SHRINK, JOIN = -1.5, -0.7, -1.0
 TRAIL = ".,;:!?\"'()[]{}<>*%&#|+-_~`"
+ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 SIGNS = frozenset(LOOKALIKES)
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<![^\s])[^\s](?:[ .\-_*·|/\\]{1,2}[^\s]){3,}(?![^\s.,!?])")
@@ -84,8 +85,8 @@ class Reader:
         return max((score + self.table[a, b, 0], text) for (a, b), (score, text) in states.items())
 
     def token(self, token: str) -> str:
-        core = token.strip(TRAIL)
-        if len(core) < 3 or core.isdigit():
+        core = ORNAMENT.sub("", token.strip(TRAIL))
+        if len(core) < 3 or core.isalpha() and not DRAWN.search(core) or not any(c.isalpha() for c in core):
             return token
         return token.replace(core, self.read(core)[1], 1)
 
