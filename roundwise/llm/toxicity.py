@@ -44,7 +44,7 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
     "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x", "*": "aeiou", "#": "h", "%": "x",
 }
-CHANGE, SHRINK, JOIN = -1.5, -0.7, -1.0
+CHANGE, KEEP, SHRINK, JOIN = -1.5, -4.0, -0.7, -1.0
 TRAIL = ".,;:!?\"'()[]{}<>*%&#|+-_~`"
 ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 SIGNS = frozenset(LOOKALIKES)
@@ -66,7 +66,7 @@ class Reader:
         runs = [(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", token.lower(), re.S)]
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for c, n in runs:
-            options = [(c * n, 0.0)]
+            options = [(c * n, KEEP if c in SIGNS else 0.0)]
             if n > 2 or n == 2 and c in SIGNS:
                 options += [(c, SHRINK), (c * 2, SHRINK)] if n > 2 else [(c, SHRINK)]
             for other in LOOKALIKES.get(c, ""):
