@@ -6,10 +6,12 @@ then minimise
 
     1/2 sum_k ((sum_i t_i r_i p_ik - T_k) / S)^2 + weight/2 sum_i (t_i / S) (r_i - 1)^2
 
-(t tokens, p posteriors, T target tokens, S all tokens) by accelerated projected gradient.
-A document's rate depends on its own posterior and on the sequence of K-vectors of
-gradients only, so a step is one pass over a compact table that sums two K-vectors;
-nothing per document is collected and no per-document state is kept.
+(t tokens, p posteriors, T target tokens, S all tokens) by projected gradient. In the
+metric t/S the gradient of a document is p_i . g + weight (r_i - 1), with the K-vector g of
+missed totals, so all iterates have the form r_i = max(0, 1 - p_i . theta): a step moves
+theta by the gradient, preconditioned with the K x K curvature of the documents above zero
+(halved while it does not help), and projects every rate. A step is one pass over a
+compact table that sums K + K^2 numbers; nothing per document is collected or kept.
 
 The classifier is fitted on at most about ``SAMPLE`` labelled rows, chosen by hash;
 posteriors, totals and rates cover all documents.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,8 @@ BITS = 16
 ORDER = 3
 TEMPER = 0.7
 PULL = 1e-3
-TOLERANCE = 1e-7
-MAX_STEPS = 1000
+TOLERANCE = 1e-9
+MAX_STEPS = 200
 DOUBT = 0.02
 
 
@@ -140,19 +142,12 @@ def temper(evidence: np.ndarray, truth: np.ndarray, prior: np.ndarray) -> float:
 
 @dataclass
 class Rates:
-    """The gradients of all steps; a posterior's rate follows from them."""
+    """The K-vector that decides the rate of every posterior."""
 
-    step: float = 1.0
-    gradients: list[np.ndarray] = field(default_factory=list)
-    momenta: list[float] = field(default_factory=list)
+    theta: np.ndarray
 
-    def follow(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates (n,) of posteriors (n, K), and the point of the next gradient."""
-        rate = ahead = np.ones(len(p))
-        for g, m in zip(self.gradients, self.momenta, strict=True):
-            new = np.maximum(0.0, ahead - self.step * (p @ g + PULL * (ahead - 1)))
-            rate, ahead = new, new + m * (new - rate)
-        return rate, ahead
+    def of(self, p: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, 1 - p @ self.theta)
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -193,32 +188,45 @@ def solve(table: DataFrame, domains: list[str], targets: dict[str, float] | None
     k = len(domains)
     if targets and set(targets) - set(domains):
         raise ValueError(f"targets without labelled domain: {sorted(set(targets) - set(domains))}")
-    first = summed(table, k, 1 + k + k * k, lambda t, p: np.concatenate([[t.sum()], t @ p, ((p * t[:, None]).T @ p).ravel()]))
-    tokens, have, gram = first[0], first[1 : 1 + k], first[1 + k :].reshape(k, k)
-    rates = Rates()
+
+    def totals(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, expected tokens by domain, and the curvature of the active rows."""
+
+        def each(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+            r = Rates(theta).of(p)
+            return np.concatenate([[t.sum()], (t * r) @ p, ((p * (t * (r > 0))[:, None]).T @ p).ravel()])
+
+        got = summed(table, k, 1 + k + k * k, each)
+        return got[0], got[1 : 1 + k], got[1 + k :].reshape(k, k)
+
+    theta = np.zeros(k)
+    tokens, have, curvature = totals(theta)
     if tokens <= 0 or k == 1:
-        return rates
+        return Rates(theta)
     share = have / tokens
     want = np.array([targets.get(d, 0.0) for d in domains]) if targets else share**TEMPER
     want = want / want.sum()
     grown = total / tokens if total else float(np.max(np.where(want > 0, share / np.maximum(want, 1e-12), 0)))
     goal = want * grown
-    rates.step = float(1 / (np.linalg.eigvalsh(gram / tokens)[-1] + PULL))
-    at_rate, at_ahead, pace = share, share, 1.0
-    while len(rates.gradients) < MAX_STEPS:
-        gradient = np.round(at_ahead - goal, 12)
-        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        momentum = (pace - 1) / following
-        rates.gradients.append(gradient)
-        rates.momenta.append(momentum)
-        both = summed(table, k, 2 * k, lambda t, p: np.concatenate([t @ x for x in (p * r[:, None] for r in rates.follow(p))])) / tokens
-        moved, at_ahead = both[:k] - at_rate, both[k:]
-        if gradient @ moved > 0:  # restart the momentum once it leads uphill
-            following = 1.0
-        at_rate, pace = both[:k], following
-        if np.abs(moved).max() < TOLERANCE:
-            return rates
-    raise RuntimeError(f"rates did not settle within {MAX_STEPS} steps")
+    missed = share - goal - PULL * theta
+    for _ in range(MAX_STEPS):
+        if np.abs(missed).max() < TOLERANCE:
+            break
+        step = np.linalg.solve(curvature / tokens + PULL * np.eye(k), missed)
+        while True:
+            # rounded, so that the order of partial sums does not show in the rates
+            ahead = np.round(theta + step, 9)
+            _, have, curvature_ahead = totals(ahead)
+            missed_ahead = have / tokens - goal - PULL * ahead
+            if np.linalg.norm(missed_ahead) < np.linalg.norm(missed) or np.abs(step).max() < TOLERANCE:
+                break
+            step = step / 2
+        if np.abs(step).max() < TOLERANCE:
+            break
+        theta, curvature, missed = ahead, curvature_ahead, missed_ahead
+    else:
+        raise RuntimeError(f"rates did not settle within {MAX_STEPS} steps")
+    return Rates(theta)
 
 
 def copies_of(rate: Column, doc_id: Column, seed: int) -> Column:
@@ -235,7 +243,7 @@ def rate_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(rates.follow(np.array(p.tolist(), float).reshape(len(p), -1))[0])
+        return pd.Series(rates.of(np.array(p.tolist(), float).reshape(len(p), -1)))
 
     out = table.withColumn("rate", rate("posterior")).withColumn("domains", F.array(*[F.lit(d) for d in model.domains]))
     return out.select("doc_id", "n_tokens", "domains", "posterior", "rate", copies_of(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
@@ -251,7 +259,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
         own, found = shared.value
-        return pd.Series(found.follow(np.array([own.posterior(t) for t in texts]).reshape(len(texts), -1))[0])
+        return pd.Series(found.of(np.array([own.posterior(t) for t in texts]).reshape(len(texts), -1)))
 
     counted = docs.withColumn("__copies", F.greatest(F.lit(at_least), copies_of(rate("text"), F.col("doc_id"), seed)))
     return counted.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
