@@ -44,7 +44,7 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
     "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x", "*": "aeiou", "#": "h", "%": "x",
 }
-CHANGE, KEEP, SHRINK, JOIN = -1.5, -4.0, -0.7, -1.0
+CHANGE, KEEP, SHRINK, JOIN = -1.0, -6.0, -0.7, -1.0
 TRAIL = ".,;:!?\"'()[]{}<>*%&#|+-_~`"
 ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 SIGNS = frozenset(LOOKALIKES)
