@@ -23,10 +23,12 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roundwise.llm.shared import slices
 
 PIECE_CHARS = 1 << 16
+ROWS_AT_ONCE = 128
 SAFE_CUT = re.compile(r"(?<=\w) ")
 
 
@@ -63,12 +65,20 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     Columns of these names in ``docs`` are replaced. The ids stand for the text.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    rest = docs.drop("ids", "n_tokens", "text")
+    kept = rest.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(rank_file, pattern)
-        return texts.map(lambda t: np.array(encode_text(coder, t), np.int32))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                ids = [np.array(encode_text(coder, t), np.int32) for t in part.column("text").to_pylist()]
+                arrays = [part.column(c) for c in kept] + [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, "ids", "n_tokens"])
 
-    return docs.drop("ids", "n_tokens").withColumn("ids", ids("text")).drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
+    schema = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    return docs.select(*kept, "text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -88,7 +98,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(rank_file, pattern)
-        for rows in slices(batches, 128):
+        for rows in slices(batches, ROWS_AT_ONCE):
             counts, packed, raw = [], [], []
             for text in rows["text"]:
                 ids = encode_text(coder, text)
