@@ -104,10 +104,10 @@ def deduplicate(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
 
     # hits: every arrival beyond the first of its digest; their bytes against the keeper's
     hits = state.filter("arrived > 1")
-    members = arrived.join(hits, "digest").select("digest", "doc_id", "at", "keeper")
-    keepers = hits.select("digest", F.col("keeper.at").alias("at"))
-    held = content.join(keepers, "at").select("digest", F.col("body").alias("held"))
-    checked = content.select("at", "body").join(members, "at").join(held, "digest")
+    members = arrived.join(hits, "digest").select("digest", "at", "keeper")
+    checked = cut(content.select("at", "body").join(members, "at"), "dedup-hits")
+    held = checked.filter(F.col("at") == F.col("keeper.at")).select("digest", F.col("body").alias("held"))
+    checked = checked.select("digest", "body").join(held, "digest")
     differing = cut(checked.filter(F.col("body") != F.col("held")).select("digest").distinct(), "dedup-differing")
 
     groups = arrived.join(state, "digest").select("digest", "doc_id", "at", "text_sha256", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.at").alias("keep_at"), F.col("arrived").alias("group_size"))
