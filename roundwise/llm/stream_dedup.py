@@ -110,7 +110,9 @@ def deduplicate(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
     checked = cut(content.select("at", "body").join(members, "at"), "dedup-hits")
     held = checked.filter(F.col("at") == F.col("keeper.at")).select("digest", F.col("body").alias("held"))
     checked = checked.select("digest", "body").join(held, "digest")
-    differing = cut(checked.filter(F.col("body") != F.col("held")).select("digest").distinct(), "dedup-differing")
+    # written before distinct, so that the join's large partitions can be split
+    unequal = cut(checked.filter(F.col("body") != F.col("held")).select("digest"), "dedup-unequal")
+    differing = cut(unequal.distinct(), "dedup-differing")
 
     groups = arrived.join(state, "digest").select("digest", "doc_id", "at", "text_sha256", F.col("keeper.doc_id").alias("keep_id"), F.col("keeper.at").alias("keep_at"), F.col("arrived").alias("group_size"))
     if not differing.isEmpty():
