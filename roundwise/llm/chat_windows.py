@@ -22,10 +22,10 @@ conversation like any other; an empty table gives no windows; other columns are
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ BUDGET = 512
 HISTORY = 128
 FRAME_TOKENS = 4
 BLOCK_TURNS = 256
+WINDOWS_AT_ONCE = 256
 WINDOW_SCHEMA = (
     "conv_id long, span long, piece int, formatted string, n_tokens long, n_context int, n_new int, "
     "loss array<struct<start: int, stop: int>>"
@@ -114,48 +115,55 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     if stride <= history:
         raise ValueError("the history must be less than half of the budget")
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable")
-        new = group[~group["repeated"]]
-        out: list[tuple] = []
-        if new.empty:
-            return pd.DataFrame(out, columns=names)
-        conv_id, span = group["conv_id"].iloc[0], group["span"].iloc[0]
-        turns = [tuple(x) for x in group[["place", "role", "text", "n", "repeated"]].itertuples(index=False)]
-        system = group["system"].iloc[0]
-        leading = [] if system is None else [("system", system, int(group["system_n"].iloc[0]))]
-        at = int(group["repeated"].sum())
-        while at < len(turns):
-            own_system = leading and turns[at][0] == 1
-            context = [] if own_system else list(leading)
+    def packed(group: list[dict]) -> Iterator[tuple]:
+        """The windows of one span: its turns in order, possible history first."""
+        head = group[0]
+        leading = [] if head["system"] is None else [("system", head["system"], head["system_n"])]
+        at = sum(t["repeated"] for t in group)
+        piece = 0
+        while at < len(group):
+            context = [] if leading and group[at]["place"] == 1 else list(leading)
             used = sum(n for _, _, n in context)
             stop = at
-            while stop < len(turns) and (stop == at or used + turns[stop][3] <= budget):
-                used += int(turns[stop][3])
+            while stop < len(group) and (stop == at or used + group[stop]["n"] <= budget):
+                used += group[stop]["n"]
                 stop += 1
             past, spent = [], 0
-            for place, role, text, n, _ in reversed(turns[:at]):
-                if (leading and place == 1) or spent + n > history or used + n > budget:
+            for t in reversed(group[:at]):
+                if (leading and t["place"] == 1) or spent + t["n"] > history or used + t["n"] > budget:
                     break
-                past.append((role, text, int(n)))
-                spent, used = spent + int(n), used + int(n)
+                past.append((t["role"], t["text"], t["n"]))
+                spent, used = spent + t["n"], used + t["n"]
             context += reversed(past)
-            text, loss = "", []
-            parts: list[str] = []
-            length = 0
-            for k, (role, body) in enumerate([(r, t) for r, t, _ in context] + [(t[1], t[2]) for t in turns[at:stop]]):
+            parts, loss, length = [], [], 0
+            for k, (role, body) in enumerate([(r, t) for r, t, _ in context] + [(t["role"], t["text"]) for t in group[at:stop]]):
                 text, start, end = render(role, body)
                 if k >= len(context) and role == "assistant":
                     loss.append({"start": length + start, "stop": length + end})
                 parts.append(text)
                 length += len(text)
-            out.append((conv_id, span, len(out), "".join(parts), used, len(context), stop - at, loss))
-            at = stop
-        return pd.DataFrame(out, columns=names)
+            yield head["conv_id"], head["span"], piece, "".join(parts), used, len(context), stop - at, loss
+            at, piece = stop, piece + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = (dict(zip(rows, values, strict=True)) for rows in slices(batches) for values in zip(*rows.values(), strict=True))
+        held: list[tuple] = []
+        for _, group in itertools.groupby(turns, key=lambda t: (t["conv_id"], t["span"])):
+            held.extend(packed(list(group)))
+            if len(held) >= WINDOWS_AT_ONCE:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    def batch_of(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names)
 
     names = ["conv_id", "span", "piece", "formatted", "n_tokens", "n_context", "n_new", "loss"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
     placed = placed_turns(conversations, stride, history)
-    return placed.groupBy("conv_id", "span").applyInPandas(pack, WINDOW_SCHEMA)
+    dealt = placed.repartition(partitions(conversations.sparkSession), "conv_id", "span").sortWithinPartitions("conv_id", "span", "place")
+    return dealt.mapInArrow(run, WINDOW_SCHEMA)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
