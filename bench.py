@@ -26,8 +26,6 @@ HEADLINES = [
     "cohort_flow",
     "rate_trend_factor",
     "logit_trend_by_band",
-    "rate_spline_round",
-    "rate_factor_smooth",
     "smooth_curves",
     "infections_averted",
     "parameter_quantiles",

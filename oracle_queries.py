@@ -301,7 +301,7 @@ oracle("events_by_year", "panel", f"SELECT hivinc, year, {i('count(*)', 'n')} FR
 FIVE_VALUES = ", ".join(f"('{label}')" for _, label in FIVE)
 oracle("contingency_3way", "panel", f"""
 SELECT f.v AS circ_imputed_fix, CAST(r.v AS INTEGER) AS round, b.v AS agecat, {i('count(p.research_id)', 'n')}
-FROM (VALUES (0), (1)) f(v) CROSS JOIN (SELECT unnest(range(1, 28)) AS v) r CROSS JOIN (VALUES {FIVE_VALUES}) b(v)
+FROM (VALUES (0), (1)) f(v) CROSS JOIN (SELECT DISTINCT round AS v FROM panel WHERE circ_imputed_fix IS NOT NULL AND agecat IS NOT NULL) r CROSS JOIN (VALUES {FIVE_VALUES}) b(v)
 LEFT JOIN panel p ON p.circ_imputed_fix = f.v AND p.round = r.v AND p.agecat = b.v GROUP BY 1, 2, 3""")
 oracle("contingency_with_missing", "panel", f"SELECT hivstatus_imputed, {i('count(*)', 'n')} FROM panel GROUP BY 1")
 oracle("column_proportions", "panel", f"""
@@ -344,7 +344,7 @@ LONG_SEX = "CASE sex WHEN 'F' THEN 'Female' WHEN 'M' THEN 'Male' END"
 PLURAL_SEX = "CASE sex WHEN 'F' THEN 'Women' WHEN 'M' THEN 'Men' END"
 oracle("crude_cases_py_agecat", "panel", f"SELECT *, {LONG_SEX} AS strata FROM ({crude('sex, round, agecat')}) WHERE sex IS NOT NULL AND agecat IS NOT NULL")
 oracle("crude_cases_py_agecat3", "panel", f"""
-SELECT {PLURAL_SEX} AS sex, round, agecat3 AS age, round(sum(py)) AS pysum, {i('sum(hivinc)', 'events')}
+SELECT {PLURAL_SEX} AS sex, round, agecat3 AS age, round_even(sum(py), 0) AS pysum, {i('sum(hivinc)', 'events')}
 FROM panel WHERE py IS NOT NULL AND sex IS NOT NULL AND agecat3 IS NOT NULL GROUP BY sex, round, agecat3""")
 RATE = f", {r('100 * sum(hivinc) / sum(py)', 'rate')}"
 oracle("crude_rates", "panel", f"""
@@ -389,8 +389,8 @@ oracle("prevalence_wald", "panel", proportion("hivstatus_imputed", "year, sex"))
 oracle("prevalence_by_agecat", "panel", proportion("hivstatus_imputed", "year, sex, agecat", "WHERE hivstatus_imputed IS NOT NULL"))
 oracle("coverage_onart", "panel", proportion("onART", "year, sex, agecat", "WHERE hivstatus_imputed = 1"))
 oracle("coverage_circumcised", "panel", f"""
-SELECT b.v AS agecat, round, coalesce(n, 0) AS n, coalesce(positives, 0) AS positives, prop, se, lb, ub, 'Male' AS sex
-FROM (VALUES {FIVE_VALUES}) b(v) LEFT JOIN ({proportion('circ_imputed_fix', 'agecat, round', "WHERE sex = 'M' AND circ_imputed_fix IS NOT NULL")}) t ON t.agecat = b.v""")
+SELECT coalesce(b.v, t.agecat) AS agecat, round, coalesce(n, 0) AS n, coalesce(positives, 0) AS positives, prop, se, lb, ub, 'Male' AS sex
+FROM (VALUES {FIVE_VALUES}) b(v) FULL JOIN ({proportion('circ_imputed_fix', 'agecat, round', "WHERE sex = 'M' AND circ_imputed_fix IS NOT NULL")}) t ON t.agecat = b.v""")
 EVER = "eversex_clean_imputed"
 oracle("eversex_both_null_policies", "panel", f"""
 SELECT *, 'ignore' AS null_policy FROM ({proportion(EVER, 'agecat, round, sex')})
@@ -454,10 +454,10 @@ part("prev_preds", "prev_lines", """
 SELECT sex, agecat, round, fit, se_fit, 1 / (1 + exp(-fit)) AS prob, 1 / (1 + exp(-(fit - 1.96 * se_fit))) AS lb, 1 / (1 + exp(-(fit + 1.96 * se_fit))) AS ub
 FROM (SELECT sex, agecat, CAST(g.v AS INTEGER) AS round, b0 + b1 * (g.v - 13.0) AS fit,
     sqrt(v00 + 2 * (g.v - 13.0) * v01 + (g.v - 13.0) * (g.v - 13.0) * v11) AS se_fit
-  FROM prev_lines CROSS JOIN (SELECT unnest(range(6, 20)) AS v) g)""")
+  FROM prev_lines JOIN (SELECT sex AS s, agecat AS a, unnest(range(CAST(min(x) + 13 AS BIGINT), CAST(max(x) + 14 AS BIGINT))) AS v FROM prev_cells GROUP BY sex, agecat) g ON g.s = sex AND g.a = agecat)""")
 oracle("logit_trend_by_band", "prev_preds", f"""
 SELECT p.sex, p.agecat, p.round, {r('p.fit', 'fit')}, {r('p.se_fit', 'se_fit')}, {r('p.prob', 'prob')}, {r('p.lb', 'lb')}, {r('p.ub', 'ub')}, {r('p.prob / b.prob', 'prevrr')}
-FROM prev_preds p JOIN prev_preds b ON b.sex = p.sex AND b.agecat = p.agecat AND b.round = 6""")
+FROM prev_preds p LEFT JOIN prev_preds b ON b.sex = p.sex AND b.agecat = p.agecat AND b.round = 6""")
 oracle("logit_coefficients", "prev_lines", f"""
 SELECT sex, agecat, '(Intercept)' AS term, {r('b0', 'estimate')}, {r('sqrt(v00)', 'std_error')}, {r('b0 / sqrt(v00)', 'z')} FROM prev_lines
 UNION ALL SELECT sex, agecat, 'slope', {r('b1', 'estimate')}, {r('sqrt(v11)', 'std_error')}, {r('b1 / sqrt(v11)', 'z')} FROM prev_lines""")

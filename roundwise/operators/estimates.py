@@ -188,9 +188,10 @@ def with_wald(cells: DataFrame) -> DataFrame:
 
 
 def keep_empty_bands(cells: DataFrame, band: str, levels: Sequence[str], counts: list[str]) -> DataFrame:
-    """Add one zero row for every band without any row, other keys NULL."""
+    """Add one zero row for every listed band without any row, other keys NULL; rows of
+    other bands and rows without a band stay."""
     every = cells.sparkSession.createDataFrame([(v,) for v in levels], f"{band} string")
-    return every.join(cells, band, "left").fillna(0, counts)
+    return every.join(cells, band, "full").fillna(0, counts)
 
 
 # --- contingency tables -----------------------------------------------------------
@@ -199,23 +200,28 @@ def keep_empty_bands(cells: DataFrame, band: str, levels: Sequence[str], counts:
 def contingency(df: DataFrame, columns: list[str], levels: Mapping[str, Sequence] | None = None, keep_missing: bool = False) -> DataFrame:
     """Counts of value combinations.
 
-    Rows with a missing value are dropped unless ``keep_missing``. With ``levels``
-    for every column, combinations that never occur get a zero.
+    Rows with a missing value are dropped unless ``keep_missing``. With ``levels`` for
+    every column, combinations that never occur get a zero; the levels listed (maybe
+    none) are completed by those that occur.
     """
     data = df if keep_missing else df.dropna(subset=columns)
     counts = data.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     if not levels:
         return counts
-    grid = level_grid(df.sparkSession, {c: levels[c] for c in columns})
-    return grid.join(counts, columns, "left").fillna(0, ["n"])
+    grid = level_grid(counts, {c: levels[c] for c in columns})
+    same = [grid[c].eqNullSafe(counts[c]) for c in columns]
+    return grid.join(counts, same, "left").select(*[grid[c] for c in columns], F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def level_grid(spark, levels: Mapping[str, Sequence]) -> DataFrame:
-    """All combinations of the listed levels, generated column by column."""
-    grid = spark.range(1).select()
+def level_grid(counts: DataFrame, levels: Mapping[str, Sequence]) -> DataFrame:
+    """All combinations of the levels listed or found in a table of counts, generated
+    column by column from one row of level sets."""
+    kinds = dict(counts.dtypes)
+    found = counts.agg(*[F.collect_set(name).alias(f"_{name}") for name in levels])
     for name, values in levels.items():
-        grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    return grid
+        listed = F.array(*[F.lit(v) for v in values]).cast(f"array<{kinds[name]}>")
+        found = found.select("*", F.explode(F.array_union(listed, f"_{name}")).alias(name))
+    return found.select(*levels)
 
 
 def column_proportions(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -13,7 +13,8 @@ from roundwise.functions import codes
 from roundwise.functions.intervals import log_link, logit_link
 from roundwise.operators.panel import ROUND
 
-NEWTON_STEPS = 12
+NEWTON_STEPS = 30
+TOLERANCE = 1e-9
 
 
 def rate_cells(df: DataFrame, by: list[str]) -> DataFrame:
@@ -67,7 +68,10 @@ def logit_lines(cells: DataFrame, strata: list[str], x: str = ROUND, centre: flo
     coefficients.
 
     Each stratum is one short array of cells (a cell per round), iterated by built-in
-    array functions; the data themselves are not touched again.
+    array functions; the data themselves are not touched again. ``converged`` tells
+    whether a further step would move less than the tolerance; a stratum that is
+    separated or has not converged has no fit (NULL). ``first`` and ``last`` are the
+    ends of its observed range.
     """
     point = F.struct(
         (F.col(x) - centre).cast("double").alias("x"),
@@ -78,6 +82,8 @@ def logit_lines(cells: DataFrame, strata: list[str], x: str = ROUND, centre: flo
         F.array_sort(F.collect_list(point)).alias("_pts"),
         F.sum("n").alias("n"),
         F.sum("positives").alias("positives"),
+        F.min(x).alias("first"),
+        F.max(x).alias("last"),
     )
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("g0", "g1", "h00", "h01", "h11")])
 
@@ -112,11 +118,19 @@ def logit_lines(cells: DataFrame, strata: list[str], x: str = ROUND, centre: flo
     )
     fitted = grouped.withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step))
     fitted = fitted.withColumn("_m", sums(F.col("_b.b0"), F.col("_b.b1")))
+    move = step(F.col("_b"), F.lit(0))
+    size = F.abs(move["b0"] - F.col("_b.b0")) + F.abs(move["b1"] - F.col("_b.b1"))
+    settled = size <= TOLERANCE * (1 + F.abs(F.col("_b.b0")) + F.abs(F.col("_b.b1")))
+    fitted = fitted.withColumn("converged", F.coalesce(settled & ~F.isnan(size), F.lit(False)))
+    fitted = fitted.withColumns({"_b": F.when(F.col("converged"), F.col("_b")), "_m": F.when(F.col("converged"), F.col("_m"))})
     det = F.col("_m.h00") * F.col("_m.h11") - F.col("_m.h01") * F.col("_m.h01")
     return fitted.select(
         *strata,
         "n",
         "positives",
+        "first",
+        "last",
+        "converged",
         F.col("_b.b0").alias("intercept"),
         F.col("_b.b1").alias("slope"),
         F.try_divide(F.col("_m.h11"), det).alias("v00"),
@@ -125,9 +139,9 @@ def logit_lines(cells: DataFrame, strata: list[str], x: str = ROUND, centre: flo
     )
 
 
-def predict_lines(lines: DataFrame, first: int, last: int, x: str = ROUND, centre: float = 0.0) -> DataFrame:
-    """Fitted lines on every integer from ``first`` to ``last``, with intervals."""
-    grid = lines.withColumn(x, F.explode(F.sequence(F.lit(first), F.lit(last))))
+def predict_lines(lines: DataFrame, x: str = ROUND, centre: float = 0.0) -> DataFrame:
+    """Fitted lines on every integer of each stratum's observed range, with intervals."""
+    grid = lines.withColumn(x, F.explode(F.sequence("first", "last")))
     d = F.col(x) - centre
     grid = grid.withColumns(
         {

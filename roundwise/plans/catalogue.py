@@ -14,7 +14,6 @@ from roundwise.operators import demographics as D
 from roundwise.operators import estimates as E
 from roundwise.operators import panel as P
 from roundwise.operators import quantiles as Q
-from roundwise.operators import splines as S
 from roundwise.operators import trends as M
 from roundwise.plans import cohort as C
 from roundwise.plans import fixtures as X
@@ -23,7 +22,6 @@ from roundwise.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-ROUNDS = list(range(1, 28))
 FIVE_YEAR = codes.band_labels(**codes.FIVE_YEAR_BANDS)
 RATE_REFERENCE, PREVALENCE_REFERENCE = 7, 6
 CENTRE = 13.0
@@ -95,7 +93,7 @@ def csv_round_trip(spark, d):
     table = E.proportion_table(_panel(spark, d), "hivstatus_imputed", ["year", "sex"])
     table = table.withColumn("share", F.col("prop")).withColumn("year", F.col("year").cast("string"))
     names = ["year", "sex", "prevcount", "hivpos", "hivprev", "se", "lb", "ub"]
-    path = sinks.write_csv(table, shared_folder(spark), names, positions=list(range(8)))
+    path = sinks.write_csv(table, shared_folder(spark), names, positions=list(range(8)), single_file=True)
     return readers.read_csv(spark, path, readers.PREVALENCE_BY_SEX)
 
 
@@ -327,8 +325,9 @@ def events_by_year(spark, d):
 
 @query
 def contingency_3way(spark, d):
+    """Zero-filled over the listed levels and every level that occurs."""
     panel = _panel(spark, d)
-    return E.contingency(panel, ["circ_imputed_fix", "round", "agecat"], {"circ_imputed_fix": [0, 1], "round": ROUNDS, "agecat": FIVE_YEAR})
+    return E.contingency(panel, ["circ_imputed_fix", "round", "agecat"], {"circ_imputed_fix": [0, 1], "round": [], "agecat": FIVE_YEAR})
 
 
 @query
@@ -417,7 +416,7 @@ def crude_cases_py_agecat(spark, d):
 @query
 def crude_cases_py_agecat3(spark, d):
     table = E.crude_person_time(_panel(spark, d), ["sex", "round", "agecat3"])
-    shown = table.withColumn("pysum", F.round("pysum")).withColumn("sex", codes.recode("sex", codes.SEX_PLURAL))
+    shown = table.withColumn("pysum", F.bround("pysum")).withColumn("sex", codes.recode("sex", codes.SEX_PLURAL))
     return shown.withColumnRenamed("agecat3", "age").dropna()
 
 
@@ -537,7 +536,7 @@ def _prevalence_lines(panel):
 @query
 def logit_trend_by_band(spark, d):
     """Prevalence as a straight line on the logit scale per sex and band, with ratio."""
-    preds = M.predict_lines(_prevalence_lines(_panel(spark, d)), 6, 19, centre=CENTRE)
+    preds = M.predict_lines(_prevalence_lines(_panel(spark, d)), centre=CENTRE)
     preds = M.ratio_to_reference(preds, ["sex", "agecat"], "prob", PREVALENCE_REFERENCE, "prevrr")
     return preds.select("sex", "agecat", "round", "fit", "se_fit", "prob", "lb", "ub", "prevrr")
 
@@ -575,7 +574,7 @@ def new_infections(spark, d):
 def ingest_form(spark, d):
     cells = _cells(spark, d)
     lines = M.logit_lines(E.cell_status(cells, ["sex", "agecat", "round"]), ["sex", "agecat"], centre=CENTRE)
-    preds = M.predict_lines(lines, 6, 19, centre=CENTRE).join(E.cell_years(cells).withColumnRenamed("Year", "year"), "round")
+    preds = M.predict_lines(lines, centre=CENTRE).join(E.cell_years(cells).withColumnRenamed("Year", "year"), "round")
     return M.ingest_form(preds, E.effective_counts(cells))
 
 
@@ -684,88 +683,3 @@ def top_rows(spark, d):
     """The six cells with the most events, latest round first among equals."""
     table = E.crude_person_time(_panel(spark, d), ["sex", "round", "agecat"]).dropna()
     return table.orderBy(F.desc("events"), F.desc("round"), "sex", "agecat").limit(6)
-
-
-# --- smoothed trends ---------------------------------------------------------------
-
-
-@query
-def rate_spline_round(spark, d):
-    """Smoothed rate per 100 person-years by round: overall, by sex, by sex and band."""
-    cells = _cells(spark, d)
-    stacked = E.cell_fit_time(cells, ["sex", "agecat3", "round"])
-    for strata in (["sex", "round"], ["round"]):
-        stacked = stacked.unionByName(E.cell_fit_time(cells, strata), allowMissingColumns=True)
-    return S.rate_smooth(stacked, ["sex", "agecat3"], "curve", per=100.0)
-
-
-def _rate_surface(cells):
-    by_age = E.cell_fit_time(cells, ["sex", "round", "ageyrs2"]).withColumnRenamed("ageyrs2", "age")
-    return S.rate_smooth(by_age, ["sex"], "surface").withColumnRenamed("age", "ageyrs2")
-
-
-@query
-def rate_surface(spark, d):
-    """Rate over round and age per sex, with year and ratio to the reference round."""
-    cells = _cells(spark, d)
-    preds = M.ratio_to_reference(_rate_surface(cells), ["sex", "ageyrs2"], "inc", RATE_REFERENCE, "irr")
-    return preds.join(E.cell_years(cells), "round")
-
-
-@query
-def new_infections_surface(spark, d):
-    """Expected events per sex, round and age: smoothed rate times person-years."""
-    cells, keys = _cells(spark, d), ["sex", "round", "ageyrs2"]
-    return M.new_infections(_rate_surface(cells), E.cell_person_time(cells, keys).drop("events"), keys)
-
-
-@query
-def rate_factor_smooth(spark, d):
-    """Common and band-specific rate curves per sex, with year, ratio, crude counts."""
-    cells, keys = _cells(spark, d), ["sex", "agecat", "round"]
-    preds = S.rate_smooth(E.cell_fit_time(cells, keys).withColumnRenamed("agecat", "band"), ["sex"], "bands").withColumnRenamed("band", "agecat")
-    preds = M.ratio_to_reference(preds, ["sex", "agecat"], "inc", RATE_REFERENCE, "irr")
-    return preds.join(E.cell_years(cells), "round").join(E.cell_person_time(cells, keys), keys)
-
-
-def _surface(panel, flag, reference):
-    cells = M.binomial_cells(panel, flag, ["sex", "round", "ageyrs2"]).dropna().withColumnRenamed("ageyrs2", "age")
-    return M.ratio_to_reference(S.proportion_smooth(cells, ["sex"], "surface"), ["sex", "age"], "prob", reference, "ratio")
-
-
-@query
-def prevalence_surface(spark, d):
-    return _surface(_panel(spark, d), "hivstatus_imputed", PREVALENCE_REFERENCE)
-
-
-@query
-def onart_surface(spark, d):
-    """Treatment coverage of the positive over round and age, upper bounds patched."""
-    return M.patch_upper_bound(_surface(_panel(spark, d).where("hivstatus_imputed = 1"), "onART", PREVALENCE_REFERENCE), 0.01)
-
-
-@query
-def circumcised_surface(spark, d):
-    return _surface(_panel(spark, d).where("sex = 'M'"), "circ_imputed_fix", 8)
-
-
-@query
-def eversex_surface(spark, d):
-    return _surface(_panel(spark, d), "eversex_clean_imputed", PREVALENCE_REFERENCE)
-
-
-@query
-def circumcised_factor_smooth(spark, d):
-    """Circumcised share of men: common and band-specific curves over rounds."""
-    men = _panel(spark, d).where("sex = 'M'")
-    cells = M.binomial_cells(men, "circ_imputed_fix", ["sex", "agecat", "round"]).dropna().withColumnRenamed("agecat", "band")
-    return M.ratio_to_reference(S.proportion_smooth(cells, ["sex"], "bands"), ["sex", "band"], "prob", 8, "ratio")
-
-
-@query
-def eversex_spline(spark, d):
-    """Ever-sex share of the two youngest bands by sex as one curve each."""
-    young = _panel(spark, d).where(F.col("agecat").isin(*FIVE_YEAR[:2]))
-    cells = M.binomial_cells(young, "eversex_clean_imputed", ["sex", "agecat", "round"]).dropna()
-    preds = S.proportion_smooth(cells, ["sex", "agecat"], "curve")
-    return M.ratio_to_reference(preds, ["sex", "agecat"], "prob", PREVALENCE_REFERENCE, "prevrr")

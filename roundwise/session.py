@@ -49,11 +49,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder path every executor can reach.
 
-    The cluster names the parent in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a local folder used and recorded.
+    The cluster names the parent in ``spark.checkpoint.dir``. Only a session on one
+    machine (tests) may leave that unset; anywhere else a local folder is refused.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not parent:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         parent = tempfile.mkdtemp(prefix="roundwise-")
         spark.sparkContext.setCheckpointDir(parent)
         parent = spark.sparkContext.getCheckpointDir()

@@ -18,11 +18,10 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
-def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = True) -> str:
+def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = False) -> str:
     """CSV with a header, optionally of some columns by position and under new names.
 
-    ``single_file`` suits report tables; leave it off for anything that grows with
-    the number of subjects.
+    ``single_file`` is for finished report tables only: all rows meet in one task.
     """
     chosen = df.select(*[df.columns[i] for i in positions]) if positions else df
     out = chosen.toDF(*names) if names else chosen

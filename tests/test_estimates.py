@@ -124,3 +124,15 @@ def test_empty_band_is_kept(spark):
     cells = spark.createDataFrame([("x", 1, 2, 1)], "band string, round int, n bigint, positives bigint")
     rows = {r["band"]: r for r in E.keep_empty_bands(cells, "band", ["x", "y"], ["n", "positives"]).collect()}
     assert (rows["y"]["round"], rows["y"]["n"]) == (None, 0)
+
+
+def test_contingency_keeps_levels_beyond_the_listed(spark):
+    df = spark.createDataFrame([(1, "x"), (28, "x"), (29, "y")], "round int, g string")
+    got = {(r["round"], r["g"]): r["n"] for r in E.contingency(df, ["round", "g"], {"round": [2], "g": []}).collect()}
+    assert got == {(r, g): int((r, g) in {(1, "x"), (28, "x"), (29, "y")}) for r in (1, 2, 28, 29) for g in "xy"}
+
+
+def test_empty_bands_are_added_and_missing_bands_kept(spark):
+    cells = spark.createDataFrame([("a", 3), (None, 2)], "band string, n long")
+    got = {r["band"]: r["n"] for r in E.keep_empty_bands(cells, "band", ["a", "b"], ["n"]).collect()}
+    assert got == {"a": 3, "b": 0, None: 2}

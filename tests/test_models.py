@@ -3,62 +3,8 @@ import pandas as pd
 import pytest
 
 from roundwise.operators import curves as K
-from roundwise.operators import splines as S
 from roundwise.operators import trends as M
 
-# Published cells and spline results of two strata, rounds 7 to 19: events, rounded
-# person-years, smoothed rate per 100 and bounds as printed.
-SPLINE_STRATA = {
-    "women 25-34": [
-        (6, 699, 1.35, 0.94, 1.94), (19, 1177, 1.41, 1.08, 1.84), (15, 1373, 1.46, 1.19, 1.79), (30, 1589, 1.5, 1.26, 1.78),
-        (33, 2107, 1.5, 1.28, 1.75), (35, 2681, 1.46, 1.25, 1.7), (44, 2896, 1.38, 1.19, 1.61), (36, 2669, 1.28, 1.1, 1.49),
-        (31, 2761, 1.15, 0.99, 1.34), (27, 3367, 1.02, 0.87, 1.2), (34, 2773, 0.89, 0.74, 1.07), (20, 2633, 0.76, 0.61, 0.96),
-        (13, 2690, 0.65, 0.47, 0.88),
-    ],
-    "men 15-24": [
-        (9, 776, 1.27, 0.9, 1.79), (10, 1193, 1.13, 0.85, 1.5), (16, 1267, 1.0, 0.79, 1.27), (12, 1307, 0.89, 0.72, 1.1),
-        (9, 1366, 0.78, 0.64, 0.96), (11, 1547, 0.69, 0.56, 0.84), (12, 1776, 0.6, 0.49, 0.74), (16, 1728, 0.52, 0.42, 0.65),
-        (8, 1873, 0.45, 0.36, 0.57), (5, 2373, 0.39, 0.3, 0.5), (5, 2265, 0.33, 0.25, 0.45), (6, 2329, 0.29, 0.2, 0.41),
-        (7, 2262, 0.25, 0.16, 0.37),
-    ],
-}
-# Published cells of women by five-year band, rounds 7 to 19: events and person-years.
-BAND_CELLS = {
-    "[15,20)": ([3, 6, 9, 5, 13, 7, 5, 6, 6, 8, 3, 0, 2], [445.4, 548.0, 548.8, 447.2, 469.4, 511.5, 573.6, 679.3, 716.9, 730.6, 810.6, 810.6, 828.3]),
-    "[20,25)": ([13, 18, 16, 23, 14, 15, 22, 14, 20, 21, 20, 7, 7], [611.7, 941.2, 1020.8, 1160.0, 1214.3, 1241.7, 1211.2, 1017.7, 1131.0, 1470.6, 1261.1, 1253.9, 1170.4]),
-    "[25,30)": ([4, 16, 9, 19, 25, 18, 24, 20, 18, 18, 21, 9, 6], [451.9, 742.1, 846.3, 950.3, 1204.8, 1499.3, 1624.9, 1355.4, 1392.3, 1619.1, 1406.0, 1285.0, 1307.2]),
-    "[30,35)": ([2, 3, 6, 11, 8, 17, 20, 16, 13, 9, 13, 11, 7], [247.1, 435.4, 526.6, 639.0, 902.5, 1181.9, 1270.8, 1313.6, 1368.4, 1748.0, 1367.5, 1347.8, 1383.2]),
-    "[35,40)": ([2, 5, 2, 5, 9, 4, 10, 13, 4, 8, 8, 10, 7], [256.0, 345.5, 347.6, 378.4, 482.9, 674.6, 834.3, 897.4, 995.5, 1363.5, 1299.2, 1293.1, 1391.0]),
-    "[40,45)": ([1, 1, 4, 3, 1, 5, 2, 8, 3, 5, 1, 4, 8], [218.4, 337.2, 356.5, 391.4, 416.2, 469.0, 477.6, 490.8, 619.3, 920.9, 912.1, 974.9, 1223.6]),
-    "[45,50)": ([2, 1, 2, 0, 2, 6, 6, 2, 7, 2, 3, 2, 1], [145.2, 232.7, 219.8, 288.2, 421.4, 484.5, 485.4, 415.9, 386.6, 494.0, 475.4, 563.2, 790.3]),
-}
-# Published factor-smooth results at some of those cells: rate per year and bounds.
-BAND_RESULTS = {
-    ("[15,20)", 7): (0.010375, 0.005756, 0.018702), ("[15,20)", 13): (0.012706, 0.009161, 0.017625), ("[15,20)", 19): (0.002035, 0.000878, 0.004716),
-    ("[20,25)", 13): (0.01552, 0.0122, 0.019743), ("[25,30)", 13): (0.015424, 0.013126, 0.018124), ("[30,35)", 19): (0.00593, 0.004084, 0.00861),
-    ("[35,40)", 7): (0.010413, 0.006044, 0.017941), ("[40,45)", 13): (0.007243, 0.005241, 0.01001), ("[45,50)", 19): (0.002116, 0.000717, 0.006245),
-}
-
-
-def test_spline_rates_reproduce_published_rows(spark):
-    rows = [(name, 7 + i, k, float(t)) for name, cells in SPLINE_STRATA.items() for i, (k, t, *_) in enumerate(cells)]
-    cells = spark.createDataFrame(rows, "stratum string, round int, events bigint, pysum double")
-    preds = S.rate_smooth(cells, ["stratum"], "curve", per=100.0).toPandas().set_index(["stratum", "round"])
-    for name, published in SPLINE_STRATA.items():
-        for i, (_, _, *expected) in enumerate(published):
-            got = preds.loc[(name, 7 + i), ["inc", "lb", "ub"]].to_numpy(dtype=float)
-            assert np.abs(got - expected).max() < 0.01
-
-
-def test_factor_smooth_reproduces_published_rows(spark):
-    rows = [("F", 7 + i, band, k, t) for band, (ks, ts) in BAND_CELLS.items() for i, (k, t) in enumerate(zip(ks, ts))]
-    cells = spark.createDataFrame(rows, "sex string, round int, band string, events bigint, pysum double")
-    preds = S.rate_smooth(cells, ["sex"], "bands").toPandas().set_index(["band", "round"])
-    for key, expected in BAND_RESULTS.items():
-        got = preds.loc[key, ["inc", "lb", "ub"]].to_numpy(dtype=float)
-        assert np.abs(got / expected - 1).max() < 0.02
-
-
 def binomial_cells(seed=1, slope=0.12):
     rng = np.random.default_rng(seed)
     rounds = np.arange(6, 20)
@@ -92,33 +38,14 @@ def test_logit_lines_without_variation_have_no_fit(spark):
     assert M.logit_lines(spark.createDataFrame(cells), ["g"]).first()["slope"] is None
 
 
-def test_stiff_spline_is_the_line_and_free_spline_the_cells():
-    cells = binomial_cells()
-    y, n = cells["positives"].to_numpy(float), cells["n"].to_numpy(float)
-    design, (penalty,) = S.curve_design(cells)
-    x, start = design(cells), np.log((y + 0.5) / (n - y + 0.5))
-    stiff = S._fit(x, y, n, "binomial", 1e9 * penalty, start)[2]
-    b, _ = newton(cells, 0.0)
-    assert np.allclose(stiff, b[0] + b[1] * cells["round"], atol=1e-4)
-    few = cells.iloc[:8]
-    design, (penalty,) = S.curve_design(few)
-    y, n = few["positives"].to_numpy(float), few["n"].to_numpy(float)
-    free = S._fit(design(few), y, n, "binomial", 0 * penalty, np.log((y + 0.5) / (n - y + 0.5)))[2]
-    assert np.allclose(free, np.log(y / (n - y)), atol=1e-6)
-
-
-def test_surface_recovers_an_additive_truth(spark):
-    rng = np.random.default_rng(5)
-    grid = pd.MultiIndex.from_product([range(6, 20), range(15, 50)], names=["round", "age"]).to_frame(index=False).astype("int32")
-    truth = -1 + 0.6 * np.sin(grid["round"] / 4) + 0.05 * (grid["age"] - 30)
-    n = np.full(len(grid), 400)
-    cells = grid.assign(sex="F", n=n, positives=rng.binomial(n, 1 / (1 + np.exp(-truth))))
-    preds = S.proportion_smooth(spark.createDataFrame(cells), ["sex"], "surface").toPandas()
-    merged = preds.merge(grid.assign(truth=truth), on=["round", "age"])
-    assert len(merged) == len(grid)
-    assert np.abs(merged["fit"] - merged["truth"]).mean() < 0.05
-    covered = np.abs(merged["fit"] - merged["truth"]) < 1.96 * merged["se_fit"]
-    assert covered.mean() > 0.85
+def test_logit_lines_of_separated_and_steep_strata(spark):
+    rounds = list(range(6, 31))
+    rows = [("apart", r, 100, 100 if r > 15 else 0) for r in rounds] + [("steep", r, 1000, min(999, max(1, int(1000 / (1 + np.exp(-1.5 * (r - 18))))))) for r in rounds]
+    lines = M.logit_lines(spark.createDataFrame(rows, "g string, round int, n long, positives long"), ["g"], centre=13.0)
+    got = {r["g"]: r for r in lines.collect()}
+    assert not got["apart"]["converged"] and got["apart"]["slope"] is None
+    assert got["steep"]["converged"] and got["steep"]["slope"] > 0.5
+    assert M.predict_lines(lines, centre=13.0).agg({"round": "max"}).first()[0] == 30
 
 
 def direct_loess(x, y, span):
