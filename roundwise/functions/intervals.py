@@ -39,6 +39,11 @@ def interval_text(value: Column, low: Column, high: Column) -> Column:
     return F.format_string("%.2f (%.2f–%.2f)", value, low, high)
 
 
+# from this shape on the expansion is exact to rounding
+UNIFORM_FROM = 1e4
+MAX_STEPS = 60
+
+
 def _lower_gamma(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Regularised lower incomplete gamma P(a, x) and its density in x, for x > 0."""
     log_gamma = np.array([math.lgamma(v) for v in a])
@@ -78,14 +83,41 @@ def _lower_gamma(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             c = np.where(np.abs(c) < tiny, tiny, c)
             delta = c * d
             h = h * delta
-            if (np.abs(delta - 1) < 1e-16).all():
-                break
-            if i > 20 * math.sqrt(float(t_a.max())) + 1000:
+            if (np.abs(delta - 1) <= 4e-16).all():
                 break
         out[tail] = 1 - h * density[tail] * t_x
     return out, density
 
 
+def _excess(u: np.ndarray) -> np.ndarray:
+    """u - log(1 + u) without cancellation for small u."""
+    series = sum((-1) ** n * u**n / n for n in range(2, 12))
+    return np.where(np.abs(u) < 0.02, series, u - np.log1p(u))
+
+
+def _uniform_lower_gamma(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for large ``a``, at a cost that does not depend on it: the uniform
+    expansion around the normal law with its first two correction terms."""
+    u = (x - a) / a
+    eta = np.sign(u) * np.sqrt(2 * _excess(u))
+    safe = np.where(np.abs(u) < 1e-6, 1e-6, u)
+    safe_eta = np.sign(safe) * np.sqrt(2 * _excess(safe))
+    first = np.where(np.abs(u) < 1e-3, -1 / 3 + u / 12 - 23 * u**2 / 540, 1 / safe - 1 / safe_eta)
+    second = np.where(np.abs(u) < 1e-2, -1 / 540 - u / 288, 1 / safe_eta**3 - 1 / safe**3 - 1 / safe**2 - 1 / (12 * safe))
+    normal = np.array([math.erfc(-v) / 2 for v in eta * np.sqrt(a / 2)])
+    bell = np.exp(-a * eta**2 / 2) / np.sqrt(2 * math.pi * a)
+    return normal - bell * (first + second / a), bell / ((1 + u) * (1 + 1 / (12 * a)))
+
+
+def _lower_gamma_any(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    value, density = np.empty_like(x), np.empty_like(x)
+    large = a >= UNIFORM_FROM
+    for part, rule in ((large, _uniform_lower_gamma), (~large, _lower_gamma)):
+        if part.any():
+            value[part], density[part] = rule(a[part], x[part])
+    return value, density
+
+
 def gamma_quantile(p: float, shape: np.ndarray) -> np.ndarray:
     """Quantile of the unit-scale gamma: normal-cube start, then damped Newton steps.
 
@@ -95,15 +127,15 @@ def gamma_quantile(p: float, shape: np.ndarray) -> np.ndarray:
     z = math.copysign(_Z, p - 0.5)
     x = a * (1 - 1 / (9 * a) + z / (3 * np.sqrt(a))) ** 3
     x = np.maximum(x, 1e-3 * a)
-    for _ in range(60):
-        value, density = _lower_gamma(a, x)
-        step = (value - p) / density
-        new = np.clip(x - step, x / 2, x * 2)
+    for _ in range(MAX_STEPS):
+        value, density = _lower_gamma_any(a, x)
+        new = np.clip(x - (value - p) / density, x / 2, x * 2)
         moved = np.abs(new - x)
         x = new
-        if (moved <= 1e-15 * x).all():
-            break
-    return x
+        # steps square the error: what is left after this one is below rounding
+        if (moved <= 1e-9 * x).all():
+            return x
+    raise ArithmeticError(f"no gamma quantile within {MAX_STEPS} steps")
 
 
 _LIMITS = T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])

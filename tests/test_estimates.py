@@ -136,3 +136,22 @@ def test_empty_bands_are_added_and_missing_bands_kept(spark):
     cells = spark.createDataFrame([("a", 3), (None, 2)], "band string, n long")
     got = {r["band"]: r["n"] for r in E.keep_empty_bands(cells, "band", ["a", "b"], ["n"]).collect()}
     assert got == {"a": 3, "b": 0, None: 2}
+
+
+@pytest.mark.parametrize("p", [0.025, 0.975])
+def test_gamma_quantiles_of_large_shapes(p):
+    """The expansion agrees with series and fraction where both work, and with the
+    first terms of the Cornish-Fisher series where those are exact to rounding."""
+    import time
+
+    from roundwise.functions import intervals
+
+    for shape in (1e4, 3.7e4, 1e5):
+        x = gamma_quantile(p, np.array([shape]))
+        assert abs(intervals._lower_gamma(np.array([shape]), x)[0][0] - p) < 1e-10
+    z = math.copysign(1.959963984540054, p - 0.5)
+    start = time.perf_counter()
+    for shape in (1e8, 1e10, 1e14):
+        series = shape + z * math.sqrt(shape) + (z * z - 1) / 3 + (z**3 - 7 * z) / (36 * math.sqrt(shape))
+        assert abs(gamma_quantile(p, np.array([shape]))[0] - series) <= 1e-9 * math.sqrt(shape) + 4e-16 * shape
+    assert time.perf_counter() - start < 0.1
