@@ -231,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
             got = [drawn_signals(evidence_codes(reader.restore(t or "")), evidence.value) for t in rows["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(rows["toxic"], pa.int32()), pa.array([a for a, _ in got], pa.float64()), pa.array([b for _, b in got], pa.float64())], ["toxic", "strength", "n"])
 
-    data = labelled.mapInArrow(signals, "toxic int, strength double, n double").orderBy("strength", "n", "toxic").toArrow()
+    # at most as many rows as the sample has; sorted, so that sums do not depend on their order
+    data = labelled.mapInArrow(signals, "toxic int, strength double, n double").toArrow().sort_by([(c, "ascending") for c in ("strength", "n", "toxic")])
     x = np.column_stack([np.ones(data.num_rows), data["strength"].to_numpy(), data["n"].to_numpy()])
     return Model(table, weights, logistic(x, data["toxic"].to_numpy().astype(float)))
 
