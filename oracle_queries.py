@@ -263,9 +263,9 @@ FROM circ_lagged""")
 part("ever_rows", "quest", "SELECT research_id, round, eversex_clean FROM quest")
 part("ever_filled", "ever_rows", imputation("ever_rows", "eversex_clean", "eversex_clean_imputed"))
 oracle("eversex_imputed", "ever_filled", "SELECT research_id, round, eversex_clean, eversex_clean_imputed FROM ever_filled")
-part("blanked", "timed visits", """
+part("blanked", "panel visits", """
 SELECT t.research_id, t.round, t.hivinc, CASE WHEN v.research_id IS NOT NULL THEN t.py END AS py
-FROM timed t LEFT JOIN visits v ON v.research_id = t.research_id AND v.round = t.round""")
+FROM panel t LEFT JOIN visits v ON v.research_id = t.research_id AND v.round = t.round""")
 oracle("event_without_person_time", "blanked", f"""
 SELECT research_id, round, hivinc, {r('py')} FROM blanked
 WHERE research_id IN (SELECT research_id FROM blanked WHERE hivinc = 1 AND py IS NULL)""")
@@ -296,8 +296,16 @@ oracle("events_by_sex", "panel", f"SELECT sex, ageyrs2 < 25 AS under25, {i('coun
 oracle("rounds_per_subject", "panel", f"""
 SELECT {i('count(*)', 'n_subjects')}, {r('avg(n)', 'mean_rounds')} FROM (SELECT research_id, count(*) AS n FROM panel GROUP BY research_id)""")
 oracle("status_by_round_pivot", "visits", "SELECT round, " + ", ".join(
-    f"nullif({f'count(DISTINCT CASE WHEN finalhiv = {v!r} THEN research_id END)'}, 0) AS {v}" for v in "NPS") + " FROM visits GROUP BY round")
-oracle("events_by_year", "panel", f"SELECT hivinc, year, {i('count(*)', 'n')} FROM panel WHERE hivinc IS NOT NULL AND year IS NOT NULL GROUP BY 1, 2")
+    f"nullif({f'count(DISTINCT CASE WHEN finalhiv = {v!r} THEN research_id END)'}, 0) AS {v}" for v in "NPS")
+    + ", nullif(count(DISTINCT CASE WHEN finalhiv IS NULL THEN research_id END), 0) AS missing FROM visits GROUP BY round")
+def zero_filled(table: str, columns: list[str]) -> str:
+    known = f"(SELECT * FROM {table} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)})"
+    levels = " CROSS JOIN ".join(f"(SELECT DISTINCT {c} FROM {known})" for c in columns)
+    same = " AND ".join(f"k.{c} = g.{c}" for c in columns)
+    return f"SELECT {', '.join(f'g.{c}' for c in columns)}, {i(f'count(k.{columns[0]})', 'n')} FROM (SELECT * FROM {levels}) g LEFT JOIN {known} k ON {same} GROUP BY ALL"
+
+
+oracle("events_by_year", "panel", zero_filled("panel", ["hivinc", "year"]))
 FIVE_VALUES = ", ".join(f"('{label}')" for _, label in FIVE)
 oracle("contingency_3way", "panel", f"""
 SELECT f.v AS circ_imputed_fix, CAST(r.v AS INTEGER) AS round, b.v AS agecat, {i('count(p.research_id)', 'n')}
@@ -324,18 +332,19 @@ SELECT '{c}' AS "column", {r(f'min(CAST({c} AS DOUBLE))', 'minimum')}, {r(f'quan
 
 def histogram(long_rows: str, bins: int) -> str:
     return f"""
-SELECT key, CAST(least(floor((value - low) / ((high - low) / {bins})), {bins - 1}) AS INTEGER) AS bin,
-  {r(f'low + least(floor((value - low) / ((high - low) / {bins})), {bins - 1}) * ((high - low) / {bins})', 'bin_low')},
-  {r(f'low + (least(floor((value - low) / ((high - low) / {bins})), {bins - 1}) + 1) * ((high - low) / {bins})', 'bin_high')}, {i('count(*)', 'n')}
-FROM (SELECT key, value, min(value) OVER (PARTITION BY key) AS low, max(value) OVER (PARTITION BY key) AS high FROM ({long_rows}) WHERE value IS NOT NULL)
-GROUP BY 1, 2, 3, 4"""
+SELECT * FROM (WITH long_rows AS (SELECT * FROM ({long_rows}) WHERE value IS NOT NULL),
+ranges AS (SELECT key, min(value) AS low, max(value) AS high FROM long_rows GROUP BY key),
+bins AS (SELECT r.*, CAST(b.v AS INTEGER) AS bin FROM ranges r CROSS JOIN (SELECT unnest(range({bins})) AS v) b),
+placed AS (SELECT key, CAST(least(floor((value - low) / ((high - low) / {bins})), {bins - 1}) AS INTEGER) AS bin FROM long_rows JOIN ranges USING (key))
+SELECT b.key, b.bin, {r(f'b.low + b.bin * ((b.high - b.low) / {bins})', 'bin_low')}, {r(f'b.low + (b.bin + 1) * ((b.high - b.low) / {bins})', 'bin_high')}, {i('count(p.key)', 'n')}
+FROM bins b LEFT JOIN placed p ON p.key = b.key AND p.bin = b.bin GROUP BY b.key, b.bin, b.low, b.high)"""
 
 
 oracle("person_time_histogram", "panel", histogram(
     "SELECT 'py' AS key, CAST(py AS DOUBLE) AS value FROM panel WHERE py IS NOT NULL UNION ALL SELECT 'ageyrs2', CAST(ageyrs2 AS DOUBLE) FROM panel WHERE py IS NOT NULL", 20))
 oracle("plausible_first_age", "quest", f"""
 SELECT ag1stsex, CASE WHEN ag1stsex BETWEEN 10 AND 96 THEN ag1stsex END AS ag1stsex_clean, {i('count(*)', 'n')} FROM quest GROUP BY 1, 2""")
-oracle("treatment_by_round", "quest", f"SELECT arvmed, cuarvmed, round, {i('count(*)', 'n')} FROM quest WHERE arvmed IS NOT NULL GROUP BY 1, 2, 3")
+oracle("treatment_by_round", "quest", zero_filled("quest", ["arvmed", "cuarvmed", "round"]))
 
 # --- rates and proportions ---------------------------------------------------------
 
@@ -425,8 +434,17 @@ FROM (SELECT sex, agecat3, round, {factor('100')} FROM ({cells('sex, agecat3, ro
 JOIN round_year y ON y.round = f.round
 JOIN ({crude('sex, round, agecat3')}) c ON c.sex = f.sex AND c.round = f.round AND c.agecat3 = f.agecat3""")
 oracle("rate_trend_saturated", "panel", f"SELECT sex, agecat, round, {factor('1')} FROM ({cells('sex, agecat, round', KNOWN5)})")
+
+
+def two_sided(z: str) -> str:
+    """p value of a normal statistic: its density integrated from 0 by Simpson's rule."""
+    weight = "CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, 2001), lambda j: ({weight}) * exp(-pow(j * least(abs({z}), 9.0) / 2000, 2) / 2)))"
+    return f"CASE WHEN {z} IS NOT NULL THEN greatest(1 - 2 * (least(abs({z}), 9.0) / 6000) * {area} / sqrt(2 * pi()), 0) END"
+
+
 oracle("rate_coefficients", "panel", f"""
-SELECT sex, agecat3, round, term, {r('estimate')}, {r('std_error')}, {r('estimate / std_error', 'z')} FROM (
+SELECT sex, agecat3, round, term, {r('estimate')}, {r('std_error')}, {r('estimate / std_error', 'z')}, {r(two_sided('(estimate / std_error)'), 'p')} FROM (
   SELECT c.sex, c.agecat3, c.round, CASE WHEN c.round = 7 THEN '(Intercept)' ELSE 'round ' || CAST(c.round AS VARCHAR) END AS term,
     CASE WHEN c.k > 0 AND b.k > 0 THEN ln(c.k / c.t) - CASE WHEN c.round = 7 THEN 0.0 ELSE ln(b.k / b.t) END END AS estimate,
     CASE WHEN c.k > 0 AND b.k > 0 THEN sqrt(1.0 / c.k + CASE WHEN c.round = 7 THEN 0.0 ELSE 1.0 / b.k END) END AS std_error
@@ -459,8 +477,8 @@ oracle("logit_trend_by_band", "prev_preds", f"""
 SELECT p.sex, p.agecat, p.round, {r('p.fit', 'fit')}, {r('p.se_fit', 'se_fit')}, {r('p.prob', 'prob')}, {r('p.lb', 'lb')}, {r('p.ub', 'ub')}, {r('p.prob / b.prob', 'prevrr')}
 FROM prev_preds p LEFT JOIN prev_preds b ON b.sex = p.sex AND b.agecat = p.agecat AND b.round = 6""")
 oracle("logit_coefficients", "prev_lines", f"""
-SELECT sex, agecat, '(Intercept)' AS term, {r('b0', 'estimate')}, {r('sqrt(v00)', 'std_error')}, {r('b0 / sqrt(v00)', 'z')} FROM prev_lines
-UNION ALL SELECT sex, agecat, 'slope', {r('b1', 'estimate')}, {r('sqrt(v11)', 'std_error')}, {r('b1 / sqrt(v11)', 'z')} FROM prev_lines""")
+SELECT sex, agecat, '(Intercept)' AS term, {r('b0', 'estimate')}, {r('sqrt(v00)', 'std_error')}, {r('b0 / sqrt(v00)', 'z')}, {r(two_sided('(b0 / sqrt(v00))'), 'p')} FROM prev_lines
+UNION ALL SELECT sex, agecat, 'slope', {r('b1', 'estimate')}, {r('sqrt(v11)', 'std_error')}, {r('b1 / sqrt(v11)', 'z')}, {r(two_sided('(b1 / sqrt(v11))'), 'p')} FROM prev_lines""")
 part("art_cells", "panel", """
 SELECT *, k / n AS p, CASE WHEN k > 0 AND k < n THEN ln(k / (n - k)) END AS fit, CASE WHEN k > 0 AND k < n THEN 1 / sqrt(n * (k / n) * (1 - k / n)) END AS se
 FROM (SELECT sex, agecat, round, CAST(count(*) AS DOUBLE) AS n, CAST(sum(onART) AS DOUBLE) AS k FROM panel

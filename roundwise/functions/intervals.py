@@ -16,6 +16,12 @@ Z95 = 1.96
 _Z = 1.959963984540054
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_two_sided(z: pd.Series) -> pd.Series:
+    """Two-sided p value of a standard normal statistic (for coefficient tables)."""
+    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype("float64")
+
+
 def wald(p: Column, n: Column) -> tuple[Column, Column, Column]:
     """Standard error and both bounds of a proportion; bounds are not clipped."""
     se = F.sqrt(F.try_divide(p * (1 - p), n))

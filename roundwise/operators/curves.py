@@ -98,9 +98,15 @@ def _fit_at(e: Column, near: Column, q: Column, n_curves: int) -> Column:
 
 def infections_averted(df: DataFrame, baseline: str, keys: list[str], value: str = "cuminc_mean") -> DataFrame:
     """Each scenario against the baseline at the same keys: difference, and its share
-    of the scenario's own total."""
-    base = df.where(F.col("scenario") == baseline).select(*keys, F.col(value).alias("base_value"))
-    joined = df.join(base, keys)
+    of the scenario's own total. Keys without a baseline row are left out.
+
+    One pass: the baseline's value is looked up in a window over the key, which holds
+    one row per scenario.
+    """
+    own = F.col("scenario") == baseline
+    w = Window.partitionBy(*keys)
+    spread = df.withColumns({"base_value": F.max(F.when(own, F.col(value))).over(w), "_has_base": F.max(own).over(w)})
+    joined = spread.where("_has_base").drop("_has_base")
     delta = F.col(value) - F.col("base_value")
     return joined.select(
         *keys,

@@ -53,10 +53,12 @@ def clean_questionnaire(raw: DataFrame) -> DataFrame:
 def join_demographics(panel: DataFrame, eligibility: DataFrame, questionnaire: DataFrame) -> DataFrame:
     """Left-join both tables by (subject, round).
 
-    Rows that found no questionnaire count as not on treatment.
+    Rows that found no questionnaire count as not on treatment. A subject with two rows
+    in a round of either table is an error.
     """
     keys = [P.ID, P.ROUND]
     joined = panel.join(eligibility, keys, "left").join(questionnaire, keys, "left")
+    joined = P.refuse_duplicates(joined)
     return joined.withColumns({"onART": F.coalesce("onART", F.lit(0)), "resident_imputed": F.col("resident")})
 
 

@@ -1,23 +1,18 @@
-"""Joining small lookups (round -> date, round -> year, band levels)."""
+"""Small lookups (round -> date, key -> range) used inside one lazy plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A survey has tens of rounds; a lookup beyond this size is no lookup.
-BROADCAST_ROWS = 10_000
 
+def looked_up(lookup: DataFrame, key: str, values: list[str]) -> Column:
+    """A map from ``key`` to a struct of ``values``, as a scalar subquery.
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup, broadcasting it only when it was seen to be small.
-
-    The lookup is computed once, up to one row beyond the bound. Within the bound it
-    is sent along as a constant, so the big side keeps its partitioning; beyond it
-    the ordinary shuffled join is planned and AQE may split its hot partitions.
+    The lookup becomes part of the plan of its user: nothing runs while the query is
+    built, the big side is neither shuffled nor joined, and any size gives the same
+    plan. It is meant for levels of a report (survey rounds, names of columns), one row
+    each. Missing keys look up nothing.
     """
-    head = lookup.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df.join(lookup, on, how)
-    small = df.sparkSession.createDataFrame(head, schema=lookup.schema)
-    return df.join(F.broadcast(small), on, how)
+    entry = F.struct(F.col(key), F.struct(*values))
+    return lookup.where(F.col(key).isNotNull()).agg(F.map_from_entries(F.collect_list(entry))).scalar()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from roundwise.functions.dates import date_of, years_between
-from roundwise.operators.lookups import join_lookup
+from roundwise.operators.lookups import looked_up
 
 ID = "research_id"
 ROUND = "round"
@@ -47,13 +47,23 @@ def duplicate_person_rounds(df: DataFrame, id: str = ID, round: str = ROUND) ->
     return df.groupBy(id, round).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
+def refuse_duplicates(panel: DataFrame, id: str = ID, round: str = ROUND) -> DataFrame:
+    """The same rows; fails on two of one subject and round (no shuffle of its own where
+    other windows over the subject follow)."""
+    again = F.lag(round).over(_history(id, round)) == F.col(round)
+    alarm = F.raise_error(F.lit("two rows of one subject and round"))
+    return panel.withColumn(round, F.when(again, alarm.cast(panel.schema[round].dataType)).otherwise(F.col(round)))
+
+
 def complete_rounds(visits: DataFrame, id: str = ID, round: str = ROUND) -> DataFrame:
     """Add a row for every round missing between a subject's first and last one.
 
     Each visit emits itself and the rounds up to the next visit, so no join with a
-    generated grid is needed and the partitioning by subject is kept.
+    generated grid is needed and the partitioning by subject is kept. Two visits of a
+    subject in one round are an error; ``one_row_per_round`` reduces them beforehand.
     """
     gap = F.lead(round).over(_history(id, round)) - F.col(round) - 1
+    gap = F.when(gap >= 0, gap).when(gap < 0, F.raise_error(F.lit("two rows of one subject and round")).cast("int"))
     steps = F.sequence(F.lit(0), F.greatest(F.coalesce("_gap", F.lit(0)), F.lit(0)))
     spread = visits.withColumn("_gap", gap).select("*", F.explode(steps).alias("_step"))
     columns = []
@@ -114,9 +124,8 @@ def mean_day_by_round(visits: DataFrame, round: str = ROUND, day: str = "visit_d
 
 def fill_visit_day(panel: DataFrame, round_days: DataFrame, round: str = ROUND, day: str = "visit_day") -> DataFrame:
     """Missing visit day <- mean day of the round; missing year follows from it."""
-    lookup = round_days.select(round, "mean_day")
-    filled = join_lookup(panel, lookup, [round])
-    filled = filled.withColumn(day, F.coalesce(day, "mean_day")).drop("mean_day")
+    means = looked_up(round_days, round, ["mean_day"])
+    filled = panel.withColumn(day, F.coalesce(day, means[F.col(round)]["mean_day"]))
     return filled.withColumn("year", F.coalesce(F.col("year"), F.year(date_of(F.col(day)))))
 
 

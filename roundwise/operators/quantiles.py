@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundwise.operators.lookups import BROADCAST_ROWS, join_lookup
+from roundwise.operators.lookups import looked_up
 
+BROADCAST_ROWS = 10_000
 SKETCH_ACCURACY = 10_000
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -97,21 +98,26 @@ def _brackets(data: DataFrame, names: list[str], probs: list[float], accuracy: i
 def equal_width_counts(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """Counts per equal-width bin between the minimum and maximum of each key.
 
-    The ranges come from a first aggregation and are joined back as a lookup, so rows
-    are counted where they are read and a key holding most of them is never gathered
-    in one task.
+    The ranges come from a first aggregation and are looked up by key, so rows are
+    counted where they are read and a key holding most of them is never gathered in one
+    task. Bins without values are counted as zero.
     """
     data = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
     ranges = data.groupBy(key).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     width = (F.col("_high") - F.col("_low")) / bins
     step = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_low"), width)), F.lit(0))
+    found = looked_up(ranges, key, ["_low", "_high"])[F.col(key)]
     counts = (
-        join_lookup(data, ranges, [key], "inner")
-        .groupBy(key, F.least(step, F.lit(bins - 1)).cast("int").alias("bin"), "_low", "_high")
+        data.where(F.col(key).isNotNull())
+        .withColumn("_range", found)
+        .select(key, "_v", "_range.*")
+        .groupBy(key, F.least(step, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     edges = [(F.col("_low") + (F.col("bin") + i) * width).alias(name) for i, name in enumerate(("bin_low", "bin_high"))]
-    return counts.select(key, "bin", *edges, "n")
+    grid = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    filled = grid.join(counts, [key, "bin"], "left")
+    return filled.select(key, "bin", *edges, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundwise.functions import codes
-from roundwise.functions.intervals import log_link, logit_link
+from roundwise.functions.intervals import log_link, logit_link, normal_two_sided
 from roundwise.operators.panel import ROUND
 
 NEWTON_STEPS = 30
@@ -182,16 +182,18 @@ def rate_coefficients(cells: DataFrame, strata: list[str], reference: int, x: st
         F.when(both, F.when(at_ref, log_rate).otherwise(log_rate - log_base)).alias("estimate"),
         F.when(both, F.when(at_ref, F.sqrt(1 / F.col("events"))).otherwise(F.sqrt(1 / F.col("events") + 1 / F.col("_k")))).alias("std_error"),
     )
-    return table.withColumn("z", F.col("estimate") / F.col("std_error"))
+    table = table.withColumn("z", F.col("estimate") / F.col("std_error"))
+    return table.withColumn("p", normal_two_sided("z"))
 
 
 def line_coefficients(lines: DataFrame, strata: list[str]) -> DataFrame:
-    """Intercept and slope of each fitted line with standard error and z."""
+    """Intercept and slope of each fitted line with standard error, z and p value."""
     pieces = F.array(
         F.struct(F.lit("(Intercept)").alias("term"), F.col("intercept").alias("estimate"), F.sqrt("v00").alias("std_error")),
         F.struct(F.lit("slope").alias("term"), F.col("slope").alias("estimate"), F.sqrt("v11").alias("std_error")),
     )
-    return lines.select(*strata, F.inline(pieces)).withColumn("z", F.try_divide(F.col("estimate"), F.col("std_error")))
+    table = lines.select(*strata, F.inline(pieces)).withColumn("z", F.try_divide(F.col("estimate"), F.col("std_error")))
+    return table.withColumn("p", normal_two_sided("z"))
 
 
 def new_infections(rates: DataFrame, person_years: DataFrame, on: list[str]) -> DataFrame:

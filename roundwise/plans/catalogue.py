@@ -100,12 +100,13 @@ def csv_round_trip(spark, d):
 @query
 def result_collection(spark, d):
     """Named scenario tables saved together and loaded by name."""
-    curves = X.scenario_curves(spark, d)
+    curves = X.scenario_curves(spark, d).persist()
     frames = {
         "inc_age_gender": curves.select(*X.CURVE_KEYS, "month", "inc_mean"),
         "inf_averted_age_gender": curves.select(*X.CURVE_KEYS, "month", "cuminc_mean"),
     }
     folder = sinks.write_collection(frames, shared_folder(spark))
+    curves.unpersist()
     loaded = readers.read_collection(spark, folder, list(frames))
     parts = [
         loaded[n].groupBy("scenario").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(loaded[n].columns[-1]).alias("total")).withColumn("table_name", F.lit(n))
@@ -280,7 +281,7 @@ def event_without_person_time(spark, d):
 
     Person-time is blanked where the visit day was not observed, to have cases.
     """
-    panel = _events(spark, d).join(_visits(spark, d).select("research_id", "round", F.lit(1).alias("seen")), ["research_id", "round"], "left")
+    panel = _panel(spark, d).join(_visits(spark, d).select("research_id", "round", F.lit(1).alias("seen")), ["research_id", "round"], "left")
     blanked = panel.withColumn("py", F.when(F.col("seen") == 1, F.col("py")))
     return P.events_without_person_time(blanked).select("research_id", "round", "hivinc", "py").orderBy("research_id", "round")
 
@@ -315,12 +316,15 @@ def rounds_per_subject(spark, d):
 
 @query
 def status_by_round_pivot(spark, d):
-    return E.wide_counts(_visits(spark, d), "round", "finalhiv", ["N", "P", "S"])
+    """Subjects by round and result, missing results in a column of their own."""
+    visits = _visits(spark, d).withColumn("finalhiv", F.coalesce("finalhiv", F.lit("missing")))
+    return E.wide_counts(visits, "round", "finalhiv", ["N", "P", "S", "missing"])
 
 
 @query
 def events_by_year(spark, d):
-    return E.contingency(_panel(spark, d), ["hivinc", "year"])
+    """Zero-filled over the values that occur."""
+    return E.contingency(_panel(spark, d), ["hivinc", "year"], {"hivinc": [], "year": []})
 
 
 @query
@@ -394,9 +398,9 @@ def plausible_first_age(spark, d):
 
 @query
 def treatment_by_round(spark, d):
-    """Ever and current treatment answers by round, missing answers dropped."""
+    """Ever and current treatment answers by round, missing answers dropped, zero-filled."""
     table = D.clean_questionnaire(X.questionnaire(spark, d))
-    return E.contingency(table, ["arvmed", "cuarvmed", "round"])
+    return E.contingency(table, ["arvmed", "cuarvmed", "round"], {"arvmed": [], "cuarvmed": [], "round": []})
 
 
 # --- rates and proportions ---------------------------------------------------------
@@ -586,8 +590,8 @@ def scenario_curves(spark, d):
     return X.scenario_curves(spark, d)
 
 
-def _smoothed(spark, d):
-    curves = X.scenario_curves(spark, d)
+def _smoothed(spark, d, wanted="true"):
+    curves = X.scenario_curves(spark, d).where(wanted)
     return K.smooth_curves(curves, X.CURVE_KEYS, "month", ["inc_mean", "inc_lower", "inc_upper"], prefix="loess_")
 
 
@@ -626,7 +630,7 @@ def stack_measures(spark, d):
 @query
 def compare_to_data(spark, d):
     """Smoothed baseline curve beside the observed monthly mean of all scenarios."""
-    model = _smoothed(spark, d).where(F.col("scenario") == X.BASELINE_SCENARIO)
+    model = _smoothed(spark, d, F.col("scenario") == X.BASELINE_SCENARIO)
     observed = X.scenario_orders(spark, d).groupBy("gender", "age_group", "month").agg(F.avg("price").alias("observed"))
     joined = K.compare_to_data(model, observed, ["gender", "age_group", "month"], "loess_inc_mean", "observed")
     return joined.select("gender", "age_group", "month", "loess_inc_mean", "observed", "difference")

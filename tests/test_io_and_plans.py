@@ -46,13 +46,15 @@ def plan_of(spark, df):
 
 
 def test_person_level_chain_shuffles_once_by_subject(spark):
-    """From unique visits to person-time there is one exchange, by subject."""
+    """From unique visits to person-time there is one exchange, by subject; the other one
+    of the plan moves the partial means of the rounds."""
     tune(spark)
     path = sinks.write_table(X.status_visits(spark, SF), shared_folder(spark))
     visits = readers.read_table(spark, path, readers.STATUS_VISITS)
     plan = plan_of(spark, C.event_panel(visits, X.SETTINGS))
     assert len(re.findall(r"Exchange hashpartitioning\(research_id", plan)) == 1
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+    assert re.findall(r"Exchange hashpartitioning\((?!research_id)(\w+)#\d+, ", plan) == ["round"]
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
 
 
 def test_demographic_joins_reuse_the_subject_partitioning(spark):
@@ -67,7 +69,8 @@ def test_demographic_joins_reuse_the_subject_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.count("SortMergeJoin") == 2
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3
+    assert re.findall(r"Exchange hashpartitioning\((?!research_id)(\w+)#\d+, ", plan) == ["round"]
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4
 
 
 @pytest.mark.parametrize("name", ["crude_cases_py", "parameter_quantiles", "smooth_curves", "contingency_3way", "ingest_form", "infections_averted"])

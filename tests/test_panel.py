@@ -149,10 +149,47 @@ def test_bands_disagree_at_the_edges(spark):
     assert [r["z"] for r in rows] == ["15-24", "15-24", "15-24", "25-34", "35-49", None, None]
 
 
-def test_lookup_join_beyond_its_bound_gives_the_same_rows(spark):
-    from roundwise.operators.lookups import join_lookup
+def test_building_a_panel_runs_no_job_and_fills_missing_days(spark):
+    from roundwise.plans import catalogue
 
-    big = spark.range(100).withColumn("round", (F.col("id") % 10).cast("int"))
-    lookup = spark.range(10).select(F.col("id").cast("int").alias("round"), (F.col("id") * 2).alias("v"))
-    small, large = join_lookup(big, lookup, ["round"]), join_lookup(big, lookup, ["round"], max_rows=3)
-    assert sorted(small.collect()) == sorted(large.collect())
+    sc = spark.sparkContext
+    sc.setJobGroup("build", "plans only")
+    for name in ("person_time", "fill_visit_day", "rate_by_sex", "person_time_histogram"):
+        catalogue.QUERIES[name](spark, SF)
+    assert list(sc.statusTracker().getJobIdsForGroup("build")) == []
+    sc.setJobGroup("run", "the rest")
+    visits = spark.createDataFrame([("a", 1, 10.0, None), ("b", 1, 30.0, None), ("b", 2, None, None), ("c", 1, None, None), ("c", None, None, None)], "research_id string, round int, visit_day double, year int")
+    filled = P.fill_visit_day(visits, P.mean_day_by_round(visits))
+    got = {(r["research_id"], r["round"]): r["visit_day"] for r in filled.collect()}
+    assert got == {("a", 1): 10.0, ("b", 1): 30.0, ("b", 2): None, ("c", 1): 20.0, ("c", None): None}
+
+
+def test_two_rows_of_one_subject_and_round_are_refused(spark):
+    twice = spark.createDataFrame([("a", 1, 0), ("a", 1, 1), ("b", 2, 0)], "research_id string, round int, v int")
+    for make in (P.complete_rounds, P.refuse_duplicates):
+        with pytest.raises(Exception, match="two rows of one subject and round"):
+            make(twice).collect()
+    once = P.one_row_per_round(twice, "research_id", "round", ["v"])
+    assert sorted(map(tuple, P.refuse_duplicates(P.complete_rounds(once)).collect())) == [("a", 1, 0), ("b", 2, 0)]
+
+
+def test_columns_are_dropped_by_pattern(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "seroconv_date int, keep int, seroconv int")
+    assert P.drop_matching(df, "^seroconv").columns == ["keep"]
+
+
+def test_averted_keeps_only_keys_with_a_baseline(spark):
+    from roundwise.operators import curves as K
+
+    df = spark.createDataFrame([("b", 1, 10.0), ("x", 1, 8.0), ("x", 2, 5.0), ("y", 1, 0.0)], "scenario string, k int, cuminc_mean double")
+    rows = sorted(map(tuple, K.infections_averted(df, "b", ["k"]).select("k", "scenario", "delta_inc_mean", "delta_inc_mean_pct").collect()))
+    assert rows == [(1, "b", 0.0, 0.0), (1, "x", -2.0, -0.25), (1, "y", -10.0, None)]
+
+
+def test_histograms_list_empty_bins(spark):
+    from roundwise.operators import quantiles as Q
+
+    df = spark.createDataFrame([("a", 0.0), ("a", 4.0), ("a", None), ("b", 7.0), (None, 1.0)], "key string, v double")
+    rows = [(r["key"], r["bin"], r["n"]) for r in Q.equal_width_counts(df, "key", "v", 4).collect()]
+    assert sorted(r for r in rows if r[0] == "a") == [("a", 0, 1), ("a", 1, 0), ("a", 2, 0), ("a", 3, 1)]
+    assert sum(n for k, _, n in rows if k == "b") == 1
