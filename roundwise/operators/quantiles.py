@@ -4,95 +4,115 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundwise.operators.lookups import looked_up
 
-BROADCAST_ROWS = 10_000
-SKETCH_ACCURACY = 10_000
+OCTAVE_BUCKETS = 1024
+BINS = 1 << 22
+NARROWINGS = 2
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], merged: bool = False, many_groups: bool = False) -> DataFrame:
     """Per group: counts, mean, minimum, maximum and exact named quantiles.
 
-    Quantiles are linearly interpolated order statistics (type 7). The built-in exact
-    percentile keeps all distinct values of a group in one task; here a first pass takes
-    a sketch of fixed size per group, giving each quantile a bracket certain to hold the
-    order statistics wanted. A second pass only counts the values below the bracket,
-    drops those above it, and ranks the bracket itself: under a thousandth of a large
-    group, equal values counted once. Brackets of up to ``BROADCAST_ROWS`` groups are
-    broadcast, so that nothing outside them is shuffled; with more groups, equal values
-    are merged first and the brackets joined by shuffle.
+    Quantiles are linearly interpolated order statistics (type 7), found by counting: a
+    first pass counts rows per group and bucket of the value's magnitude, two more count
+    only the rows within the buckets that hold a wanted order statistic, each cut into
+    ``BINS`` equal bins. A bucket spans less than 2^43 neighbouring doubles, so the bins of
+    the last pass hold one value each. Only partial counts are shuffled, and no group is
+    gathered or sorted anywhere.
+
+    The plan is lazy. The buckets, at most two per quantile and group, are broadcast, which
+    is meant for the levels of a report; with ``many_groups`` they are joined by shuffle.
+    With ``merged`` equal values are merged first, by one shuffle that all passes reuse:
+    right where values repeat much or the source is dear to compute.
+    NaN counts as larger than any number, as it sorts in Spark.
     """
-    probs = list(quantiles.values())
     names = keys or ["_all"]
-    data = df.select(*(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"))
-    brackets = _brackets(data, names, probs, accuracy)
-    head = brackets.limit(BROADCAST_ROWS + 1).toArrow()
-    known = data.where(F.col("_v").isNotNull())
-    if head.num_rows <= BROADCAST_ROWS:
-        brackets = df.sparkSession.createDataFrame(head, schema=brackets.schema)
-        counted, side = known.withColumn("_c", F.lit(1)), F.broadcast(brackets)
-    else:
-        counted, side = known.groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c")), brackets
-    side = side.select(*[F.col(k).alias(f"_k_{k}") for k in names], "n", "_targets")
-    inside = (
-        counted.join(side, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names])
-        .select(*names, "_v", "_c", "n", F.explode("_targets").alias("_t"))
-        .where(F.col("_v") <= F.col("_t.high"))
-        .groupBy(*names, F.col("_t.prob").alias("prob"), "n", F.when(F.col("_v") >= F.col("_t.low"), F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+    data = df.select(*(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_c"))
+    if merged or many_groups:
+        data = data.groupBy(*names, "_v").agg(F.sum("_c").alias("_c"))
+    given = F.col("_v").isNotNull()
+    parts = data.groupBy(*names, _magnitude(F.col("_v")).alias("_code")).agg(
+        F.sum(F.when(given, F.col("_c")).otherwise(0)).alias("_c"),
+        F.sum(F.when(given, 0).otherwise(F.col("_c"))).alias("_nulls"),
+        F.sum(F.col("_v") * F.col("_c")).alias("_sum"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
     )
-    w = Window.partitionBy(*names, "prob").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    position = (F.col("n") - 1) * F.col("prob")
-    ranked = inside.withColumns({"_upto": upto, "_pos": position - F.floor(position), "_k": F.floor(position)})
-    picked = ranked.groupBy(*names, "prob").agg(
-        F.min(F.when(F.col("_upto") > F.col("_k"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.least(F.col("_k") + 1, F.col("n") - 1), F.col("_v"))).alias("_b"),
-        F.max("_pos").alias("_pos"),
-        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
-        F.max("_k").alias("_k"),
+    stats = parts.groupBy(*names).agg(
+        F.sum("_c").alias("n"),
+        F.sum("_nulls").alias("n_missing"),
+        F.try_divide(F.sum("_sum"), F.sum("_c")).alias("mean"),
+        F.min("_low").alias("minimum"),
+        F.max("_high").alias("maximum"),
     )
-    missed = (F.col("_below") > F.col("_k")) | F.col("_a").isNull() | F.col("_b").isNull()
-    alarm = F.raise_error(F.lit("a quantile bracket missed its order statistic"))
-    found = F.when(missed, alarm).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_pos"))
-    wide = picked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in names]).agg(
-        *[F.max(F.when(F.col("prob") == p, found)).alias(name) for name, p in quantiles.items()]
-    )
-    joined = brackets.join(wide, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names], "left")
-    return joined.select(*keys, "n", "n_missing", "mean", "minimum", "maximum", *quantiles)
+    known = parts.where("_code is not null").withColumn("_n", F.sum("_c").over(Window.partitionBy(*names)))
+    held = _holding(known.withColumn("_targets", _wanted(F.col("_n"), list(quantiles.values()))), names)
+    values = data.where(given)
+    for _ in range(NARROWINGS):
+        held = _holding(_narrowed(values, held, names, many_groups), [*names, "_within"])
+    position = [(F.col("_n") - 1) * F.lit(float(p)) for p in quantiles.values()]
+    found = held.select(*names, "_n", F.col("_low").alias("_v"), F.explode("_targets").alias("_t"))
+    picked = [F.max(F.when(F.col("_t.i") == i, F.col("_v"))) for i in range(2 * len(quantiles))]
+    wide = found.groupBy(*[F.col(k).alias(f"_k_{k}") for k in names], "_n").agg(*[c.alias(f"_p{i}") for i, c in enumerate(picked)])
+    between = [
+        F.when(F.col(f"_p{2 * j}") == F.col(f"_p{2 * j + 1}"), F.col(f"_p{2 * j}"))
+        .otherwise(F.col(f"_p{2 * j}") + (F.col(f"_p{2 * j + 1}") - F.col(f"_p{2 * j}")) * (position[j] - F.floor(position[j])))
+        .alias(name)
+        for j, name in enumerate(quantiles)
+    ]
+    joined = stats.join(wide, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names], "left")
+    return joined.select(*keys, "n", "n_missing", "mean", "minimum", "maximum", *between)
+
+
+def _magnitude(v: Column) -> Column:
+    """A whole number that never falls as ``v`` grows: 1024 steps between powers of two."""
+    size = F.floor((F.log2(F.abs(v)) + 1075) * OCTAVE_BUCKETS)
+    top = F.lit((1025 + 1075) * OCTAVE_BUCKETS).cast("long")
+    signed = F.when(v == 0, F.lit(0).cast("long")).when(F.abs(v) == float("inf"), F.signum(v).cast("long") * top).otherwise(F.signum(v).cast("long") * size)
+    return F.when(F.isnan(v), top + 1).otherwise(F.when(v.isNotNull(), signed))
 
 
-def _brackets(data: DataFrame, names: list[str], probs: list[float], accuracy: int) -> DataFrame:
-    """Basic figures of each group and a (prob, low, high) bracket per quantile.
+def _wanted(n: Column, probs: list[float]) -> Column:
+    """The order statistics on both sides of each quantile, as (place in the list, rank)."""
+    ranks = []
+    for j, p in enumerate(probs):
+        below = F.floor((n - 1) * F.lit(float(p))).cast("long")
+        ranks += [(2 * j, below), (2 * j + 1, F.least(below + 1, n - 1))]
+    return F.array(*[F.struct(F.lit(i).alias("i"), k.alias("k")) for i, k in ranks])
 
-    A sketch rank is off by at most n / accuracy. Four such steps on either side leave
-    room for the neighbour used in interpolation once n exceeds the accuracy; up to
-    there the whole group is the bracket.
+
+def _holding(counted: DataFrame, within: list[str]) -> DataFrame:
+    """The counted buckets that hold a target, with ranks from the bucket's start.
+
+    ``counted`` has one row per bucket: its place ``_code``, count ``_c`` and the
+    ``_targets`` of all buckets ``within`` which ranks are counted.
     """
-    slack = 4.0 / accuracy
-    marks = [m for p in probs for m in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    stats = data.groupBy(*names).agg(
-        F.count("_v").alias("n"),
-        F.count_if(F.col("_v").isNull()).alias("n_missing"),
-        F.avg("_v").alias("mean"),
-        F.min("_v").alias("minimum"),
-        F.max("_v").alias("maximum"),
-        F.percentile_approx("_v", marks, accuracy).alias("_marks"),
+    w = Window.partitionBy(*within).orderBy("_code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("_upto", F.sum("_c").over(w))
+    start = F.col("_upto") - F.col("_c")
+    here = F.filter("_targets", lambda t: (t["k"] >= start) & (t["k"] < F.col("_upto")))
+    moved = F.transform(here, lambda t: F.struct(t["i"].alias("i"), (t["k"] - start).alias("k")))
+    names = [k for k in within if k != "_within"]
+    return upto.select(*names, "_n", "_low", "_high", moved.alias("_targets")).where(F.size("_targets") > 0)
+
+
+def _narrowed(values: DataFrame, held: DataFrame, names: list[str], many_groups: bool) -> DataFrame:
+    """Counts of the rows inside the held buckets, each cut into equal bins."""
+    side = held.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_n", F.col("_low").alias("_within"), F.col("_high").alias("_to"), "_targets")
+    if not many_groups:
+        side = F.broadcast(side)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]
+    inside = values.join(side, [*same, F.col("_v") >= F.col("_within"), F.col("_v") <= F.col("_to")])
+    part = F.try_divide(F.col("_v") - F.col("_within"), F.col("_to") - F.col("_within"))
+    code = F.when(F.col("_within") == F.col("_to"), F.lit(0).cast("long")).otherwise(F.floor(part * BINS))
+    return inside.groupBy(*names, "_within", code.alias("_code")).agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.any_value("_n").alias("_n"), F.any_value("_targets").alias("_targets")
     )
-    whole = F.col("n") <= accuracy
-    targets = [
-        F.struct(
-            F.lit(float(p)).alias("prob"),
-            F.when(whole | F.lit(p <= slack), F.col("minimum")).otherwise(F.col("_marks")[2 * i]).alias("low"),
-            F.when(whole | F.lit(p >= 1 - slack), F.col("maximum")).otherwise(F.col("_marks")[2 * i + 1]).alias("high"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    return stats.withColumn("_targets", F.array(*targets)).drop("_marks")
 
 
 def equal_width_counts(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
@@ -122,7 +142,7 @@ def equal_width_counts(df: DataFrame, key: str, value: str, bins: int) -> DataFr
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count, one row per column."""
-    table = group_summary(melt(df, columns), ["key"], "value", QUARTILES)
+    table = group_summary(melt(df, columns), ["key"], "value", QUARTILES, merged=True)
     return table.select(F.col("key").alias("column"), "minimum", "q25", "q50", "mean", "q75", "maximum", "n_missing")
 
 

@@ -82,15 +82,12 @@ def skewed(spark, rows=60_000):
     return spark.range(rows).select(g.alias("g"), v.alias("v"))
 
 
-@pytest.mark.parametrize("accuracy, many_groups", [(50, False), (50, True), (10_000, False)])
-def test_quantiles_are_exact_on_skewed_groups(spark, monkeypatch, accuracy, many_groups):
-    """Low accuracy forces the bracketed way for nearly all groups."""
+@pytest.mark.parametrize("many_groups", [False, True])
+def test_quantiles_are_exact_on_skewed_groups(spark, many_groups):
     df = skewed(spark)
     probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
     names = {f"q{i}": p for i, p in enumerate(probs)}
-    if many_groups:
-        monkeypatch.setattr(Q, "BROADCAST_ROWS", 5)
-    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", names, accuracy).collect()}
+    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", names, many_groups=many_groups).collect()}
     for g, values in df.toPandas().groupby("g")["v"]:
         assert (got[g]["n"], got[g]["n_missing"]) == (len(values), 0)
         assert got[g]["mean"] == pytest.approx(values.mean())
@@ -98,6 +95,27 @@ def test_quantiles_are_exact_on_skewed_groups(spark, monkeypatch, accuracy, many
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, p)
 
 
+@pytest.mark.parametrize("many_groups", [False, True])
+def test_quantiles_of_values_of_any_size(spark, many_groups):
+    """Neighbouring doubles, both signs, zeros, the smallest and the largest numbers."""
+    near = [1.0]
+    for _ in range(400):
+        near.append(float(np.nextafter(near[-1], 2)))
+    groups = {
+        "near": near,
+        "wide": [s * 10.0**e for e in range(-320, 309) for s in (-1, 1)] + [0.0, -0.0, 5e-324, -5e-324],
+        "ends": [float("-inf"), float("-inf"), float("inf"), float("inf"), float("inf")],
+        "one": [3.0],
+    }
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
+    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.75}, many_groups=many_groups).collect()}
+    for g, values in groups.items():
+        for name, p in (("a", 0.1), ("b", 0.5), ("c", 0.75)):
+            at, values = (len(values) - 1) * p, sorted(values)
+            low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            assert got[g][name] == (low if low == high else low + (high - low) * (at - int(at))), (g, p)
+
+
 def test_quantiles_with_missing_key_and_no_key(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 5.0), ("a", None), ("b", None)], "g string, v double")
     rows = {r["g"]: (r["n"], r["n_missing"], r["m"]) for r in Q.group_summary(df, ["g"], "v", {"m": 0.5}).collect()}

@@ -154,7 +154,7 @@ def test_building_a_panel_runs_no_job_and_fills_missing_days(spark):
 
     sc = spark.sparkContext
     sc.setJobGroup("build", "plans only")
-    for name in ("person_time", "fill_visit_day", "rate_by_sex", "person_time_histogram"):
+    for name in ("person_time", "fill_visit_day", "rate_by_sex", "person_time_histogram", "numeric_summary", "parameter_quantiles"):
         catalogue.QUERIES[name](spark, SF)
     assert list(sc.statusTracker().getJobIdsForGroup("build")) == []
     sc.setJobGroup("run", "the rest")
