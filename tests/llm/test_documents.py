@@ -212,6 +212,26 @@ def test_one_of_each_group(spark):
     assert got == Counter({1: 1, 3: 1, 6: 1, 7: 2, 9: 1, None: 1, 11: 1})
 
 
+def test_ball_edges_of_wider_radii(spark):
+    nodes = spark.createDataFrame([(0,), (15,), (1 << 40,), (31 << 50,)], "fp long")
+    assert {(r.a, r.b) for r in simhash_balls.ball_edges(nodes, 4).collect()} == {(0, 15), (0, 1 << 40)}
+    assert {(r.a, r.b) for r in simhash_balls.ball_edges(nodes, 3).collect()} == {(0, 1 << 40)}
+
+
+def test_one_of_each_group_finds_texts_of_likeness_0_8(spark):
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(200)]
+        rows.append((i, " ".join(words)))
+        for k in (30, 80, 130, 170):
+            words[k] = "changed"
+        rows.append((100 + i, " ".join(words)))  # likeness 176/216
+        for k in (5, 50, 110, 150):
+            words[k] = "again"
+        rows.append((200 + i, " ".join(["other", *words[:120], "more", *words[120:]][::-1])))
+    assert {r.doc_id for r in simhash_balls.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {*range(40), *range(200, 240)}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
