@@ -2,9 +2,10 @@
 
 A page is parsed into blocks of visible text. Scripts, styles, forms, comments and the
 like never count. Text inside an article or main element (less its own adverts, menus and
-reader comments) is main text as it stands, so an article published under two addresses
-of a host is not lost. A page without such an element keeps its unmarked blocks, unless
-its host repeats them.
+reader comments) is main text as it stands. Every other unmarked block, of pages with such
+an element too, is main text but for what its host repeats; page order is kept. Pages with
+the same article and unmarked text are one page for the repeats, so a page published under
+two addresses of a host is not lost.
 
 What a host repeats is found on the host's concatenated page token streams. Each suffix
 of a stream is keyed by its first ``MIN_REPEAT`` tokens; sorting the suffixes by host and
@@ -13,8 +14,11 @@ pages are a long repeated substring. Any longer repeat is a union of such keys,
 tokens covered by the keys are exactly the tokens of all substrings of that length or more
 that repeat across distinct pages. The array is one Spark table over all hosts, reduced
 per key by partial aggregates: a host with a third of all pages, or a line on all of them,
-meets in no single task. Text in menus, headers and footers is in the streams as evidence,
-so a menu marked on one page is found where another page leaves it unmarked.
+meets in no single task. The streams hold all visible blocks: text in menus, headers,
+footers and articles is evidence, so a menu marked on one page is found where another page
+leaves it unmarked, and so is the teaser of an article. Suffixes that no unmarked token
+shares cannot decide anything; most of them are left out by a bit table of the keys that
+can.
 
 Defined cases: null html is empty and gives empty text; a null or unparsable url gives the
 empty host; rows equal in page_id, url and html are one page for the repeats and keep one
@@ -31,12 +35,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundwise.llm.shared import cut, slices
 
 MIN_REPEAT = 8
+ASKED_BITS = 27
 # Element names and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -161,68 +166,99 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
 
 
 def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of pages to rows with main text, or with the streams that the host decides."""
+    """Rows of pages to rows with their streams: state and text of all visible blocks."""
     for rows in slices(batches, 128):
-        keys, mains, states, texts = [], [], [], []
+        keys, bodies, states, texts = [], [], [], []
         for page_id, url, page in zip(rows["page_id"], rows["url"], rows["html"], strict=True):
             found = blocks(page)
-            main = [t for s, t in found if s == ARTICLE]
-            rest = [(s, t) for s, t in found if s != ARTICLE]
             keys.append(xxhash.xxh64_intdigest(f"{page_id}\0{url}\0{page}") - (1 << 63))
-            mains.append(" ".join(main) if main else None)
-            states.append([s for s, _ in rest])
-            texts.append([t for _, t in rest])
+            bodies.append(xxhash.xxh64_intdigest(" ".join(t for s, t in found if s != SOFT)) - (1 << 63))
+            states.append([s for s, _ in found])
+            texts.append([t for _, t in found])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["page_id"], pa.int64()), pa.array(rows["url"], pa.string()), pa.array(keys, pa.int64()), pa.array(mains, pa.string()), pa.array(states, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
-            ["page_id", "url", "page", "main", "states", "texts"],
+            [pa.array(rows["page_id"], pa.int64()), pa.array(rows["url"], pa.string()), pa.array(keys, pa.int64()), pa.array(bodies, pa.int64()), pa.array(states, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
+            ["page_id", "url", "page", "body", "states", "texts"],
         )
 
 
-PARSED = "page_id long, url string, page long, main string, states array<int>, texts array<string>"
+PARSED = "page_id long, url string, page long, body long, states array<int>, texts array<string>"
+SUFFIXES = "host string, page long, body long, key long, place int"
 
 
-def suffix_keys(min_repeat: int):
-    """Keys of all suffixes of a page's stream: hash of the first ``min_repeat`` tokens."""
+def asked_place(host: str, keys: np.ndarray) -> np.ndarray:
+    """Places of a host's keys in the bit table."""
+    return ((keys ^ np.uint64(xxhash.xxh64_intdigest(host))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ASKED_BITS)
+
+
+def suffix_keys(min_repeat: int, asked=None):
+    """Keys of the suffixes of a page's stream: hash of the first ``min_repeat`` tokens.
+
+    Without ``asked`` those that reach an unmarked token, with it (a broadcast bit table)
+    all those that it may hold.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, 128):
-            hosts, pages, keys, places = [], [], [], []
-            for host, page, texts in zip(rows["host"], rows["page"], rows["texts"], strict=True):
-                hashes = np.array([xxhash.xxh64_intdigest(w) for t in texts for w in t.split()], np.uint64)
-                n = len(hashes) - min_repeat + 1
+            hosts, pages, bodies, keys, places = [], [], [], [], []
+            for host, page, body, states, texts in zip(rows["host"], rows["page"], rows["body"], rows["states"], rows["texts"], strict=True):
+                tokens = [(s == PLAIN, w) for s, t in zip(states, texts, strict=True) for w in t.split()]
+                n = len(tokens) - min_repeat + 1
                 if n <= 0:
                     continue
+                hashes = np.array([xxhash.xxh64_intdigest(w) for _, w in tokens], np.uint64)
                 key = np.zeros(n, np.uint64)
                 for i in range(min_repeat):
                     key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[i : i + n] + (key >> np.uint64(29)))
-                hosts += [host] * n
-                pages += [page] * n
-                keys.append(key.view(np.int64))
-                places.append(np.arange(n, dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["host", "page", "key", "place"])
+                if asked is None:
+                    unmarked = np.concatenate([[0], np.cumsum([u for u, _ in tokens])])
+                    place = np.flatnonzero(unmarked[min_repeat:] > unmarked[:n])
+                else:
+                    at = asked_place(host, key)
+                    place = np.flatnonzero(asked.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                hosts += [host] * len(place)
+                pages += [page] * len(place)
+                bodies += [body] * len(place)
+                keys.append(key[place].view(np.int64))
+                places.append(place.astype(np.int32))
+            if hosts:
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(bodies, pa.int64()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["host", "page", "body", "key", "place"])
 
     return run
 
 
+def asked_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the table that the keys of suffixes set, as (word, bit)."""
+    for rows in slices(batches, 1 << 14):
+        at = np.array([int(asked_place(h, np.array([k], np.int64).view(np.uint64))[0]) for h, k in zip(rows["host"], rows["key"], strict=True)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+
 def covered(states: list[int], texts: list[str], places: Iterable[int], min_repeat: int) -> str:
-    """The unmarked text of a page left outside the repeated substrings that start at
-    ``places``."""
+    """The article text of a page and its unmarked text outside the repeated substrings
+    that start at ``places``."""
     tokens = [(s, w) for s, t in zip(states, texts, strict=True) for w in t.split()]
     gone = np.zeros(len(tokens) + 1, np.int32)
     for p in places:
         gone[p] += 1
         gone[min(len(tokens), p + min_repeat)] -= 1
     gone = np.cumsum(gone)
-    return " ".join(w for (s, w), g in zip(tokens, gone, strict=False) if s == PLAIN and not g)
+    return " ".join(w for (s, w), g in zip(tokens, gone, strict=False) if s == ARTICLE or s == PLAIN and not g)
+
+
+def has_unmarked(states: Column) -> Column:
+    return F.array_contains(states, F.lit(PLAIN))
 
 
 def host_repeats(parsed: DataFrame, min_repeat: int = MIN_REPEAT) -> DataFrame:
     """(page, places): where repeated substrings start on each page that needs them."""
-    streams = parsed.withColumn("host", F.coalesce(F.lower(F.parse_url("url", F.lit("HOST"))), F.lit("")))
-    suffixes = streams.select("host", "page", "texts").mapInArrow(suffix_keys(min_repeat), "host string, page long, key long, place int")
-    repeated = suffixes.groupBy("host", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a <> b").select("host", "key")
-    asked = streams.filter(F.col("main").isNull()).select("host", "page", "texts").mapInArrow(suffix_keys(min_repeat), "host string, page long, key long, place int")
+    spark = parsed.sparkSession
+    streams = parsed.withColumn("host", F.coalesce(F.lower(F.parse_url("url", F.lit("HOST"))), F.lit(""))).select("host", "page", "body", "states", "texts")
+    asked = cut(streams.filter(has_unmarked(F.col("states"))).mapInArrow(suffix_keys(min_repeat), SUFFIXES), "pages-asked")
+    words = asked.select("host", "key").mapInArrow(asked_words, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (ASKED_BITS - 6), np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    suffixes = streams.mapInArrow(suffix_keys(min_repeat, spark.sparkContext.broadcast(bits)), SUFFIXES)
+    repeated = suffixes.groupBy("host", "key").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("host", "key")
     return asked.join(repeated, ["host", "key"], "left_semi").groupBy("page").agg(F.collect_set("place").alias("places"))
 
 
@@ -235,6 +271,9 @@ def extract(pages: DataFrame, min_repeat: int = MIN_REPEAT) -> DataFrame:
     def left_over(states, texts, places):
         return covered(states, texts, places or [], min_repeat)
 
-    marked = parsed.filter(F.col("main").isNotNull()).select("page_id", "url", F.col("main").alias("text"))
-    open_pages = parsed.filter(F.col("main").isNull()).join(repeats, "page", "left").select("page_id", "url", left_over("states", "texts", "places").alias("text"))
+    # pages without unmarked text have nothing to decide and need no join
+    decided = has_unmarked(F.col("states"))
+    article = F.array_join(F.filter("texts", lambda t, i: F.get("states", i) == ARTICLE), " ")
+    marked = parsed.filter(~decided).select("page_id", "url", article.alias("text"))
+    open_pages = parsed.filter(decided).join(repeats, "page", "left").select("page_id", "url", left_over("states", "texts", "places").alias("text"))
     return marked.unionByName(open_pages).withColumn("n_chars", F.char_length("text").cast("long"))

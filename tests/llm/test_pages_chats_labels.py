@@ -127,6 +127,23 @@ def test_equal_articles_on_a_host_stay(spark):
     assert [r.text for r in html_hosts.extract(pages).collect()] == ["Big & bold One two three four"] * 4
 
 
+def test_unmarked_text_beside_an_article_is_decided_by_the_array(spark):
+    bar = "home news sport weather money travel shop account log in"
+    lead = "a teaser of eight words or a few more for the body"
+    own = {i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)}
+    rows = [(i, f"http://h/{i}", f"<div>{bar}</div><div>{t}</div><article>{lead} {i}</article><div>end {i}</div><div>{bar}</div>") for i, t in own.items()]
+    rows.append((8, "http://h/8", f"<div>{lead} 2</div><div>only here</div>"))
+    got = {r.page_id: r.text for r in html_hosts.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{t} {lead} {i} end {i}" for i, t in own.items()} | {8: "only here"}
+
+
+def test_whole_page_copies_are_one_page(spark):
+    body = " ".join(f"w{j}" for j in range(40))
+    rows = [(i, f"http://h/{i}", f"<nav>to page {i}</nav><div>{body}</div>") for i in range(3)]
+    got = html_hosts.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [body] * 3
+
+
 def test_pages_of_the_test_table(spark):
     import re
     from html import unescape
