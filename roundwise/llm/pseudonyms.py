@@ -8,6 +8,11 @@ however they are spaced, different values never collide, and the key holder can
 Letters and digits of the local part of e-mail addresses are permuted likewise within
 their character classes.
 
+A pattern may take more than the value: what follows it in the text is cut off by the
+length of the format (IBAN by country, national phone numbers by country code, cards by
+check digit), and an invalid find is tried as the other kinds at the same start. The cut
+depends on nothing that the permutation changes, so the key holder finds the same values.
+
 Every row is treated by itself; nothing is shuffled. Defined cases: a null text stays
 null with no finds; an empty text stays empty; equal rows get equal results; an empty
 table gives an empty result; other columns of the input are kept by ``pseudonymise``.
@@ -33,13 +38,30 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)",
+    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])",
+    "ssn": r"(?<![\d-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4})(?![\d-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
+SINGLE = {k: re.compile(p, re.ASCII) for k, p in PATTERNS.items()}
+# Characters of an IBAN by country, most digits of a national number by
+# country code (15 with the code elsewhere), card lengths as they are tried.
+IBAN_LENGTHS = {
+    k: int(n) for n, ks in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:HR,LI,LV,CH 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split()) for k in ks.split(",")
+}
+NATIONAL = {
+    k: int(n) for n, ks in (x.split(":") for x in (
+        "8:45,47,65,216,371,372,373,502,503,504,505,506,507,852,853 9:31,32,33,34,41,48,51,56,61,84,212,213,233,244,254,255,256,351,352,353,358,380,385,386,420,421,593,595,971,972 "
+        "10:1,7,20,27,30,36,39,40,44,46,52,54,57,58,63,66,64,81,82,90,91,92,234,880 11:49,55,60,86 12:62 13:43"
+    ).split()) for k in ks.split(",")
+}
+DIGITS = re.compile(r"\d+", re.ASCII)
+CARD_LENGTHS = (16, 15, 19, 14, 13, 17, 18)
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -> int:
@@ -84,13 +106,38 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+def has_check_digit(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def card_ends(text: str) -> list[int]:
+    """Numbers of digits at which a card may end in a find, in the order they are tried."""
+    ends = {len(re.sub(r"\D", "", text[: m.end()])) for m in re.finditer(r"\d+", text)}
+    return [n for n in CARD_LENGTHS if n in ends]
+
+
+def behind(text: str, digits: int) -> int:
+    """Where the first ``digits`` digits of a text end."""
+    return [m.end() for m in re.finditer(r"\d", text)][digits - 1]
+
+
 def card(text: str, key: bytes, undo: bool) -> str | None:
+    """A find that is a card as a whole, and not already one at an earlier end."""
     digits = re.sub(r"\D", "", text)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    ends = card_ends(text)
+    if len(digits) not in ends or not has_check_digit(digits):
         return None
+    first = ends[: ends.index(len(digits))]
     n = len(digits) - 1
-    fine = lambda v: len(set((body := f"{v:0{n}d}") + luhn_digit(body))) > 1
-    body = f"{walk(int(digits[:-1]), 10**n, key, f'card{n}', fine, undo):0{n}d}"
+
+    def fine(v: int) -> bool:
+        full = (body := f"{v:0{n}d}") + luhn_digit(body)
+        return len(set(full)) > 1 and not any(has_check_digit(full[:k]) for k in first)
+
+    if not fine(int(digits[:-1])):
+        return None
+    tweak = "-".join(["card", *map(str, first)]) + f"{n}" if first else f"card{n}"
+    body = f"{walk(int(digits[:-1]), 10**n, key, tweak, fine, undo):0{n}d}"
     return refill(text, body + luhn_digit(body))
 
 
@@ -98,16 +145,20 @@ def long_number(text: str, key: bytes, undo: bool) -> str | None:
     """Account-like digit runs without a valid check digit stay without one."""
     digits = re.sub(r"\D", "", text)
     n = len(digits)
-    plain = lambda v: luhn_digit((s := f"{v:0{n}d}")[:-1]) != s[-1]
+    ends = sorted({*card_ends(text), n})
+    plain = lambda v: not any(luhn_digit((s := f"{v:0{n}d}"[:k])[:-1]) == s[-1] for k in ends)
     if not plain(int(digits)):
         return None
-    return refill(text, f"{walk(int(digits), 10**n, key, f'number{n}', plain, undo):0{n}d}")
+    tweak = f"number{n}" if ends == [n] else "-".join(["number", *map(str, ends)])
+    return refill(text, f"{walk(int(digits), 10**n, key, tweak, plain, undo):0{n}d}")
 
 
 def date(text: str, key: bytes, undo: bool) -> str | None:
     sep = "-" if "-" in text else "." if "." in text else "/"
     parts = text.split(sep)
-    year, month, day = (0, 1, 2) if sep == "-" else (2, 1, 0) if sep == "." or int(parts[0]) > 12 else (2, 0, 1)
+    year_first = len(parts[0]) == 4
+    either = sep != "." and not year_first
+    year, month, day = (0, 1, 2) if year_first else (2, 1, 0) if not either or int(parts[0]) > 12 else (2, 0, 1)
     try:
         ordinal = dt.date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal()
     except ValueError:
@@ -115,7 +166,7 @@ def date(text: str, key: bytes, undo: bool) -> str | None:
     if not FIRST_DAY <= ordinal <= LAST_DAY:
         return None
     padded = all(len(p) >= 2 for p in parts)
-    month_first = sep == "/" and month == 0
+    month_first = either and month == 0
 
     def written(value: int) -> str:
         d = dt.date.fromordinal(FIRST_DAY + value)
@@ -127,10 +178,10 @@ def date(text: str, key: bytes, undo: bool) -> str | None:
     def fine(value: int) -> bool:
         # the result must be read as the same format: padding and order of day and month
         d = dt.date.fromordinal(FIRST_DAY + value)
-        clear = sep != "/" or month_first or d.day > 12
+        clear = not either or month_first or d.day > 12
         return clear and (padded or min(d.month, d.day) < 10)
 
-    tweak = "date" if padded and sep != "/" else f"date{sep}{padded}{month_first}"
+    tweak = "date" if padded and not either else f"date{sep}{padded}{month_first}"
     return written(walk(ordinal - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, tweak, fine, undo))
 
 
@@ -147,16 +198,31 @@ def ssn(text: str, key: bytes, undo: bool) -> str | None:
         area, rest = divmod(value, 10**6)
         return area not in (0, 666) and area < 900 and rest // 10**4 != 0 and rest % 10**4 != 0
 
-    value = int(text.replace("-", ""))
+    value = int(re.sub(r"\D", "", text))
     if not fine(value):
         return None
     return refill(text, f"{walk(value, 10**9, key, 'ssn', fine, undo):09d}")
 
 
+def country_code(text: str) -> str:
+    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+\d{2}", text)
+    return code[0] if code else ""
+
+
+def phone_part(text: str) -> str:
+    """The longest part of a find, of whole digit groups, that a national number allows."""
+    kept = country_code(text)
+    most = NATIONAL.get(kept[1:], 16 - len(kept)) if kept else 10
+    most += "(0)" in text
+    ends = [(len(re.sub(r"\D", "", text[len(kept) : m.end()])), m.end()) for m in DIGITS.finditer(text, len(kept))]
+    fits = [end for n, end in ends if 6 <= n <= most]
+    longer = [end for n, end in ends if most < n <= 14]
+    return text[: fits[-1] if fits else longer[0]] if fits or longer else text
+
+
 def phone(text: str, key: bytes, undo: bool) -> str | None:
     """The national digits are permuted; a country code stays."""
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+\d{2}", text)
-    kept = code[0] if code else ""
+    kept = country_code(text)
     rest = text[len(kept) :]
     digits = re.sub(r"\D", "", rest)
     if not 6 <= len(digits) <= 14:
@@ -210,7 +276,7 @@ def email(text: str, key: bytes, undo: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card}
+RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card, "number": long_number}
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -219,21 +285,53 @@ def pseudonym(kind: str, text: str, key: bytes, undo: bool = False) -> str | Non
     return RULES[kind](text, key, undo)
 
 
+def iban_part(text: str) -> str:
+    """A find cut to the length of its country, if a word ends there."""
+    length = IBAN_LENGTHS.get(text[:2])
+    ends = [i + 1 for i, c in enumerate(text) if c != " "]
+    if not length or len(ends) <= length or text[ends[length - 1]] != " ":
+        return text
+    return text[: ends[length - 1]]
+
+
+def parts(kind: str, text: str) -> list[tuple[str, str]]:
+    """(kind, part): what a find may be, in the order that is tried."""
+    if kind == "phone":
+        return [(kind, phone_part(text))]
+    if kind == "iban":
+        return [(kind, iban_part(text))]
+    if kind == "card":
+        return [*((kind, text[: behind(text, n)]) for n in card_ends(text)), ("number", text)]
+    return [(kind, text)]
+
+
+def accepted(text: str, m: re.Match, key: bytes, undo: bool) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the first valid part at the start of a match."""
+    kinds = [m.lastgroup, *(k for k in PATTERNS if k != m.lastgroup)]
+    for kind in kinds:
+        found = m if kind == m.lastgroup else SINGLE[kind].match(text, m.start())
+        if found:
+            for as_kind, part in parts(kind, found[0]):
+                new = pseudonym(as_kind, part, key, undo)
+                if new is not None:
+                    return as_kind, m.start() + len(part), new
+    return None
+
+
 def replace(text: str, key: bytes, undo: bool = False) -> tuple[str, Counter]:
     """A text with all valid finds replaced, and their number by kind."""
     found: Counter = Counter()
-
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = pseudonym(kind, m[0], key, undo)
-        if new is None and kind == "card":
-            kind, new = "number", long_number(m[0], key, undo)
-        if new is None:
-            return m[0]
+    out, done, at = [], 0, 0
+    while m := FINDER.search(text, at):
+        got = accepted(text, m, key, undo)
+        if got is None:
+            at = m.start() + 1
+            continue
+        kind, end, new = got
         found[kind] += 1
-        return new
-
-    return FINDER.sub(one, text), found
+        out += [text[done : m.start()], new]
+        done = at = end
+    return "".join(out) + text[done:], found
 
 
 def pseudonymise(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:

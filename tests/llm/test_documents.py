@@ -351,6 +351,25 @@ def test_pseudonyms_leave_invalid_values(text):
     assert pseudonyms.replace(text, KEY) == (text, {})
 
 
+@pytest.mark.parametrize("value,rest", [
+    ("+1 (826) 555-4081", " 190.137.223.9"), ("+1 (017) 555-7713", " 2021"), ("+44 20 7946 0958", " 190.137.2.23"), ("+49 30 123456", " 2021"), ("555 123 4567", " 89"), ("(542) 555-3599", " 2021"),
+    ("4111 1111 1111 1111", " 123"), ("4111-1111-1111-1111", " 99"), ("ES91 2100 0418 4502 0005 1332", " EUR"), ("GB82WEST12345698765432", " EURO"), ("2021/03/12", " 10"), ("31-12-1999", ""),
+])
+def test_pseudonyms_do_not_take_what_follows(value, rest):
+    alone, _ = pseudonyms.replace(f"see {value}, please", KEY)
+    new, found = pseudonyms.replace(f"see {value}{rest}", KEY)
+    assert alone.removesuffix(", please") != f"see {value}" and new.startswith(alone.removesuffix(", please"))
+    assert sum(found.values()) == 1 + (rest.count(".") == 3) and (rest.count(".") == 3) == (not new.endswith(rest) and rest != "")
+    assert pseudonyms.replace(new, KEY, undo=True)[0] == f"see {value}{rest}"
+
+
+def test_pseudonyms_of_following_digits_can_be_undone():
+    for i in range(300):
+        for text in (f"4111 1111 1111 {1000 + i} {i:03d}", f"37{i:02d} 123456 1{i:04d} {i}", f"+353 1 {2000 + i} {i:04d} {i % 255}.1.2.3", f"{100 + i} 45 {6789 - i}", f"+999 12 3456 {i:03d} 12.12.2012"):
+            new, found = pseudonyms.replace(text, KEY)
+            assert pseudonyms.replace(new, KEY, undo=True) == (text, found)
+
+
 def test_pseudonyms_of_tables(spark):
     docs = clashing(awkward(spark))
     got = pseudonyms.pseudonymise(docs, KEY)
