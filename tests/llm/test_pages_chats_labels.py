@@ -170,6 +170,14 @@ def test_noise_is_restored(reader, noisy, plain):
     assert reader.restore(f"the {noisy} of them").split()[1] == plain
 
 
+@pytest.mark.parametrize("noisy,plain", [
+    ("i - d - i - o - t", "idiot"), ("i d i o t", "idiot"), ("i,d,i,o,t", "idiot"), ("i   d   i   o   t", "idiot"), ("id iot", "idiot"), ("id.iot", "idiot"), ("id - iot", "idiot"), ("iddiot", "idiot"), ("idioot", "idiot"),
+    ("stu pid", "stupid"), ("st,upid", "stupid"), ("1d iot", "idiot"), ("m o r o n", "moron"), ("a s s", "ass"),
+])
+def test_separators_and_doubled_letters_are_restored(reader, noisy, plain):
+    assert reader.restore(f"the {noisy} of them").split() == ["the", plain, "of", "them"]
+
+
 @pytest.mark.parametrize("text", ["", "plain words stay, as they are.", "the price is 45 or 3 456", "a b", "\n\n", "ab%%% cd***"])
 def test_clean_text_is_untouched(reader, text):
     assert reader.restore(text) == text
