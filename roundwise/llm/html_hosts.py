@@ -56,7 +56,8 @@ JUNK = re.compile(
     r"copyright|disclaimer|toolbar|pagination|pager|widgets?|hidden|skip-?links?|complementary|contentinfo|search|alertdialog|dialog)(?:$|[\s_-]|\d)"
 )
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:page-header|site-header|header|banner)(?:$|[\s_-]|\d)")
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^"'>])*+>""", re.S)
+# a quote opens a value behind "=" only; where the value never ends, the first ">" ends the tag
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>|</?[a-zA-Z][^>]*>""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)

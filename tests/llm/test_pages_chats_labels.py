@@ -98,6 +98,14 @@ def test_pages_without_article(spark, page, want):
     assert html_hosts.extract(pages).first().text == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p data-x=it's>text</p>more", ["text", "more"]), ('<p title="5" tall">a</p><p>b</p>', ["a", "b"]), ('<p title="5>a</p><p>b</p>', ["a", "b"]), ("<p title='>' x = \">\">a</p>", ["a"]), ("a<p title=\"" * 40, ["a"]),
+])
+def test_stray_quotes_lose_no_text(page, want):
+    got = [t for _, t in html_hosts.blocks(page)]
+    assert got[: len(want)] == want
+
+
 def brute_covered(streams, k):
     """Tokens inside any substring of k or more tokens that also occurs on another page."""
     marks = {}
