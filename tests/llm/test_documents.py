@@ -232,6 +232,13 @@ def test_one_of_each_group_finds_texts_of_likeness_0_8(spark):
     assert {r.doc_id for r in simhash_balls.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {*range(40), *range(200, 240)}
 
 
+def test_a_copy_takes_no_other_text_of_its_doc_id_along(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (5, f"{long} end"), (5, "a clean text that is nowhere else"), (6, long), (6, long)]
+    got = Counter(map(tuple, simhash_balls.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter([rows[0], rows[2]])
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 400)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
