@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundwise.llm import byte_bpe, chat_windows, html_hosts, lattice_lm, mixing, pseudonyms, simhash_balls, spotsigs, stream_dedup, toxicity
+from roundwise.llm import byte_bpe, chat_windows, coordinate_negatives, html_hosts, lattice_lm, mask_search, mixing, prefix_counts, pseudonyms, simhash_balls, spotsigs, stream_dedup, toxicity
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+WORD_FILE = "word_bpe_49k.json"
 PSEUDONYM_KEY = b"a key for tests; production passes its own secret"
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -73,8 +74,22 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_replaced", F.array_join(F.array_sort(F.map_keys("kinds")), ",").alias("kinds"))
 
 
+def op11_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_coordinate_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return coordinate_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spotsigs, op2_chat_windows, op3_toxicity, op4_stream_dedup, op5_soft_mixing, op6_byte_bpe, op7_host_extraction, op8_simhash_balls, op9_lattice_lm, op10_pseudonyms)
+    f.__name__: f for f in (op1_spotsigs, op2_chat_windows, op3_toxicity, op4_stream_dedup, op5_soft_mixing, op6_byte_bpe, op7_host_extraction, op8_simhash_balls, op9_lattice_lm, op10_pseudonyms, op11_mask_search, op12_coordinate_negatives, op13_prefix_counts)
 }
 
 ORACLES = {
@@ -87,4 +102,53 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM bodies WINDOW same AS (PARTITION BY body)
     """,
+    "op11_mask_search": r"""
+        WITH words AS (
+            SELECT doc_id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM (SELECT doc_id, text, row_number() OVER () AS row FROM documents)
+        ), tfs AS (
+            SELECT doc_id, row, term, count(*) AS tf FROM words GROUP BY ALL
+        ), lengths AS (
+            SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY row
+        ), totals AS (
+            SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM lengths
+        ), dfs AS (
+            SELECT term, count(*) AS df FROM tfs GROUP BY term
+        ), wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark
+        ), scores AS (
+            SELECT item_id, doc_id, row, CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+                   * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l)))) AS BIGINT) AS score
+            FROM wanted JOIN dfs USING (term) JOIN tfs USING (term) JOIN lengths USING (row), totals
+            GROUP BY item_id, doc_id, row
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+            FROM scores WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op12_coordinate_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                   CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)]) AS BIGINT) AS score
+            FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }
