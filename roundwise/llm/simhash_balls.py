@@ -4,14 +4,13 @@ Two fingerprints at distance 2 or less have a common variant at distance 1 or le
 each. Every distinct fingerprint therefore emits itself and its 64 one-bit variants, and
 fingerprints that meet on a variant are linked after their distance is verified. At most
 65 distinct fingerprints can meet on one variant, whatever the data, so no group is ever
-large; copies are reduced to one fingerprint before any variant is made. Wider radii use
-all variants within half the radius.
+large; copies are reduced to one fingerprint before any variant is made. Wider even radii
+use all variants within half the radius; odd radii are refused, as two fingerprints that
+meet there may be further apart than the radius.
 
-``one_of_each_group`` removes near copies by the likeness of the texts, the Jaccard index
-of their word shingles. At likeness 0.8 fingerprints differ in 10 of 64 bits on average,
-which would take 8 million variants each, so fingerprint balls alone do not reach it:
-texts also meet on ``BANDS`` hashes of ``BAND_ROWS`` shingle minima each, and all pairs
-that meet are linked only if their likeness is large enough.
+``one_of_each_group`` keeps one document of each group. Links are decided by fingerprints
+alone, so every pair of fingerprints within the radius ends in one group, however many
+texts look alike.
 
 Defined cases: a null text is empty; an empty text has fingerprint zero and links like
 any other; a null doc_id is kept and never the smallest; repeated rows give repeated rows;
@@ -36,12 +35,6 @@ RADIUS = 2
 SHINGLE_WORDS = 3
 SEED = 42
 HASH_ROWS = 65536
-# The near-copy stage: words of its shingles, least likeness, and the shingle minima.
-NEAR_WORDS = 5
-NEAR = 0.8
-BANDS, BAND_ROWS = 20, 5
-MASKS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-MINIMA_ROWS = 4096
 
 
 def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -71,26 +64,22 @@ def text_fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> in
     return majority(shingle_hashes(text, shingle_words))
 
 
-def band_keys(pieces: Iterable[np.ndarray]) -> np.ndarray:
-    """One key for each band of shingle minima; texts of likeness j share a band with
-    probability j**BAND_ROWS."""
-    minima = np.full(len(MASKS), np.iinfo(np.uint64).max, np.uint64)
-    for hashes in pieces:
-        for i in range(0, len(hashes), MINIMA_ROWS):
-            np.minimum(minima, ((hashes[i : i + MINIMA_ROWS, None] ^ MASKS) * FACTORS).min(axis=0), out=minima)
-    rows = minima.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+def text_key() -> Column:
+    """Names a text, so that rows of one doc_id with other texts are told apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; ``fp`` is the signed 64-bit value."""
+    """(doc_id, text_key, fp): one row for each row of ``docs``; ``fp`` is the signed 64-bit
+    value."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             fps = np.array([text_fingerprint(t, shingle_words) for t in rows["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["text_key"], pa.int64()), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return named.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -103,7 +92,9 @@ def ball_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     Within a variant the smallest fingerprint is linked to the others; what else meets
     there is joined to it too, so the components are those of all links.
     """
-    flips = np.array([sum(1 << i for i in bits) for k in range(-(-radius // 2) + 1) for bits in itertools.combinations(range(64), k)], np.uint64).view(np.int64)
+    if radius % 2:
+        raise ValueError("the radius must be even")
+    flips = np.array([sum(1 << i for i in bits) for k in range(radius // 2 + 1) for bits in itertools.combinations(range(64), k)], np.uint64).view(np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, max(1, HASH_ROWS // len(flips))):
@@ -116,73 +107,31 @@ def ball_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.filter(distance(F.col("hub"), F.col("fp")) <= radius).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
-    prints = cut(fingerprints(docs, shingle_words), "simhash-prints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    edges = cut(ball_edges(nodes.select("fp"), radius), "simhash-edges")
-    roots = connected_components(edges)
+def linked(nodes: DataFrame, radius: int) -> DataFrame:
+    """(fp, first) with the smallest ``first`` of each group of linked fingerprints, from
+    ``nodes`` with one row per fingerprint and the smallest ``first`` of its rows."""
+    roots = connected_components(cut(ball_edges(nodes.select("fp"), radius), "simhash-edges"))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-def text_key() -> Column:
-    """Names a text, so that rows of one doc_id with other texts are told apart."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(smallest, "root").select("fp", "first")
 
 
-def likeness_edges(docs: DataFrame, described: DataFrame, least: float, shingle_words: int, radius: int) -> DataFrame:
-    """(a, b): text keys of ``described`` (node, fp, bands) that meet on a ball variant or a
-    band, with likeness of ``least`` or more.
-
-    On each key all texts are paired with its smallest and with its largest node only.
-    """
-    texts = cut(described.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-texts")
-    keyed = texts.select("node", F.explode("bands").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    met = keyed.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
-    hubs = texts.groupBy("fp").agg(F.min("node").alias("hub"))
-    same = texts.join(hubs, "fp").select("node", F.col("hub").alias("other"))
-    balls = ball_edges(hubs.select("fp"), radius)
-    balls = balls.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("node")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("other")), "b").select("node", "other")
-    pairs = met.union(same).union(balls).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = cut(pairs, "near-pairs")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, 64):
-            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, shingle_words)])).view(np.int64) for t in rows["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.select(text_key().alias("node"), "text").join(asked, "node", "left_semi").mapInArrow(run, "node long, shingles array<bigint>")
-    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-shingles")
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    either = F.size("shingles_a") + F.size("shingles_b") - common
-    return pairs.join(a, "a").join(b, "b").filter((either == 0) | (common >= F.lit(least) * either)).select("a", "b")
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
+    prints = cut(fingerprints(docs, shingle_words), "simhash-prints")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    return prints.join(linked(nodes, radius), "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, least: float = NEAR, shingle_words: int = NEAR_WORDS, radius: int = RADIUS) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, columns unchanged.
 
-    Groups are the components of texts linked by likeness. A row without doc_id cannot be
-    named as a copy and stays; repeated rows of a kept doc_id and text stay repeated (exact
-    dedup removes them). Rows are dropped by doc_id and text, not by doc_id alone.
+    A row without doc_id cannot be named as a copy and stays; repeated rows of a kept doc_id
+    and text stay repeated (exact dedup removes them). Rows are dropped by doc_id and text,
+    not by doc_id alone.
     """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches):
-            hashes = [list(shingle_hashes(t, shingle_words)) for t in rows["text"]]
-            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["node"], pa.int64()), pa.array(fps), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))], ["doc_id", "node", "fp", "bands"])
-
-    described = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("node"), "text").mapInArrow(run, "doc_id long, node long, fp long, bands array<bigint>"), "near-described")
-    edges = cut(likeness_edges(docs, described, least, shingle_words, radius), "near-edges")
-    named = described.filter("doc_id IS NOT NULL").select("doc_id", "node")
-    # texts without links are groups of their own, but may carry more than one doc_id
-    rooted = named.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keeper = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("keeper"))
-    dropped = rooted.join(keeper, "root").filter(F.struct("doc_id", "node") != F.col("keeper")).select(F.col("doc_id").alias("__drop"), F.col("node").alias("__text")).distinct()
+    prints = cut(fingerprints(docs, shingle_words).filter("doc_id IS NOT NULL"), "simhash-prints")
+    keeper = F.struct("doc_id", "text_key")
+    nodes = cut(prints.groupBy("fp").agg(F.min(keeper).alias("first")), "simhash-nodes")
+    dropped = prints.join(linked(nodes, radius), "fp").filter(keeper != F.col("first")).select(F.col("doc_id").alias("__drop"), F.col("text_key").alias("__text")).distinct()
     return docs.join(dropped, (docs["doc_id"].cast("long") == dropped["__drop"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dropped["__text"]), "left_anti")

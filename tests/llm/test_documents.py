@@ -215,26 +215,34 @@ def test_one_of_each_group(spark):
 def test_ball_edges_of_wider_radii(spark):
     nodes = spark.createDataFrame([(0,), (15,), (1 << 40,), (31 << 50,)], "fp long")
     assert {(r.a, r.b) for r in simhash_balls.ball_edges(nodes, 4).collect()} == {(0, 15), (0, 1 << 40)}
-    assert {(r.a, r.b) for r in simhash_balls.ball_edges(nodes, 3).collect()} == {(0, 1 << 40)}
+    assert {(r.a, r.b) for r in simhash_balls.ball_edges(nodes, 2).collect()} == {(0, 1 << 40)}
+    with pytest.raises(ValueError):
+        simhash_balls.ball_edges(nodes, 3)
 
 
-def test_one_of_each_group_finds_texts_of_likeness_0_8(spark):
+def template_texts():
+    """Texts of one template with a few words of their own, in chains of small changes."""
+    words = [f"w{k}" for k in range(300)]
     rows = []
-    for i in range(40):
-        words = [f"w{i}x{k}" for k in range(200)]
-        rows.append((i, " ".join(words)))
-        for k in (30, 80, 130, 170):
-            words[k] = "changed"
-        rows.append((100 + i, " ".join(words)))  # likeness 176/216
-        for k in (5, 50, 110, 150):
-            words[k] = "again"
-        rows.append((200 + i, " ".join(["other", *words[:120], "more", *words[120:]][::-1])))
-    assert {r.doc_id for r in simhash_balls.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {*range(40), *range(200, 240)}
+    for i in range(150):
+        own = list(words)
+        for k in range(3):
+            own[(i * 37 + k * 101) % 300] = f"own{i // 3}"
+        own[i % 3 * 50] = f"x{i % 2}"
+        rows.append((500 - i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("make", [documents, lambda s: s.createDataFrame(template_texts(), "doc_id long, text string")])
+def test_one_of_each_group_keeps_the_smallest_of_all_links(spark, make):
+    docs = make(spark)
+    want = {i for i, _, component in brute_simhash(texts(docs)) if i == component}
+    assert {r.doc_id for r in simhash_balls.one_of_each_group(docs).collect()} == want and len(want) < docs.count()
 
 
 def test_a_copy_takes_no_other_text_of_its_doc_id_along(spark):
     long = " ".join(f"w{k}" for k in range(60))
-    rows = [(1, long), (5, f"{long} end"), (5, "a clean text that is nowhere else"), (6, long), (6, long)]
+    rows = [(1, long), (5, long.upper()), (5, "a clean text that is nowhere else"), (6, long), (6, long)]
     got = Counter(map(tuple, simhash_balls.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == Counter([rows[0], rows[2]])
 
