@@ -24,6 +24,7 @@ import functools
 import json
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,10 +37,9 @@ from roundwise.llm.shared import slices
 
 TOKEN_LIMIT = 2048
 PART_CHARS = 1 << 16
-ROWS_AT_ONCE = 512
-KEPT_WORDS = 600_000
+ROWS_AT_ONCE = 128
+KEPT_WORDS = 1_000_000
 KEPT_PAIRS = 2_000_000
-TOKEN_BITS = 32
 LONGEST_KEPT = 64
 END = "</w>"
 # The split pattern and normaliser of the supported vocabulary files, and
@@ -76,11 +76,12 @@ def joining_marks() -> frozenset[str]:
     return frozenset(seconds)
 
 
-class Vocabulary:
-    """Tokens as a trie of reversed byte strings, and which token may follow which.
+Node = tuple[dict[int, "Node"], int | None]
 
-    A trie node is [children, token inside a word, token at a word's end].
-    """
+
+class Vocabulary:
+    """Tokens as tries of reversed byte strings, for those inside a word and those at its
+    end, and which token may follow which. A trie node is (children, token)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as lines:
@@ -105,17 +106,22 @@ class Vocabulary:
             self.left[token] = [(token, len(pairs)), (a, i), *self.left[a][1:]]
             if a in alone and b in alone and not self._crossed(a, b, i):
                 alone.add(token)
-        self.root: list = [{}, -1, -1]
+        self.inside: Node = ({}, None)
+        self.ending: Node = ({}, None)
         for text, token in ids.items():
             if token in alone:
                 closed = text.endswith(END) and len(text) > len(END)
-                node = self.root
-                for letter in reversed(text.removesuffix(END) if closed else text):
-                    node = node[0].setdefault(letters[letter], [{}, -1, -1])
-                node[2 if closed else 1] = token
-        self.following: dict[int, bool] = {}
-        self.kept: dict[str, bytes | list[int]] = {}
-        self.words: dict[str, bytes | list[int]] = {}
+                above, node = None, self.ending if closed else self.inside
+                path = [letters[x] for x in reversed(text.removesuffix(END) if closed else text)]
+                for byte in path:
+                    above, node = node, node[0].setdefault(byte, ({}, None))
+                above[0][path[-1]] = (node[0], token)
+        # any token may start a word
+        self.first = dict.fromkeys(alone, True)
+        self.following: dict[int, dict[int, bool]] = {token: {} for token in alone}
+        self.n_pairs = 0
+        self.totals: dict[str, int] = {}
+        self.runs: dict[str, int] = {}
         self.kinds: dict[str, tuple[str, str]] = {}
 
     def _crossed(self, a: int, b: int, before: int) -> bool:
@@ -130,9 +136,12 @@ class Vocabulary:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Decides and keeps a pair that ``following`` does not hold yet."""
-        if len(self.following) >= KEPT_PAIRS:
-            self.following.clear()
-        known = self.following[a << TOKEN_BITS | b] = not self._crossed(a, b, len(self.rank))
+        if self.n_pairs >= KEPT_PAIRS:
+            for known in self.following.values():
+                known.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.following[a][b] = not self._crossed(a, b, len(self.rank))
         return known
 
     def shown(self, char: str) -> tuple[str, str]:
@@ -144,85 +153,83 @@ class Vocabulary:
             known = self.kinds[char] = low, "".join("L" if len(split("a" + c)) == 1 else "O" if len(split("!" + c)) == 1 else "N" for c in low)
         return known
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Fill the tables of words met together: in sorted order neighbours share prefixes,
-        and a shared prefix is walked once."""
-        runs = {run for word in words if word not in self.kept and "'" not in word for run in self._runs(word) or ()}
-        walk, counts, previous = Run(self), [], ""
-        for run in sorted(runs - self.words.keys()):
-            if len(run) > LONGEST_KEPT:
-                continue
-            shared = 0
-            while shared < len(counts) and shared < len(run) and run[shared] == previous[shared]:
-                shared += 1
-            walk.shorten(len(run[:shared].encode("utf-8", "surrogatepass")))
-            del counts[shared:]
-            for char in run[shared:]:
-                walk.add(char)
-                counts.append(walk.closed[-1])
-            previous = run
-            self._keep(self.words, run, packed(counts))
-
-    def _keep(self, known: dict[str, bytes | list[int]], word: str, counts: bytes | list[int]) -> None:
+    def _keep(self, known: dict[str, int], word: str, count: int) -> None:
         if len(word) <= LONGEST_KEPT:
             if len(known) >= KEPT_WORDS:
                 known.clear()
-            known[word] = counts
+            known[word] = count
 
-    def run_counts(self, run: str) -> bytes | list[int]:
-        """Counts of all prefixes of one match of the split pattern (lower case)."""
-        known = self.words.get(run)
+    def run_total(self, run: str) -> int:
+        """Tokens of one match of the split pattern (lower case)."""
+        known = self.runs.get(run)
         if known is None:
             walk = Run(self)
-            counts = []
-            for char in run:
-                walk.add(char)
-                counts.append(walk.closed[-1])
-            known = packed(counts)
-            self._keep(self.words, run, known)
+            walk.add(run)
+            known = walk.ended()
+            self._keep(self.runs, run, known)
         return known
 
-    def word_counts(self, word: str) -> bytes | list[int]:
-        """Counts of all prefixes (of one code point or more) of a word without white space."""
-        known = self.kept.get(word)
+    def run_counts(self, run: str) -> Iterator[int]:
+        """Counts of all prefixes of one match of the split pattern."""
+        walk = Run(self)
+        for char in run:
+            walk.add(char)
+            yield walk.ended()
+
+    def total(self, word: str) -> int:
+        """Tokens of a word without white space."""
+        known = self.totals.get(word)
         if known is None:
-            known = packed(list(self._walk(word) if self.specials.search(word) else self._plain(word)))
-            self._keep(self.kept, word, known)
+            runs = self._runs(word)
+            known = sum(map(self.run_total, runs)) if runs is not None else deque(self.word_counts(word), 1)[0]
+            self._keep(self.totals, word, known)
         return known
 
+    def word_counts(self, word: str) -> Iterator[int]:
+        """Counts of all prefixes (of one code point or more) of a word without white space."""
+        return self._walk(word) if self.specials.search(word) else self._plain(word)
+
     def _walk(self, word: str) -> Iterator[int]:
         base = at = 0
         for special in self.specials.finditer(word):
             # up to its last character a special string is ordinary text
             yield from (base + n for n in self._plain(word[at : special.end() - 1]))
-            before = self._plain(word[at : special.start()])
-            base += (list(before)[-1] if special.start() > at else 0) + 1
+            base += (self.total(word[at : special.start()]) if special.start() > at else 0) + 1
             yield base
             at = special.end()
         yield from (base + n for n in self._plain(word[at:]))
 
     def _runs(self, word: str) -> list[str] | None:
-        """The matches of a word without apostrophe, if each character becomes one."""
+        """The matches of a composed word without apostrophe or special string, if each of
+        its characters becomes one."""
         if word.isascii():
-            return ASCII_RUNS.findall(word.lower())
-        lows, kinds = zip(*map(self.shown, word)) if word else ((), ())
+            low = word.lower()
+            if low.isalpha():
+                return [low]
+            return None if "'" in word or self.specials.search(word) else ASCII_RUNS.findall(low)
+        if not unicodedata.is_normalized("NFC", word) or "'" in word or self.specials.search(word):
+            return None
+        lows, kinds = zip(*map(self.shown, word))
         if len(low := "".join(lows)) != len(word):
             return None
         kinds = "".join(kinds)
+        if kinds.count("L") == len(kinds):
+            return [low]
         cuts = [i for i in range(1, len(word)) if kinds[i] != kinds[i - 1] or kinds[i] == "N"]
-        return [low[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])] if word else []
+        return [low[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)])]
 
     def _plain(self, word: str) -> Iterator[int]:
+        """Counts of the prefixes of a word without special strings."""
+        if not word:
+            return
+        runs = self._runs(word)
+        if runs is not None:
+            base = 0
+            for run in runs:
+                yield from (base + n for n in self.run_counts(run))
+                base += self.run_total(run)
+            return
         composed = unicodedata.is_normalized("NFC", word)
-        if composed and "'" not in word:
-            runs = self._runs(word)
-            if runs is not None:
-                base = 0
-                for run in runs:
-                    counts = self.run_counts(run)
-                    yield from [base + n for n in counts] if base else counts
-                    base += counts[-1]
-                return
         reader = Reader(self)
         if composed:
             for char in word:
@@ -244,45 +251,54 @@ class Vocabulary:
             start = stop
 
 
-def packed(counts: list[int]) -> bytes | list[int]:
-    return bytes(counts) if not counts or max(counts) < 256 else list(counts)
-
-
 class Run:
-    """The prefix table of one match: last token and count of each prefix that goes on,
-    and the count of each prefix that ends there."""
+    """The prefix table of one match: for each of its prefixes the last token, what is known
+    of that token's followers, and the number of tokens, as long as the match goes on."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.data = vocabulary, bytearray()
-        self.last, self.count, self.closed = [-1], [0], [0]
+        self.last, self.after, self.count = [None], [vocabulary.first], [0]
 
-    def add(self, char: str) -> None:
-        data, last, count, words = self.data, self.last, self.count, self.vocabulary
-        following = words.following
-        for byte in char.encode("utf-8", "surrogatepass"):
+    def add(self, chars: str) -> None:
+        data, last, after, count = self.data, self.last, self.after, self.count
+        words = self.vocabulary
+        inside, following = words.inside, words.following
+        for byte in chars.encode("utf-8", "surrogatepass"):
             data.append(byte)
-            at, node, inside, ending, token = len(data), words.root, 0, 0, -1
-            while at and not (inside and ending):
+            at, node, tokens = len(data), inside, 0
+            while at:
                 at -= 1
                 node = node[0].get(data[at])
                 if node is None:
                     break
-                _, within, final = node
-                before = last[at] << TOKEN_BITS
-                if within >= 0 and not inside:
-                    ok = following.get(before | within) if at else True
-                    if ok or ok is None and words.may_follow(last[at], within):
-                        inside, token = count[at] + 1, within
-                if final >= 0 and not ending:
-                    ok = following.get(before | final) if at else True
-                    if ok or ok is None and words.may_follow(last[at], final):
-                        ending = count[at] + 1
+                token = node[1]
+                if token is not None:
+                    ok = after[at].get(token)
+                    if ok or ok is None and words.may_follow(last[at], token):
+                        tokens = count[at] + 1
+                        break
+            # the single bytes are tokens, so one is always found
             last.append(token)
-            count.append(inside)
-            self.closed.append(ending)
+            after.append(following[token])
+            count.append(tokens)
+
+    def ended(self) -> int:
+        """Tokens of the prefix read so far, as a match that ends here."""
+        at, node = len(self.data), self.vocabulary.ending
+        while at:
+            at -= 1
+            node = node[0].get(self.data[at])
+            if node is None:
+                break
+            token = node[1]
+            if token is not None:
+                ok = self.after[at].get(token)
+                if ok or ok is None and self.vocabulary.may_follow(self.last[at], token):
+                    return self.count[at] + 1
+        return 0
 
     def shorten(self, size: int) -> None:
-        del self.data[size:], self.last[size + 1 :], self.count[size + 1 :], self.closed[size + 1 :]
+        del self.data[size:], self.last[size + 1 :], self.after[size + 1 :], self.count[size + 1 :]
 
 
 class Reader:
@@ -310,7 +326,7 @@ class Reader:
         """A character behind an apostrophe that starts a match."""
         seen, self.pending = self.pending, ""
         if seen + low in CONTRACTIONS:
-            self.base += self.vocabulary.run_counts(seen + low)[-1]
+            self.base += self.vocabulary.run_total(seen + low)
             self.kind = ""
         elif seen + low in OPENINGS:
             self.pending = seen + low
@@ -324,7 +340,7 @@ class Reader:
     def _next(self, low: str, kind: str) -> None:
         if kind != self.kind or kind == "N":
             if self.kind:
-                self.base += self.run.closed[-1]
+                self.base += self.run.ended()
             self.run = Run(self.vocabulary)
             self.kind = kind
             if low == "'":
@@ -334,8 +350,8 @@ class Reader:
 
     def count(self) -> int:
         if self.pending:
-            return self.base + sum(self.vocabulary.run_counts(c)[-1] for c in self.pending)
-        return self.base + (self.run.closed[-1] if self.kind else 0)
+            return self.base + sum(map(self.vocabulary.run_total, self.pending))
+        return self.base + (self.run.ended() if self.kind else 0)
 
 
 @functools.lru_cache(maxsize=2)
@@ -348,13 +364,12 @@ def words_of(text: str) -> list[str]:
     return SPACE.sub(" ", text).strip(" ").split(" ") if SEPARATORS.search(text) else text.split()
 
 
-def count(words: Vocabulary, text: str | None) -> int:
-    """Tokens of the whole text: the last entry of its prefix table."""
-    known, total = words.kept, 0
-    for word in words_of(text or ""):
-        if word:
-            total += (known.get(word) or words.word_counts(word))[-1]
-    return total
+def count(words: Vocabulary, found: list[str]) -> int:
+    """Tokens of a text with these words: the last entry of its prefix table."""
+    try:
+        return sum(map(words.totals.__getitem__, found))
+    except KeyError:
+        return sum(words.total(word) for word in found if word)
 
 
 def prefix_counts(words: Vocabulary, text: str | None, part_chars: int = PART_CHARS) -> Iterator[np.ndarray]:
@@ -377,26 +392,27 @@ def prefix_counts(words: Vocabulary, text: str | None, part_chars: int = PART_CH
     at = 0
     for word in NOT_SPACE.finditer(text):
         yield from put(np.full(word.start() - at, base, np.int32))
-        counts = words.word_counts(word.group())
-        values = np.frombuffer(counts, np.uint8) if isinstance(counts, bytes) else np.array(counts, np.int32)
-        yield from put(values.astype(np.int32) + base)
+        values = np.fromiter(words.word_counts(word.group()), np.int32)
+        yield from put(values + base)
         base, at = base + int(values[-1]), word.end()
     yield from put(np.full(len(text) - at, base, np.int32))
     yield part[:filled]
 
 
 def longest_prefix(words: Vocabulary, text: str | None, limit: int) -> int:
-    """Code points of the longest prefix of at most ``limit`` tokens."""
-    best = seen = 0
-    for part in prefix_counts(words, text):
-        inside = np.flatnonzero(part <= limit)
-        if len(inside):
-            best = seen + int(inside[-1])
-        seen += len(part)
-        # counts only fall within a word, so past a whole part of larger ones none fits
-        if not len(inside):
-            break
-    return best
+    """Code points of the longest prefix of at most ``limit`` tokens.
+
+    Counts only fall within a word, so the prefix ends in the first word that passes the
+    limit, or before it.
+    """
+    base = 0
+    for word in NOT_SPACE.finditer(text or ""):
+        total = words.total(word.group())
+        if base + total > limit:
+            inside = [i + 1 for i, n in enumerate(words.word_counts(word.group())) if base + n <= limit]
+            return word.start() + max(inside, default=0)
+        base += total
+    return len(text or "")
 
 
 def prefix_table(docs: DataFrame, path: str, part_chars: int = PART_CHARS) -> DataFrame:
@@ -441,8 +457,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
         words = vocabulary(path)
         for rows in slices(batches, ROWS_AT_ONCE):
             texts = [t or "" for t in rows["text"]]
-            words.learn(set().union(*map(words_of, texts)))
-            counts = [count(words, t) for t in texts]
+            counts = [count(words, words_of(t)) for t in texts]
             kept = [longest_prefix(words, t, limit) if n > limit else len(t) for t, n in zip(texts, counts)]
             arrays = [pa.array(rows["doc_id"], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(kept, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
