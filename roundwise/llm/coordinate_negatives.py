@@ -39,7 +39,7 @@ SCALE = 256
 TOP = 5
 RATIO = (80, 100)
 BUCKET_ROWS = 1024
-ANCHOR_PIECES = 8
+BLOCK_ANCHORS = 8192
 FOCUS = 4
 EXACT_DOUBLE = float(1 << 53)
 LARGEST = (1 << 63) - 1
@@ -252,17 +252,16 @@ def band(score: int, ratio: tuple[int, int] = RATIO) -> tuple[int, int]:
     return -(-ratio[0] * score // ratio[1]), score
 
 
-def blocks(stored: DataFrame, anchor_pieces: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-    """(id, label, vector) of the anchors, a bounded number of pieces at a time."""
-    block, n = [], 0
+def blocks(stored: DataFrame, block_anchors: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """(id, label, vector) of the anchors, whole pieces until there are ``block_anchors``."""
+    block: list[tuple[int, int, np.ndarray]] = []
     for row in stored.toLocalIterator():
         ids = np.frombuffer(row["ids"], np.int64)
         vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dims"])
         block += [(int(i), row["label"], v) for i, v in zip(ids, vectors)]
-        n += 1
-        if n == anchor_pieces:
+        if len(block) >= block_anchors:
             yield block
-            block, n = [], 0
+            block = []
     if block:
         yield block
 
@@ -300,7 +299,7 @@ def first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hard_negatives(rows: DataFrame, is_anchor: Column, k: int = TOP, bucket_rows: int = BUCKET_ROWS, focus: int = FOCUS, anchor_pieces: int = ANCHOR_PIECES) -> DataFrame:
+def hard_negatives(rows: DataFrame, is_anchor: Column, k: int = TOP, bucket_rows: int = BUCKET_ROWS, focus: int = FOCUS, block_anchors: int = BLOCK_ANCHORS) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
     ``rows`` has vec_id, embedding and label; ``is_anchor`` is a condition on vec_id.
@@ -312,7 +311,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, k: int = TOP, bucket_rows
     path = fresh_path(spark, "lemp-negatives")
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     spark.createDataFrame([], schema).write.parquet(path)
-    for block in blocks(stored, anchor_pieces):
+    for block in blocks(stored, block_anchors):
         # k rows for each anchor of the block, so the driver sees a bounded number
         positives: list[list] = [[] for _ in block]
         for row in first(searched(index, block, None, k, focus), k).orderBy("anchor", "rank").collect():

@@ -158,7 +158,7 @@ def made_vectors(n, dims, seed, copies=0):
 def test_negatives_match_brute_force(spark, bucket, focus, pieces):
     rows = made_vectors(120, 8, 3, copies=60)  # copies of one vector are a third of all rows
     want = brute_negatives(rows, lambda i: i % 10 == 0)
-    assert negatives(spark, rows, bucket_rows=bucket, focus=focus, anchor_pieces=pieces) == want and len(want) > 50
+    assert negatives(spark, rows, bucket_rows=bucket, focus=focus, block_anchors=pieces) == want and len(want) > 50
 
 
 def test_negatives_of_awkward_rows(spark):
