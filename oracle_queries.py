@@ -547,6 +547,51 @@ SELECT {key_list}, {x}, {fits} FROM (SELECT *, a0 * (a2 * a4 - a3 * a3) + a1 * (
 
 part("smoothed", "curves", loess("curves", ["scenario", "gender", "age_group"], "month", ["inc_mean", "inc_lower", "inc_upper"], 0.25, ["loess_inc_mean", "loess_inc_lower", "loess_inc_upper"]))
 oracle("smooth_curves", "smoothed", "SELECT * FROM smoothed WHERE month > 12")
+def blended_loess(source: str, keys: list[str], x: str, ys: list[str], span: float, names: list[str]) -> str:
+    """Fits at the cuts of a median partition, blended; every x occurs once in a curve."""
+    k, a_keys = ", ".join(keys), ", ".join(f"a.{c}" for c in keys)
+
+    def same(a: str, b: str) -> str:
+        return " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+
+    moments = ", ".join(f"sum(w * power(u, {j})) AS a{j}" for j in range(5))
+    tops = ", ".join(f"sum(w * y{n} * power(u, {j})) AS t{j}_{n}" for n in range(len(ys)) for j in range(3))
+    fits = ", ".join(
+        f"CASE WHEN det > 1e-12 * a0 * a0 * a0 THEN (t0_{n} * (a2 * a4 - a3 * a3) + t1_{n} * (a2 * a3 - a1 * a4) + t2_{n} * (a1 * a3 - a2 * a2)) / det END AS f{n}, "
+        f"CASE WHEN det > 1e-12 * a0 * a0 * a0 THEN (t0_{n} * (a2 * a3 - a1 * a4) + t1_{n} * (a0 * a4 - a2 * a2) + t2_{n} * (a1 * a2 - a0 * a3)) / det / h END AS d{n}"
+        for n in range(len(ys))
+    )
+    ahead = ", ".join(f"lead({c}{n}) OVER o AS next_{c}{n}" for n in range(len(ys)) for c in "fd")
+    blends = ", ".join(
+        r(f"power(1 - s, 2) * (1 + 2 * s) * f{n} + s * s * (3 - 2 * s) * next_f{n} + (s * power(1 - s, 2) * d{n} - s * s * (1 - s) * next_d{n}) * (w - v)", name)
+        for n, name in enumerate(names)
+    )
+    return f"""
+WITH RECURSIVE pts AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {x}) AS rn, count(*) OVER (PARTITION BY {k}) AS n FROM {source}),
+cells AS (
+  SELECT DISTINCT {k}, CAST(1 AS BIGINT) AS l, n AS u, n, floor(n * {span * 0.2!r}) AS most FROM pts
+  UNION ALL SELECT {k}, CASE side WHEN 0 THEN l ELSE (l + u) // 2 + 1 END, CASE side WHEN 0 THEN (l + u) // 2 ELSE u END, n, most
+  FROM cells CROSS JOIN (VALUES (0), (1)) h(side) WHERE u - l + 1 > greatest(most, 1)),
+edges AS (SELECT {k}, min({x}) AS lo, max({x}) AS hi, 0.005 * greatest(max({x}) - min({x}), greatest(abs(min({x})), abs(max({x}))) * 1e-3 + 1e-30) AS margin FROM pts GROUP BY {k}),
+ends AS (
+  SELECT DISTINCT {a_keys}, CAST(p.{x} AS DOUBLE) AS v FROM cells a JOIN pts p ON {same("p", "a")} AND p.rn = a.u WHERE a.u < a.n
+  UNION SELECT {k}, lo - margin FROM edges UNION SELECT {k}, hi + margin FROM edges),
+fits AS (
+  SELECT {k}, v, {fits} FROM (SELECT *, a0 * (a2 * a4 - a3 * a3) + a1 * (a2 * a3 - a1 * a4) + a2 * (a1 * a3 - a2 * a2) AS det FROM (
+    SELECT {k}, v, any_value(h) AS h, {moments}, {tops} FROM (
+      SELECT *, (bx - v) / nullif(h, 0) AS u, CASE WHEN abs(bx - v) < h THEN power(1 - power(abs(bx - v) / h, 3), 3) ELSE 0.0 END AS w FROM (
+        SELECT *, max(CASE WHEN nearest <= q THEN abs(bx - v) END) OVER (PARTITION BY {k}, v) AS h FROM (
+          SELECT {a_keys}, a.v, b.{x} AS bx, {", ".join(f"b.{y} AS y{n}" for n, y in enumerate(ys))},
+            row_number() OVER (PARTITION BY {a_keys}, a.v ORDER BY abs(b.{x} - a.v)) AS nearest, floor(b.n * {span} + 1e-5) AS q
+          FROM ends a JOIN pts b ON {same("a", "b")})))
+    GROUP BY {k}, v))),
+spans AS (SELECT *, lead(v) OVER o AS w, {ahead} FROM fits WINDOW o AS (PARTITION BY {k} ORDER BY v))
+SELECT {k}, {x}, {blends} FROM (SELECT {", ".join(f"p.{c}" for c in keys)}, p.{x}, (p.{x} - c.v) / (c.w - c.v) AS s, c.* EXCLUDE ({k})
+  FROM pts p JOIN spans c ON {same("p", "c")} AND p.{x} >= c.v AND p.{x} < c.w)"""
+
+
+part("blended", "curves", blended_loess("curves", ["scenario", "gender", "age_group"], "month", ["inc_mean", "inc_lower", "inc_upper"], 0.25, ["loess_inc_mean", "loess_inc_lower", "loess_inc_upper"]))
+oracle("smooth_curves_interpolated", "blended", "SELECT * FROM blended WHERE month > 12")
 part("cover", "panel", """
 SELECT sex, round, CASE WHEN isnan(v) THEN 0.0 ELSE v END AS artcov_mean FROM (
   SELECT sex, round, CASE WHEN n = 0 THEN CAST('nan' AS DOUBLE) ELSE k / n END AS v FROM (

@@ -601,6 +601,13 @@ def smooth_curves(spark, d):
     return _smoothed(spark, d).where("month > 12")
 
 
+@query
+def smooth_curves_interpolated(spark, d):
+    """The same curves fitted at the cuts of a partition only and blended between them."""
+    curves = K.smooth_curves(X.scenario_curves(spark, d), X.CURVE_KEYS, "month", ["inc_mean", "inc_lower", "inc_upper"], prefix="loess_", method="interpolate")
+    return curves.where("month > 12")
+
+
 @query
 def smooth_coverage(spark, d):
     """Treatment coverage by sex and round: NaN of empty cells set to 0, then smoothed."""

@@ -75,6 +75,78 @@ def test_smoothing_matches_direct_fit(spark, monkeypatch, points, chunk, span):
         assert got[x0] == pytest.approx(value, abs=1e-8)
 
 
+# Fifty stopping distances by speed, a public teaching table, and the smooth published for
+# it by the common statistics package (span 0.75, its documentation's example output).
+SPEED = "4 4 7 7 8 9 10 10 10 11 11 12 12 12 12 13 13 13 13 14 14 14 14 15 15 15 16 16 17 17 17 18 18 18 18 19 19 19 20 20 20 20 20 22 23 24 24 24 24 25"
+DISTANCE = "2 10 4 22 16 10 18 26 34 17 28 14 20 24 28 26 34 34 46 26 36 60 80 20 26 54 32 40 32 40 50 42 56 76 84 36 46 68 32 48 52 56 64 66 54 70 92 93 120 85"
+PUBLISHED = {7: 12.499786, 8: 15.281082, 9: 18.446568, 10: 21.865315, 11: 25.517015, 12: 29.350386, 13: 33.230660, 14: 37.167935, 15: 41.205226, 17: 48.355889, 18: 49.824812, 19: 51.986702, 20: 56.461318, 22: 68.569313, 23: 76.316068, 24: 85.212121, 25: 95.324047}
+
+
+def test_interpolated_smooth_equals_a_published_one(spark):
+    rows = [("a", float(x), float(y), 2 * float(y)) for x, y in zip(SPEED.split(), DISTANCE.split())]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double").repartition(3)
+    got = {r["x"]: r for r in K.smooth_curves(df, ["g"], "x", ["y", "z"], 0.75, method="interpolate").collect()}
+    for x, value in PUBLISHED.items():
+        assert got[x]["smooth_y"] == pytest.approx(value, abs=1e-6)
+        assert got[x]["smooth_z"] == pytest.approx(2 * value, abs=2e-6)
+
+
+def blended_by_hand(x, y, span, cell=0.2):
+    """Cuts by recursion over observations, fits by least squares, cubic blending."""
+    n = len(x)
+    most, q = int(np.floor(n * (span * cell))), int(np.floor(n * span + 1e-5))
+    margin = 0.005 * max(x[-1] - x[0], max(abs(x[0]), abs(x[-1])) * 1e-3 + 1e-30)
+    ends, cells = [x[0] - margin, x[-1] + margin], [(0, n - 1)]
+    while cells:
+        a, b = cells.pop()
+        if b - a + 1 <= most:
+            continue
+        # last observations of a lower part, counted from one as in the middle
+        m = (a + 1 + b + 1) // 2
+        places = [p for p in range(a + 1, b + 1) if x[p - 1] != x[p] and m - p <= b + 1 - m - 1]
+        if places:
+            p = min(places, key=lambda p: (abs(p - m), -p))
+            ends.append(x[p - 1])
+            cells += [(a, p - 1), (p, b)]
+    ends = np.sort(ends)
+    fits = []
+    for v in ends:
+        d = np.abs(x - v)
+        h = np.sort(d)[q - 1]
+        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0.0)
+        design = np.column_stack([np.ones(n), x - v, (x - v) ** 2])
+        fits.append(np.linalg.lstsq(design * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][:2])
+    out = {}
+    for x0 in np.unique(x):
+        i = np.searchsorted(ends, x0, side="right") - 1
+        width = ends[i + 1] - ends[i]
+        s = (x0 - ends[i]) / width
+        basis = [(1 - s) ** 2 * (1 + 2 * s), s * (1 - s) ** 2 * width, s * s * (3 - 2 * s), -s * s * (1 - s) * width]
+        out[x0] = np.dot(basis, [*fits[i], *fits[i + 1]])
+    return out, len(ends)
+
+
+@pytest.mark.parametrize("points, repeats, span", [(80, False, 0.25), (200, True, 0.1), (60, True, 0.5), (30, False, 0.9)])
+def test_interpolated_smooth_matches_the_hand_worked_curve(spark, points, repeats, span):
+    rng = np.random.default_rng(points)
+    x = np.sort(rng.choice(np.arange(points), size=points, replace=repeats)).astype(float)
+    y = np.cos(x / 7) + rng.normal(0, 0.1, points)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x, "y": y}))
+    got = {r["x"]: r["smooth_y"] for r in K.smooth_curves(df, ["g"], "x", ["y"], span, method="interpolate").collect()}
+    expected, n_ends = blended_by_hand(x, y, span)
+    assert sorted(got) == sorted(expected) and n_ends < 4 / (span * 0.2)
+    for x0, value in expected.items():
+        assert got[x0] == pytest.approx(value, abs=1e-8)
+
+
+def test_interpolated_smooth_of_short_and_empty_curves(spark):
+    df = spark.createDataFrame([("one", 1.0, 2.0), ("two", 1.0, 2.0), ("two", 3.0, 5.0), ("none", None, 1.0)], "g string, x double, y double")
+    got = K.smooth_curves(df, ["g"], "x", ["y"], 0.5, method="interpolate").collect()
+    assert sorted((r["g"], r["x"], r["smooth_y"]) for r in got) == [("one", 1.0, None), ("two", 1.0, None), ("two", 3.0, None)]
+    with pytest.raises(ValueError):
+        K.smooth_curves(df, ["g"], "x", ["y"], method="other")
+
+
 def test_averted_share_is_of_the_compared_scenario(spark):
     df = spark.createDataFrame([("base", 1, 80.0), ("other", 1, 100.0)], "scenario string, year int, cuminc_mean double")
     rows = {r["scenario"]: r for r in K.infections_averted(df, "base", ["year"]).collect()}
