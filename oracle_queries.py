@@ -201,6 +201,10 @@ def proportion(flag: str, strata: str, where: str = "", n: str | None = None, k:
 FROM (SELECT {strata}, {n} AS n, {k} AS k, {k} / CAST(nullif({n}, 0) AS DOUBLE) AS p FROM panel {where} GROUP BY {strata})"""
 
 
+oracle("bucketed_hand_off", "panel", f"""
+SELECT round, {i('count(*)', 'n_rows')}, {i('count(CASE WHEN hivstatus_imputed <> before THEN 1 END)', 'n_changes')}, {i('sum(round - first)', 'rounds_since_first')}
+FROM (SELECT round, hivstatus_imputed, lag(hivstatus_imputed) OVER s AS before, min(round) OVER (PARTITION BY research_id) AS first
+  FROM panel WINDOW s AS (PARTITION BY research_id ORDER BY round)) GROUP BY round""")
 oracle("csv_round_trip", "panel", f"""
 SELECT CAST(year AS VARCHAR) AS year, sex, CAST(n AS INTEGER) AS n, CAST(positives AS INTEGER) AS positives, prop AS prevalence, se, lb, ub
 FROM ({proportion('hivstatus_imputed', 'year, sex')})""")
@@ -217,7 +221,7 @@ SELECT research_id, round, finalhiv, hivstatus, CASE WHEN year >= 1996 THEN visi
 FROM visits""")
 oracle("status_of_verified", "visits verif", f"""
 SELECT round, {i('count(*)', 'n_rows')}, {i('count(DISTINCT research_id)', 'n_subjects')} FROM visits
-WHERE research_id IN (SELECT research_id FROM verif) GROUP BY round""")
+WHERE research_id IN (SELECT research_id FROM verif WHERE birth_day IS NOT NULL) GROUP BY round""")
 oracle("duplicate_person_rounds", "", f"""
 SELECT CAST(o_custkey AS VARCHAR) AS research_id, CAST((year(o_orderdate) - 1995) * 4 + quarter(o_orderdate) AS INTEGER) AS round, {i('count(*)', 'n_rows')}
 FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -292,6 +296,13 @@ oracle("cohort_flow", "demo", stages([
     ("events", "ageyrs2 BETWEEN 15 AND 50 AND hivinc = 1"),
     ("resident events", "ageyrs2 BETWEEN 15 AND 50 AND hivinc = 1 AND resident_imputed = 1"),
 ], "demo", True))
+ORACLES["cohort_flow_observed"] = ORACLES["cohort_flow"]
+LEVELS = [[], ["sex"], ["round"], ["sex", "round"], ["sex", "agecat"], ["sex", "round", "agecat"]]
+oracle("subjects_rollup", "panel", "\nUNION ALL ".join(
+    f"SELECT CAST({sum(4 >> n for n, c in enumerate(('sex', 'round', 'agecat')) if c not in level)} AS BIGINT) AS level, "
+    + ", ".join(c if c in level else f"CAST(NULL AS {kind}) AS {c}" for c, kind in (("sex", "VARCHAR"), ("round", "INTEGER"), ("agecat", "VARCHAR")))
+    + f", {i('count(DISTINCT research_id)', 'n_subjects')} FROM panel" + (f" GROUP BY {', '.join(level)}" if level else "")
+    for level in LEVELS))
 oracle("events_by_sex", "panel", f"SELECT sex, ageyrs2 < 25 AS under25, {i('count(DISTINCT research_id)', 'n_subjects')} FROM panel WHERE hivinc = 1 GROUP BY 1, 2")
 oracle("rounds_per_subject", "panel", f"""
 SELECT {i('count(*)', 'n_subjects')}, {r('avg(n)', 'mean_rounds')} FROM (SELECT research_id, count(*) AS n FROM panel GROUP BY research_id)""")
@@ -316,10 +327,29 @@ oracle("column_proportions", "panel", f"""
 SELECT eversex_clean, sex, {i('n', 'n')}, {r('n / CAST(sum(n) OVER (PARTITION BY sex) AS DOUBLE)', 'share')}
 FROM (SELECT eversex_clean, sex, count(*) AS n FROM panel WHERE eversex_clean IS NOT NULL AND sex IS NOT NULL GROUP BY 1, 2)""")
 part("effective", "panel", f"""
-SELECT CAST(y.v AS INTEGER) AS "Year", b.v AS "AgeBin", {i('count(p.research_id)', 'effective_count')}, CASE s.v WHEN 'F' THEN 'Female' ELSE 'Male' END AS "Gender"
+SELECT CAST(y.v AS INTEGER) AS "Year", b.v AS "AgeBin", {i('count(p.research_id)', 'effective_count')}, CASE s.v WHEN 'F' THEN 'Female' WHEN 'M' THEN 'Male' ELSE s.v END AS "Gender"
 FROM (SELECT unnest(range(y0, y1 + 1)) AS v FROM (SELECT min(year) y0, max(year) y1 FROM panel WHERE hivstatus_imputed IS NOT NULL)) y
-CROSS JOIN (VALUES {FIVE_VALUES}) b(v) CROSS JOIN (VALUES ('F'), ('M')) s(v)
+CROSS JOIN (VALUES {FIVE_VALUES}) b(v)
+CROSS JOIN (SELECT 'F' AS v UNION SELECT 'M' UNION SELECT sex FROM panel WHERE sex IS NOT NULL AND year IS NOT NULL AND hivstatus_imputed IS NOT NULL) s
 LEFT JOIN panel p ON p.year = y.v AND p.agecat = b.v AND p.sex = s.v AND p.hivstatus_imputed IN (0, 1) GROUP BY 1, 2, 4""")
+KINDS = {"hivinc": "INTEGER", "year": "INTEGER", "hivstatus_imputed": "INTEGER", "circ_imputed_fix": "INTEGER", "agecat": "VARCHAR", "eversex_clean": "INTEGER", "sex": "VARCHAR"}
+
+
+def long_table(name: str, columns: list[str], source: str, share: str = "CAST(NULL AS DOUBLE)") -> str:
+    shown = ", ".join(c if c in columns else f"CAST(NULL AS {kind}) AS {c}" for c, kind in KINDS.items())
+    return f"SELECT '{name}' AS table_name, {shown}, {i('n', 'n')}, {share} AS share FROM ({source})"
+
+
+oracle("contingency_tables", "panel", "\nUNION ALL ".join([
+    long_table("events by year", ["hivinc", "year"], zero_filled("panel", ["hivinc", "year"])),
+    long_table("status", ["hivstatus_imputed"], "SELECT hivstatus_imputed, count(*) AS n FROM panel GROUP BY 1"),
+    long_table("circumcised men by band", ["circ_imputed_fix", "agecat"], f"""
+SELECT f.v AS circ_imputed_fix, b.v AS agecat, count(p.research_id) AS n FROM (VALUES (0), (1)) f(v) CROSS JOIN (VALUES {FIVE_VALUES}) b(v)
+LEFT JOIN panel p ON p.circ_imputed_fix = f.v AND p.agecat = b.v AND p.sex = 'M' GROUP BY 1, 2"""),
+    long_table("ever sex within sex", ["eversex_clean", "sex"], "SELECT eversex_clean, sex, count(*) AS n FROM panel WHERE eversex_clean IS NOT NULL AND sex IS NOT NULL GROUP BY 1, 2",
+               "round(n / CAST(sum(n) OVER (PARTITION BY sex) AS DOUBLE), 6) + 0.0"),
+    long_table("known status by sex and band", ["sex", "agecat"], "SELECT sex, agecat, count(*) AS n FROM panel WHERE hivstatus_imputed IS NOT NULL GROUP BY 1, 2"),
+]))
 oracle("effective_count_long", "effective", "SELECT * FROM effective")
 oracle("residents_only", "panel", crude("sex", f", {r('100 * sum(hivinc) / sum(py)', 'rate')}", " AND resident_imputed = 1"))
 oracle("missing_counts", "panel", "\nUNION ALL ".join(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from roundwise.functions import codes
@@ -24,6 +25,15 @@ def rounds_per_subject(df: DataFrame, id: str = ID) -> DataFrame:
     return per_subject.agg(F.count(F.lit(1)).alias("n_subjects"), F.avg("n_rounds").alias("mean_rounds"))
 
 
+def status_changes(panel: DataFrame, id: str = ID, order: str = "round", status: str = "hivstatus_imputed") -> DataFrame:
+    """By round: rows, rows whose status differs from the subject's row before, and years
+    since the subject's first row, summed."""
+    own = Window.partitionBy(id).orderBy(order)
+    before, first = F.lag(status).over(own), F.first(order).over(own)
+    marked = panel.select(order, (F.col(status) != before).alias("changed"), (F.col(order) - first).alias("since"))
+    return marked.groupBy(order).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("changed").alias("n_changes"), F.sum("since").alias("rounds_since_first"))
+
+
 def cohort_flow(df: DataFrame, stages: Mapping[str, Column], id: str = ID) -> DataFrame:
     """Rows and subjects that satisfy each stage's condition.
 
@@ -37,6 +47,52 @@ def cohort_flow(df: DataFrame, stages: Mapping[str, Column], id: str = ID) -> Da
     return per_subject.agg(F.array(*pieces).alias("s")).select(F.inline("s"))
 
 
+def observed_flow(df: DataFrame, stages: Mapping[str, Column], id: str = ID, order: str = "round") -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, and an observation that is filled with ``cohort_flow``'s counts
+    while somebody else's action runs over it.
+
+    A subject is counted where it first satisfies a stage; that takes a window over the
+    subject, which shares the partitioning of a panel's other windows, and no distinct. Put
+    it last before a write: metrics of the last stage are counted once per partition.
+    """
+    so_far = Window.partitionBy(id).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = df.withColumns({f"_in{i}": F.coalesce(cond, F.lit(False)) for i, cond in enumerate(stages.values())})
+    marked = marked.withColumns({f"_first{i}": F.col(f"_in{i}") & F.col(id).isNotNull() & (F.count_if(f"_in{i}").over(so_far) == 1) for i in range(len(stages))})
+    counts = Observation()
+    metrics = [m for i in range(len(stages)) for m in (F.count_if(f"_in{i}").alias(f"rows{i}"), F.count_if(f"_first{i}").alias(f"subjects{i}"))]
+    return marked.observe(counts, *metrics).select(*df.columns), counts
+
+
+def flow_table(like: DataFrame, stages: Mapping[str, Column], counts: Observation) -> DataFrame:
+    """The counts of an observation, once its action has run, in the form of ``cohort_flow``."""
+    got = counts.get
+    rows = [(i + 1, name, got[f"rows{i}"], got[f"subjects{i}"]) for i, name in enumerate(stages)]
+    return like.sparkSession.createDataFrame(rows, "step int, stage string, n_rows long, n_subjects long")
+
+
+def number_subjects(df: DataFrame, id: str = ID, out: str = "number") -> DataFrame:
+    """A whole number for each subject; numbers are dense within a partition, so bitmaps of
+    them are well filled. They differ between runs: write the table before it is joined."""
+    return df.where(F.col(id).isNotNull()).select(id).distinct().withColumn(out, F.monotonically_increasing_id())
+
+
+def subjects_rollup(numbered: DataFrame, levels: Sequence[Sequence[str]], number: str = "number", name: str = "n_subjects") -> DataFrame:
+    """Exact distinct subjects at many levels in one pass: ``level`` (grouping id), the strata
+    of all levels, and the count.
+
+    The rows are reduced once, by the finest strata, to bitmaps of subject numbers (4 KB for
+    32,768 subjects); coarser levels merge those. Bitmaps are merged before they are shuffled
+    and no level counts rows again. Rows without a number count for no subject.
+    """
+    strata = list(dict.fromkeys(c for level in levels for c in level))
+    finest = numbered.groupBy(*strata, F.bitmap_bucket_number(number).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    sets = [[*level, "_bucket"] for level in levels]
+    merged = finest.groupingSets(sets, *strata, "_bucket").agg(F.grouping_id().alias("_level"), F.bitmap_or_agg("_bits").alias("_bits"))
+    # the bucket is always grouped: its bit is the lowest one and zero
+    counted = merged.groupBy("_level", *strata).agg(F.sum(F.bitmap_count("_bits")).alias(name))
+    return counted.select(F.shiftright("_level", 1).cast("long").alias("level"), *strata, name)
+
+
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return counts.unpivot([], columns, "column", "n_missing")
@@ -213,6 +269,47 @@ def contingency(df: DataFrame, columns: list[str], levels: Mapping[str, Sequence
     return grid.join(counts, same, "left").select(*[grid[c] for c in columns], F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@dataclass(frozen=True)
+class Table:
+    """A contingency table: its columns, the rows it counts, whether missing values are kept
+    as a level, levels to be completed by zeros (every column, maybe none listed), and the
+    column within which shares are wanted."""
+
+    columns: Sequence[str]
+    only: Column | None = None
+    keep_missing: bool = False
+    levels: Mapping[str, Sequence] | None = None
+    share_of: str | None = None
+
+
+def count_tables(df: DataFrame, tables: Mapping[str, Table]) -> DataFrame:
+    """The counts of all tables from one pass: rows are reduced to cells of all columns
+    together, and the tables are grouping sets of those cells. Cut (write) the result before
+    ``finished_tables``, which uses it several times."""
+    columns = list(dict.fromkeys(c for t in tables.values() for c in t.columns))
+    counts = [(F.count(F.lit(1)) if t.only is None else F.count_if(t.only)).alias(f"_n{i}") for i, t in enumerate(tables.values())]
+    cells = df.groupBy(*columns).agg(*counts)
+    sets = list(dict.fromkeys(tuple(c for c in columns if c in t.columns) for t in tables.values()))
+    return cells.groupingSets([list(s) for s in sets], *columns).agg(F.grouping_id().alias("_set"), *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(tables))])
+
+
+def finished_tables(counted: DataFrame, tables: Mapping[str, Table]) -> DataFrame:
+    """The tables of ``count_tables`` in long form: table_name, all columns, n, share."""
+    columns = [c for c in counted.columns if not c.startswith("_")]
+    stacked = None
+    for i, (name, t) in enumerate(tables.items()):
+        place = sum(1 << (len(columns) - 1 - j) for j, c in enumerate(columns) if c not in t.columns)
+        own = counted.where((F.col("_set") == place) & (F.col(f"_n{i}") > 0)).select(*t.columns, F.col(f"_n{i}").alias("n"))
+        own = own if t.keep_missing else own.dropna(subset=list(t.columns))
+        if t.levels is not None:
+            grid = level_grid(own, {c: t.levels.get(c, []) for c in t.columns})
+            own = grid.join(own, list(t.columns), "left").fillna(0, ["n"])
+        total = F.sum("n").over(Window.partitionBy(t.share_of)) if t.share_of else F.lit(None).cast("double")
+        own = own.select(F.lit(name).alias("table_name"), *t.columns, "n", F.try_divide(F.col("n"), total).alias("share"))
+        stacked = own if stacked is None else stacked.unionByName(own, allowMissingColumns=True)
+    return stacked.select("table_name", *columns, "n", "share")
+
+
 def level_grid(counts: DataFrame, levels: Mapping[str, Sequence]) -> DataFrame:
     """All combinations of the levels listed or found in a table of counts, generated
     column by column from one row of level sets."""
@@ -231,24 +328,40 @@ def column_proportions(df: DataFrame, row: str, column: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total)
 
 
-def wide_counts(df: DataFrame, row: str, column: str, values: Sequence[str], id: str = ID) -> DataFrame:
-    """Distinct subjects per row value, one column per listed value."""
-    counts = subjects_by(df, [row, column], id)
-    return counts.groupBy(row).pivot(column, list(values)).agg(F.first("n_subjects"))
+def level_counts(df: DataFrame, row: str, column: str, id: str = ID, missing: str = "missing", out: str = "counts") -> DataFrame:
+    """Distinct subjects per row value, as a map from every level of ``column`` that occurs
+    to its count; a missing level is named. Lazy; ``spread_levels`` makes columns of it."""
+    levels = df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(missing)))
+    counts = subjects_by(levels, [row, column], id).where("n_subjects > 0")
+    return counts.groupBy(row).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n_subjects")))).alias(out))
+
+
+def spread_levels(counts: DataFrame, column: str = "counts", most: int = 1000) -> DataFrame:
+    """A column for every key that occurs in a map column, in order of the keys; other rows
+    hold NULL there. Looks the keys up at once, so give it a finished table; more than
+    ``most`` keys are refused, as a report has no such columns."""
+    found = [r["k"] for r in counts.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} levels")
+    rest = [c for c in counts.columns if c != column]
+    return counts.select(*rest, *[F.col(column)[k].alias(k) for k in found])
 
 
 def effective_counts(cells: DataFrame) -> DataFrame:
-    """Rows with a known status by sex, year and five-year band, zero-filled.
+    """Rows with a known status by sex, year and band, zero-filled.
 
     Starts from ``cell_table``. Years run from the first to the last one with a known
-    status; labels read Female / Male.
+    status; both sexes and all five-year bands are there, and every other sex or band that
+    occurs. Labels read Female / Male. Rows without sex or band belong to no line.
     """
     known = cells.where((F.col("n_status") > 0) & F.col("year").isNotNull())
     counts = known.groupBy("sex", "year", "agecat").agg(F.sum("n_status").alias("_n"))
-    grid = counts.agg(F.sequence(F.min("year"), F.max("year")).alias("_y")).select(F.explode("_y").alias("year"))
-    for name, values in (("sex", ["F", "M"]), ("agecat", codes.band_labels(**codes.FIVE_YEAR_BANDS))):
-        grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    filled = grid.join(counts, ["sex", "year", "agecat"], "left")
+    years = counts.agg(F.sequence(F.min("year"), F.max("year")).alias("_y"), *[F.collect_set(c).alias(f"_{c}") for c in ("sex", "agecat")])
+    listed = {"sex": ["F", "M"], "agecat": codes.band_labels(**codes.FIVE_YEAR_BANDS)}
+    grid = years.select("*", F.explode("_y").alias("year"))
+    for name, values in listed.items():
+        grid = grid.select("*", F.explode(F.array_union(F.array(*[F.lit(v) for v in values]), f"_{name}")).alias(name))
+    filled = grid.select("year", "sex", "agecat").join(counts, ["sex", "year", "agecat"], "left")
     return filled.select(
         F.col("year").alias("Year"),
         F.col("agecat").alias("AgeBin"),

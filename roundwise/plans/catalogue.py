@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,13 +88,22 @@ def parquet_hand_off(spark, d):
     return E.crude_person_time(readers.read_table(spark, path), ["sex", "agecat"])
 
 
+@query
+def bucketed_hand_off(spark, d):
+    """Panel handed over in buckets by subject; the next job's windows move no row."""
+    keep = ["research_id", "round", "hivstatus_imputed", "hivinc", "py"]
+    name = f"panel_{uuid.uuid4().hex}"
+    sinks.write_bucketed(_panel(spark, d).select(*keep), name, shared_folder(spark), "research_id", ["round"])
+    return E.status_changes(spark.table(name))
+
+
 @query
 def csv_round_trip(spark, d):
     """Prevalence table written as CSV under report names and read back by schema."""
     table = E.proportion_table(_panel(spark, d), "hivstatus_imputed", ["year", "sex"])
     table = table.withColumn("share", F.col("prop")).withColumn("year", F.col("year").cast("string"))
     names = ["year", "sex", "prevcount", "hivpos", "hivprev", "se", "lb", "ub"]
-    path = sinks.write_csv(table, shared_folder(spark), names, positions=list(range(8)), single_file=True)
+    path = sinks.write_csv(table, shared_folder(spark), names, positions=list(range(8)), order=["year", "sex"])
     return readers.read_csv(spark, path, readers.PREVALENCE_BY_SEX)
 
 
@@ -134,8 +144,8 @@ def status_coding(spark, d):
 
 @query
 def status_of_verified(spark, d):
-    """Status visits of subjects that are in the eligibility table, by round."""
-    verified = D.clean_eligibility(X.eligibility(spark, d)).select("research_id").distinct()
+    """Status visits of subjects that the eligibility table knows by birth date, by round."""
+    verified = D.clean_eligibility(X.eligibility(spark, d)).where("birth_day is not null").select("research_id").distinct()
     kept = _visits(spark, d).join(verified, "research_id", "left_semi")
     return kept.groupBy("round").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("research_id").alias("n_subjects"))
 
@@ -316,9 +326,10 @@ def rounds_per_subject(spark, d):
 
 @query
 def status_by_round_pivot(spark, d):
-    """Subjects by round and result, missing results in a column of their own."""
-    visits = _visits(spark, d).withColumn("finalhiv", F.coalesce("finalhiv", F.lit("missing")))
-    return E.wide_counts(visits, "round", "finalhiv", ["N", "P", "S", "missing"])
+    """Subjects by round and result, a column for every result that occurs and for missing
+    ones; the counts are written once and the columns found from them."""
+    path = sinks.write_table(E.level_counts(_visits(spark, d), "round", "finalhiv"), shared_folder(spark))
+    return E.spread_levels(readers.read_table(spark, path))
 
 
 @query
@@ -349,12 +360,13 @@ def effective_count_long(spark, d):
     return E.effective_counts(_cells(spark, d))
 
 
-@query
-def cohort_flow(spark, d):
-    """Rows and subjects left after each step of the selection."""
-    panel = D.attach_demographics(_events(spark, d), D.clean_eligibility(X.eligibility(spark, d)), D.clean_questionnaire(X.questionnaire(spark, d)))
+def _flow_panel(spark, d):
+    return D.attach_demographics(_events(spark, d), D.clean_eligibility(X.eligibility(spark, d)), D.clean_questionnaire(X.questionnaire(spark, d)))
+
+
+def _flow_stages():
     in_age = F.col("ageyrs2").between(15, 50)
-    stages = {
+    return {
         "completed": F.lit(True),
         "tested": F.col("cohortclass").isNotNull() & (F.col("cohortclass") != P.NO_TESTING),
         "age 15-50": in_age,
@@ -362,7 +374,43 @@ def cohort_flow(spark, d):
         "events": in_age & (F.col("hivinc") == 1),
         "resident events": in_age & (F.col("hivinc") == 1) & (F.col("resident_imputed") == 1),
     }
-    return E.cohort_flow(panel, stages)
+
+
+@query
+def cohort_flow(spark, d):
+    """Rows and subjects left after each step of the selection."""
+    return E.cohort_flow(_flow_panel(spark, d), _flow_stages())
+
+
+@query
+def cohort_flow_observed(spark, d):
+    """The same counts, gathered while the panel is written and without another pass."""
+    panel, counts = E.observed_flow(_flow_panel(spark, d), _flow_stages())
+    sinks.write_table(panel, shared_folder(spark))
+    return E.flow_table(panel, _flow_stages(), counts)
+
+
+@query
+def subjects_rollup(spark, d):
+    """Exact distinct subjects overall and by sex, round and band, from one pass of bitmaps."""
+    panel = _panel(spark, d).select("research_id", "sex", "round", "agecat")
+    numbers = readers.read_table(spark, sinks.write_table(E.number_subjects(X.survey_subjects(spark, d)), shared_folder(spark)))
+    levels = [[], ["sex"], ["round"], ["sex", "round"], ["sex", "agecat"], ["sex", "round", "agecat"]]
+    return E.subjects_rollup(panel.join(numbers, "research_id", "left"), levels)
+
+
+@query
+def contingency_tables(spark, d):
+    """Five tables with their own levels and missing-value rules from one pass."""
+    tables = {
+        "events by year": E.Table(["hivinc", "year"], levels={}),
+        "status": E.Table(["hivstatus_imputed"], keep_missing=True),
+        "circumcised men by band": E.Table(["circ_imputed_fix", "agecat"], only=F.col("sex") == "M", levels={"circ_imputed_fix": [0, 1], "agecat": FIVE_YEAR}),
+        "ever sex within sex": E.Table(["eversex_clean", "sex"], share_of="sex"),
+        "known status by sex and band": E.Table(["sex", "agecat"], only=F.col("hivstatus_imputed").isNotNull(), keep_missing=True),
+    }
+    path = sinks.write_table(E.count_tables(_panel(spark, d), tables), shared_folder(spark))
+    return E.finished_tables(readers.read_table(spark, path), tables)
 
 
 @query

@@ -70,6 +70,11 @@ def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def survey_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """research_id of every subject of the survey tables."""
+    return read(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS STRING) AS research_id")
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Order status and priority back as text."""
     names = {"state": ("floor(code / 8)", _STATES), "priority": ("code % 8", _PRIORITIES)}

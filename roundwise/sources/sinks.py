@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 
@@ -18,14 +20,42 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
-def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = False) -> str:
+def write_bucketed(df: DataFrame, name: str, path: str, by: str, sort_by: Sequence[str] = (), buckets: int | None = None) -> str:
+    """Hand a panel over as table ``name`` (data below ``path``), bucketed by ``by`` and
+    sorted within the buckets: windows, aggregates and joins of the next job over that
+    column need no exchange.
+
+    A panel that is spread by the same column over as many partitions as there are buckets
+    (the default: the session's shuffle partitions) is written as one file per bucket,
+    without moving a row. Read it with ``spark.table(name)``.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.write.mode("error").option("path", path).bucketBy(n, by).sortBy(by, *sort_by).saveAsTable(name)
+    return name
+
+
+def in_order(df: DataFrame, order: Sequence[str], files: int | None = None) -> DataFrame:
+    """Rows in ascending order over the partitions and within them, so that part files read
+    by name give the whole order: ranges of the sort keys are dealt to tasks, and no task
+    sorts more than its range. Equal keys are ordered by the other columns; missing values
+    come first."""
+    keys = [*order, *[c for c in df.columns if c not in order]]
+    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
+
+
+def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = False, order: Sequence[str] = ()) -> str:
     """CSV with a header, optionally of some columns by position and under new names.
 
-    ``single_file`` is for finished report tables only: all rows meet in one task.
+    With ``order`` (names in the file) rows are in order over the part files as sorted by
+    name. ``single_file`` is for finished report tables only: all rows meet in one task,
+    and are ordered there.
     """
     chosen = df.select(*[df.columns[i] for i in positions]) if positions else df
     out = chosen.toDF(*names) if names else chosen
-    if single_file:
+    if order:
+        out = in_order(out, order, 1 if single_file else None)
+    elif single_file:
         out = out.repartition(1)  # only the finished rows meet in one task
     out.write.mode("error").option("header", True).option("nullValue", "NA").csv(path)
     return path
