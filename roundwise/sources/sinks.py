@@ -44,17 +44,18 @@ def in_order(df: DataFrame, order: Sequence[str], files: int | None = None) -> D
     return ranged.sortWithinPartitions(*keys)
 
 
-def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = False, order: Sequence[str] = ()) -> str:
+def write_csv(df: DataFrame, path: str, names: list[str] | None = None, positions: list[int] | None = None, single_file: bool = False, order: Sequence[str] = (), files: int | None = None) -> str:
     """CSV with a header, optionally of some columns by position and under new names.
 
     With ``order`` (names in the file) rows are in order over the part files as sorted by
-    name. ``single_file`` is for finished report tables only: all rows meet in one task,
+    name; the runtime merges small ranges unless the number of ``files`` is given.
+    ``single_file`` is for finished report tables only: all rows meet in one task,
     and are ordered there.
     """
     chosen = df.select(*[df.columns[i] for i in positions]) if positions else df
     out = chosen.toDF(*names) if names else chosen
     if order:
-        out = in_order(out, order, 1 if single_file else None)
+        out = in_order(out, order, 1 if single_file else files)
     elif single_file:
         out = out.repartition(1)  # only the finished rows meet in one task
     out.write.mode("error").option("header", True).option("nullValue", "NA").csv(path)

@@ -173,3 +173,72 @@ def test_gamma_quantiles_of_large_shapes(p):
         series = shape + z * math.sqrt(shape) + (z * z - 1) / 3 + (z**3 - 7 * z) / (36 * math.sqrt(shape))
         assert abs(gamma_quantile(p, np.array([shape]))[0] - series) <= 1e-9 * math.sqrt(shape) + 4e-16 * shape
     assert time.perf_counter() - start < 0.1
+
+
+VISITS = "research_id string, round int, finalhiv string"
+
+
+def test_every_level_that_occurs_gets_a_column(spark):
+    rows = [("a", 1, "N"), ("a", 1, "N"), ("b", 1, None), ("c", 2, "indeterminate"), ("d", 2, "N"), (None, 3, "P"), ("e", None, "P")]
+    counts = E.level_counts(spark.createDataFrame(rows, VISITS), "round", "finalhiv").persist()
+    assert {r["round"]: r["counts"] for r in counts.collect()} == {1: {"N": 1, "missing": 1}, 2: {"indeterminate": 1, "N": 1}, None: {"P": 1}}
+    wide = E.spread_levels(counts)
+    assert wide.columns == ["round", "N", "P", "indeterminate", "missing"]
+    assert {tuple(r) for r in wide.collect()} == {(1, 1, None, None, 1), (2, 1, None, 1, None), (None, None, 1, None, None)}
+    with pytest.raises(ValueError):
+        E.spread_levels(counts, most=3)
+    assert E.spread_levels(counts.limit(0)).columns == ["round"]
+    counts.unpersist()
+
+
+def test_effective_counts_keep_every_sex_and_band(spark):
+    rows = [("F", 2000, "[15,20)", 3), ("X", 2001, "[50,55)", 2), (None, 2001, "[15,20)", 4), ("M", 2001, None, 1), ("M", None, "[15,20)", 1)]
+    cells = spark.createDataFrame(rows, "sex string, year int, agecat string, n_status long")
+    got = {(r["Year"], r["AgeBin"], r["Gender"]): r["effective_count"] for r in E.effective_counts(cells).collect()}
+    assert len(got) == 2 * 8 * 3 and sum(got.values()) == 5
+    assert got[2000, "[15,20)", "Female"] == 3 and got[2001, "[50,55)", "X"] == 2 and got[2001, "[15,20)", "Male"] == 0
+
+
+def test_observed_flow_equals_the_counted_one(spark, tmp_path):
+    rows = [(f"s{i % 40}" if i % 11 else None, i // 40, i % 7 if i % 5 else None) for i in range(400)] + [("hot", i, i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "research_id string, round int, v int").repartition(5)
+    stages = {"all": F.lit(True), "big": F.col("v") > 4, "never": F.col("v") > 100, "unknown": F.col("v").isNull()}
+    written, counts = E.observed_flow(df, stages)
+    written.write.parquet(str(tmp_path / "out"))
+    got = {tuple(r) for r in E.flow_table(df, stages, counts).collect()}
+    known = df.where("research_id is not null")
+    want = {tuple(r) for r in E.cohort_flow(known, stages).collect()}
+    assert {(s, n, subjects) for s, n, _, subjects in got} == {(s, n, subjects) for s, n, _, subjects in want}
+    assert {n: rows for _, n, rows, _ in got}["all"] == 600
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("subjects", [1, 70_000])
+def test_subjects_rollup_is_exact(spark, subjects):
+    """Also over several bitmaps, repeated rows, missing strata and missing subjects."""
+    df = spark.range(subjects * 2).selectExpr(f"CASE WHEN id % 13 <> 5 THEN CAST(id % {subjects} AS STRING) END AS research_id", "CASE WHEN id % 3 = 0 THEN 'F' WHEN id % 3 = 1 THEN 'M' END AS sex", "CAST(id % 4 AS INT) AS round")
+    numbers = E.number_subjects(df).persist()
+    got = {tuple(r) for r in E.subjects_rollup(df.join(numbers, "research_id", "left"), [[], ["sex"], ["sex", "round"]]).collect()}
+    want = {(3, None, None, df.agg(F.count_distinct("research_id")).first()[0])}
+    want |= {(1, r[0], None, r[1]) for r in df.groupBy("sex").agg(F.count_distinct("research_id")).collect()}
+    want |= {(0, *r) for r in df.groupBy("sex", "round").agg(F.count_distinct("research_id")).collect()}
+    assert {g for g in got if g[3]} == {w for w in want if w[3]}
+    numbers.unpersist()
+
+
+def test_tables_of_one_pass_equal_single_tables(spark):
+    rows = [("F", 1, "x"), ("F", 2, "x"), ("M", 1, None), ("M", None, "y"), (None, 1, "x"), ("F", 1, "x")]
+    df = spark.createDataFrame(rows, "a string, b int, c string")
+    tables = {
+        "ab": E.Table(["a", "b"], levels={"a": ["F", "M", "X"]}),
+        "ba": E.Table(["b", "a"], keep_missing=True),
+        "c": E.Table(["c"], only=F.col("a") == "M", keep_missing=True),
+        "share": E.Table(["a", "c"], share_of="c"),
+    }
+    got = [tuple(r) for r in E.finished_tables(E.count_tables(df, tables).persist(), tables).collect()]
+    ab = {(r["a"], r["b"], r["n"]) for r in E.contingency(df, ["a", "b"], {"a": ["F", "M", "X"], "b": []}).collect()}
+    assert {(a, b, n) for t, a, b, _, n, _ in got if t == "ab"} == ab and len(ab) == 6
+    ba = {(r["a"], r["b"], r["n"]) for r in E.contingency(df, ["a", "b"], keep_missing=True).collect()}
+    assert {(a, b, n) for t, a, b, _, n, _ in got if t == "ba"} == ba
+    assert {(c, n) for t, _, _, c, n, _ in got if t == "c"} == {(None, 1), ("y", 1)}
+    assert {(a, c, n, s) for t, a, _, c, n, s in got if t == "share"} == {("F", "x", 3, 1.0), ("M", "y", 1, 1.0)}

@@ -1,9 +1,13 @@
+import os
 import re
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from roundwise.operators import estimates as E
 from roundwise.plans import cohort as C
 from roundwise.plans import fixtures as X
 from roundwise.session import shared_folder, tune
@@ -78,3 +82,56 @@ def test_no_cross_join_and_pruned_scans(spark, name):
     plan = plan_of(spark, contract.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "o_comment" not in plan and "c_name" not in plan
+
+
+def part_lines(path):
+    files = sorted(f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-"))
+    return [open(os.path.join(path.removeprefix("file:"), f)).read().splitlines()[1:] for f in files]
+
+
+@pytest.mark.parametrize("single, files", [(True, 1), (False, 5), (False, None)])
+def test_csv_files_are_in_order(spark, single, files):
+    """Read by name, the part files give the whole order, with ties, missing values and a
+    third of all rows on one key."""
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 1000 = 1 THEN NULL ELSE (id * 7919) % 5000 END AS a", "(id * 104729) % 20011 AS b", "id AS c").repartition(7)
+    parts = part_lines(sinks.write_csv(df, shared_folder(spark), ["k", "b", "c"], order=["k", "b"], single_file=single, files=files))
+    got = [tuple(None if v == "NA" else int(v) for v in line.split(",")) for part in parts for line in part]
+    want = sorted(map(tuple, df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+    assert got == want and files in (None, len(parts))
+
+
+def test_ordered_ranges_leave_no_single_task(spark):
+    sizes = spark.range(50_000).selectExpr("1 AS a", "id AS b").transform(sinks.in_order, ["a"], 8).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 25_000
+
+
+def test_bucketed_hand_off_needs_no_exchange(spark):
+    """The next job's windows, aggregates and joins by subject move nothing."""
+    panel = C.event_panel(X.status_visits(spark, SF), X.SETTINGS)
+    names = [f"panel_{i}_{os.getpid()}" for i in range(2)]
+    for name in names:
+        sinks.write_bucketed(panel, name, shared_folder(spark), "research_id", ["round"])
+    one, other = (spark.table(n) for n in names)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        windows = one.withColumn("before", F.lag("hivstatus").over(Window.partitionBy("research_id").orderBy("round")))
+        by_subject = windows.groupBy("research_id").agg(F.count("before").alias("n"))
+        plan = plan_of(spark, by_subject.join(other.select("research_id", "round"), "research_id"))
+        assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
+    with pytest.raises(AnalysisException):
+        spark.table(names[0])
+
+
+def test_one_scan_for_many_levels_and_tables(spark):
+    path = sinks.write_table(contract.queries()["attach_demographics"](spark, SF), shared_folder(spark))
+    panel = readers.read_table(spark, path)
+    numbers = readers.read_table(spark, sinks.write_table(E.number_subjects(panel), shared_folder(spark)))
+    levels = E.subjects_rollup(panel.join(numbers, "research_id", "left"), [[], ["sex"], ["sex", "round"]])
+    assert plan_of(spark, levels).count("FileScan") == 2
+    tables = {"a": E.Table(["sex"]), "b": E.Table(["round", "sex"], keep_missing=True), "c": E.Table(["agecat"], only=F.col("sex") == "F")}
+    assert plan_of(spark, E.count_tables(panel, tables)).count("FileScan") == 1
