@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundwise.llm.ngrams import chunks, codes_of, hashed, symbols
-from roundwise.llm.shared import cut, slices
+from roundwise.llm.shared import cut, slices, unused
 
 SAMPLE = 20_000
 MAX_DOMAINS = 64
@@ -93,7 +93,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -
     prior = np.log(np.array([r["count"] for r in sizes]) / n)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n)))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("domain", "text", half.alias("half")), "mixing-sample")
+    # one text for each chosen doc_id, however often it occurs: the sample bounds the rows
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = cut(found.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.min("text").alias("text")).select("domain", "text", half.alias("half")), "mixing-sample")
     place = {d: k for k, d in enumerate(domains)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,5 +263,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
         own, found = shared.value
         return pd.Series(found.of(np.array([own.posterior(t) for t in texts]).reshape(len(texts), -1)))
 
-    counted = docs.withColumn("__copies", F.greatest(F.lit(at_least), copies_of(rate("text"), F.col("doc_id"), seed)))
-    return counted.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    name = unused("__copies", docs)
+    copies = F.greatest(F.lit(at_least), copies_of(rate("text"), F.col("doc_id"), seed))
+    return docs.withColumn(name, copies).withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(name)))).drop(name)

@@ -153,6 +153,31 @@ def test_stream_dedup_state_goes_on(spark, tmp_path):
         assert (row.keeper.doc_id, row.arrived) == expected
 
 
+@pytest.mark.parametrize("digest", [stream_dedup.sha256, lambda body: F.length(body).cast("string")])
+def test_later_runs_meet_the_retained_state(spark, tmp_path, digest):
+    """Three runs on one state folder, several micro-batches each: identifiers and counts
+    follow all arrivals so far, and retained content is checked byte by byte."""
+    state = f"file://{tmp_path}/state"
+    runs = [[(1, "a b"), (2, "A B"), (3, "c d"), (None, "x y")], [(9, "a b"), (0, "C D"), (4, "new"), (5, "e f")], [(4, "a B"), (20, "c d"), (6, "g h"), (7, "g H"), (8, None)]]
+    seen = defaultdict(list)
+    for rows in runs:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        for i, t in rows:
+            seen[lowered(t or "")].append(i)
+        got = stream_dedup.deduplicate(docs, digest, state_path=state, batches=3).collect()
+        text = {i: lowered(t or "") for i, t in rows}
+        assert {(r.doc_id, r.keep_id) for r in got} == {(i, max((x for x in seen[text[i]] if x is not None), default=None)) for i in text}
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+        assert {r.doc_id: r.group_size for r in got} == {i: len(seen[text[i]]) for i in text}
+    assert spark.read.parquet(f"{state}/changes").select("batch").distinct().count() > len(runs)
+
+
+def test_stream_dedup_keeps_columns_named_like_its_own(spark):
+    docs = awkward(spark).selectExpr("*", "'x' AS __at", "1 AS __AT_", "2 AS __kept")
+    stays = stream_dedup.distinct_documents(docs)
+    assert stays.columns == docs.columns and stays.count() == len({lowered(t) for _, t in texts(docs)})
+
+
 def test_stream_dedup_empty(spark):
     assert stream_dedup.deduplicate(empty(spark)).count() == 0
 

@@ -236,9 +236,32 @@ def test_toxicity_scores_do_not_see_other_columns(spark):
     assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, other.collect()))
 
 
+def hot(spark, docs):
+    """One doc_id on a third of all rows, with columns named like the operators' own."""
+    row = docs.where("doc_id = 12")
+    return docs.unionByName(row.crossJoin(spark.range(docs.count() // 2)).drop("id"))
+
+
+def test_a_hot_doc_id_counts_once_in_the_toxicity_sample(spark, monkeypatch):
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet").unionByName(spark.createDataFrame([(12, 1, 1)], "doc_id long, quality int, toxic int"))
+    table = toxicity.trigram_table(docs)
+    monkeypatch.setattr(toxicity, "trigram_table", lambda _: table)
+    plain, other = (toxicity.fit(d, labels, F.lit(True)) for d in (docs, hot(spark, docs)))
+    assert np.array_equal(plain.weights, other.weights) and np.array_equal(plain.beta, other.beta)
+
+
 # mixing
 
 
+def test_a_hot_doc_id_counts_once_in_the_mixing_sample(spark):
+    docs = documents(spark)
+    labelled = docs.select("doc_id", F.col("lang").alias("domain"))
+    plain, other = (mixing.fit_classifier(d, labelled) for d in (docs, hot(spark, docs)))
+    assert np.array_equal(plain.weights, other.weights) and plain.scale == other.scale
+    named = docs.selectExpr("*", "1 AS __copies", "2 AS __copy")
+    assert mixing.mixed(named, labelled).columns == named.columns
+
+
 def test_rates_reach_the_targets(spark):
     docs = documents(spark)
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
