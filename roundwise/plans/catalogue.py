@@ -428,7 +428,10 @@ def missing_counts(spark, d):
 
 @query
 def numeric_summary(spark, d):
-    return Q.numeric_summary(_panel(spark, d), ["py", "ageyrs2", "ag1stsex_clean"])
+    columns = ["py", "ageyrs2", "ag1stsex_clean"]
+    # the counting passes read three columns, not the panel's plan
+    path = sinks.write_table(_panel(spark, d).select(*columns), shared_folder(spark))
+    return Q.numeric_summary(readers.read_table(spark, path), columns)
 
 
 @query
@@ -669,7 +672,7 @@ def smooth_coverage(spark, d):
 
 @query
 def infections_averted(spark, d):
-    return K.infections_averted(X.scenario_curves(spark, d), X.BASELINE_SCENARIO, ["gender", "age_group", "month"])
+    return K.infections_averted(X.scenario_means(spark, d), X.BASELINE_SCENARIO, ["gender", "age_group", "month"])
 
 
 @query
