@@ -4,9 +4,15 @@ Numbers and dates are found by pattern, validated (card check digit, calendar, o
 area ranges), and permuted by a keyed Feistel network over the set of valid values of
 their own format, walking the cycle until the result is valid again. The permutation
 depends on key and kind alone, so equal values get equal pseudonyms in every document,
-however they are spaced, different values never collide, and the key holder can undo it.
-Letters and digits of the local part of e-mail addresses are permuted likewise within
-their character classes.
+however they are written, different values never collide, and the key holder can undo it:
+a day has one pseudonym in all layouts, a phone number one with any spacing, with or
+without a bracketed trunk digit, and numbers in North American style are those of code 1.
+Days stay in their span of 200 years, and on the same side of 10 in month and day and of
+12 in day, so that the result is read in the layout of its source. Letters (of any script)
+and digits of the local part of e-mail addresses are permuted within their character
+class; ASCII letters link whatever their case. Not recognised: IPv6 addresses, dates with
+month names, phone numbers without country code that have neither brackets nor separators
+or start with a trunk digit.
 
 A pattern may take more than the value: what follows it in the text is cut off by the
 length of the format (IBAN by country, national phone numbers by country code, cards by
@@ -24,7 +30,9 @@ import datetime as dt
 import functools
 import hashlib
 import ipaddress
+import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
@@ -33,10 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+ERA_YEARS = 200
+EMAIL_PIECE = 32
 # Patterns of the formats that are recognised.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?u:(?<![\w.+\u0300-\u036f-])[\w.+\u0300-\u036f-]+@(?:(?:[^\W_]|-)+\.)+[^\W\d_]{2,})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
@@ -45,6 +54,8 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
+# all but addresses start with one of these signs
+FINDER_WITHOUT_AT = re.compile(r"(?=[A-Z\d+(])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k != "email") + ")", re.ASCII)
 SINGLE = {k: re.compile(p, re.ASCII) for k, p in PATTERNS.items()}
 # Characters of an IBAN by country, most digits of a national number by
 # country code (15 with the code elsewhere), card lengths as they are tried.
@@ -60,16 +71,17 @@ NATIONAL = {
         "10:1,7,20,27,30,36,39,40,44,46,52,54,57,58,63,66,64,81,82,90,91,92,234,880 11:49,55,60,86 12:62 13:43"
     ).split()) for k in ks.split(",")
 }
+# Country codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 DIGITS = re.compile(r"\d+", re.ASCII)
+TRUNK_DIGIT = re.compile(r"[ .-]?\(\d\)", re.ASCII)
 CARD_LENGTHS = (16, 15, 19, 14, 13, 17, 18)
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -> int:
     """A keyed permutation of range(size): alternating Feistel rounds over the two factors
     of the next product a*b >= size, repeated until the value falls below ``size``."""
-    a = max(1, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     steps = range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS)
     while True:
@@ -160,29 +172,22 @@ def date(text: str, key: bytes, undo: bool) -> str | None:
     either = sep != "." and not year_first
     year, month, day = (0, 1, 2) if year_first else (2, 1, 0) if not either or int(parts[0]) > 12 else (2, 0, 1)
     try:
-        ordinal = dt.date(int(parts[year]), int(parts[month]), int(parts[day])).toordinal()
+        given = dt.date(int(parts[year]), int(parts[month]), int(parts[day]))
     except ValueError:
         return None
-    if not FIRST_DAY <= ordinal <= LAST_DAY:
-        return None
-    padded = all(len(p) >= 2 for p in parts)
-    month_first = either and month == 0
+    era = 1900 + (given.year - 1900) // ERA_YEARS * ERA_YEARS
+    first, last = dt.date(max(era, 1), 1, 1).toordinal(), dt.date(min(era + ERA_YEARS - 1, 9999), 12, 31).toordinal()
 
-    def written(value: int) -> str:
-        d = dt.date.fromordinal(FIRST_DAY + value)
-        fields = {year: f"{d.year:04d}", month: f"{d.month:02d}", day: f"{d.day:02d}"}
-        if not padded:
-            fields = {k: v if k == year else str(int(v)) for k, v in fields.items()}
-        return sep.join(fields[i] for i in range(3))
+    def read_as(d: dt.date) -> tuple[bool, bool, bool]:
+        """What padding and the order of day and month depend on; no layout enters."""
+        return d.month < 10, d.day < 10, d.day > 12
 
     def fine(value: int) -> bool:
-        # the result must be read as the same format: padding and order of day and month
-        d = dt.date.fromordinal(FIRST_DAY + value)
-        clear = not either or month_first or d.day > 12
-        return clear and (padded or min(d.month, d.day) < 10)
+        return read_as(dt.date.fromordinal(first + value)) == read_as(given)
 
-    tweak = "date" if padded and not either else f"date{sep}{padded}{month_first}"
-    return written(walk(ordinal - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, tweak, fine, undo))
+    new = dt.date.fromordinal(first + walk(given.toordinal() - first, last - first + 1, key, f"date{era}", fine, undo))
+    fields = {year: new.year, month: new.month, day: new.day}
+    return sep.join(f"{fields[i]:0{len(parts[i])}d}" for i in range(3))
 
 
 def ip(text: str, key: bytes, undo: bool) -> str | None:
@@ -205,30 +210,39 @@ def ssn(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def country_code(text: str) -> str:
-    code = re.match(r"\+\d{1,3}(?=[ .(-])|\+1|\+\d{2}", text)
-    return code[0] if code else ""
+    """Country codes are prefix-free, so the digits alone tell where the code ends."""
+    if not text.startswith("+"):
+        return "1"
+    digits = re.sub(r"\D", "", text[:12])
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
+def national_start(text: str) -> int:
+    """Where the national digits start: behind country code and bracketed trunk digit."""
+    at = behind(text, len(country_code(text))) if text.startswith("+") else 0
+    trunk = TRUNK_DIGIT.match(text, at)
+    return trunk.end() if trunk else at
 
 
 def phone_part(text: str) -> str:
     """The longest part of a find, of whole digit groups, that a national number allows."""
-    kept = country_code(text)
-    most = NATIONAL.get(kept[1:], 16 - len(kept)) if kept else 10
-    most += "(0)" in text
-    ends = [(len(re.sub(r"\D", "", text[len(kept) : m.end()])), m.end()) for m in DIGITS.finditer(text, len(kept))]
+    code, start = country_code(text), national_start(text)
+    most = NATIONAL.get(code, 15 - len(code))
+    ends = [(len(re.sub(r"\D", "", text[start : m.end()])), m.end()) for m in DIGITS.finditer(text, start)]
     fits = [end for n, end in ends if 6 <= n <= most]
     longer = [end for n, end in ends if most < n <= 14]
     return text[: fits[-1] if fits else longer[0]] if fits or longer else text
 
 
 def phone(text: str, key: bytes, undo: bool) -> str | None:
-    """The national digits are permuted; a country code stays."""
-    kept = country_code(text)
-    rest = text[len(kept) :]
+    """The national digits are permuted; country code and trunk digit stay."""
+    start = national_start(text)
+    rest = text[start:]
     digits = re.sub(r"\D", "", rest)
     if not 6 <= len(digits) <= 14:
         return None
     n = len(digits)
-    return kept + refill(rest, f"{feistel(int(digits), 10**n, key, f'phone{kept}{n}', undo):0{n}d}")
+    return text[:start] + refill(rest, f"{feistel(int(digits), 10**n, key, f'phone{country_code(text)}-{n}', undo):0{n}d}")
 
 
 def iban(text: str, key: bytes, undo: bool) -> str | None:
@@ -250,30 +264,42 @@ def iban(text: str, key: bytes, undo: bool) -> str | None:
     return "".join(c if c == " " else next(rest) for c in text)
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def alike(c: str) -> str:
+    """The characters that may stand for ``c``: its category in its row of 128 code points;
+    nothing for punctuation."""
+    category = unicodedata.category(c)
+    if category[0] not in "LNM":
+        return ""
+    row = range(ord(c) & ~127, (ord(c) | 127) + 1)
+    return "".join(x for x in map(chr, row) if unicodedata.category(x) == category)
+
+
 def email(text: str, key: bytes, undo: bool) -> str | None:
-    """Each letter and digit of the local part stays a letter or digit; the domain and
-    the separators stay, so mail addresses keep their shape."""
+    """Each letter and digit of the local part stays one of its kind and case; the domain
+    and the separators stay, so mail addresses keep their shape. Long local parts are
+    permuted in pieces; separators in front are no part of the address."""
     local, _, domain = text.rpartition("@")
-    shape = re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", local)))
-    base = {"0": (10, "0"), "a": (26, "a"), "A": (26, "A")}
-    size = value = 0
-    size = 1
-    for c, s in zip(local, shape, strict=True):
-        if s in base:
-            width, first = base[s]
-            value, size = value * width + ord(c) - ord(first), size * width
-    if size < 2:
+    front = local[: len(local) - len(local.lstrip("._+-"))]
+    local = local[len(front) :]
+    plain = [c.lower() if c.isascii() else c for c in local]
+    kinds = [alike(c) for c in plain]
+    places = [i for i, k in enumerate(kinds) if len(k) > 1]
+    if not places:
         return None
-    value = feistel(value, size, key, f"email{shape}@{domain.lower()}", undo)
-    out = []
-    for s in reversed(shape):
-        if s in base:
-            width, first = base[s]
-            value, rest = divmod(value, width)
-            out.append(chr(ord(first) + rest))
-        else:
-            out.append(s)
-    return "".join(reversed(out)) + "@" + domain
+    shape = "".join(k[0] if k else c for k, c in zip(kinds, plain, strict=True))
+    out = list(local)
+    for s in range(0, len(places), EMAIL_PIECE):
+        piece = places[s : s + EMAIL_PIECE]
+        size, value = 1, 0
+        for i in piece:
+            size, value = size * len(kinds[i]), value * len(kinds[i]) + kinds[i].index(plain[i])
+        value = feistel(value, size, key, f"email{s}{shape}@{domain.lower()}", undo)
+        for i in reversed(piece):
+            value, rest = divmod(value, len(kinds[i]))
+            new = kinds[i][rest]
+            out[i] = new.upper() if local[i].isascii() and local[i].isupper() else new
+    return front + "".join(out) + "@" + domain
 
 
 RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"email": email, "iban": iban, "date": date, "ip": ip, "ssn": ssn, "phone": phone, "card": card, "number": long_number}
@@ -322,7 +348,8 @@ def replace(text: str, key: bytes, undo: bool = False) -> tuple[str, Counter]:
     """A text with all valid finds replaced, and their number by kind."""
     found: Counter = Counter()
     out, done, at = [], 0, 0
-    while m := FINDER.search(text, at):
+    finder = FINDER if "@" in text else FINDER_WITHOUT_AT
+    while m := finder.search(text, at):
         got = accepted(text, m, key, undo)
         if got is None:
             at = m.start() + 1
@@ -343,4 +370,8 @@ def pseudonymise(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:
         done = [(None, Counter()) if t is None else replace(t, key, undo) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in done], "n_replaced": [sum(c.values()) for _, c in done], "kinds": [dict(c) for _, c in done]})
 
-    return docs.drop("n_replaced", "kinds").withColumn("__found", run("text")).withColumns({"text": F.col("__found.text"), "n_replaced": F.col("__found.n_replaced"), "kinds": F.col("__found.kinds")}).drop("__found")
+    kept = docs.drop("n_replaced", "kinds")
+    name = "found"
+    while name in {c.lower() for c in kept.columns}:
+        name += "_"
+    return kept.withColumn(name, run("text")).withColumns({k: F.col(name)[k] for k in ("text", "n_replaced", "kinds")}).drop(name)

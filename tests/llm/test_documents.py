@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -382,8 +384,61 @@ def test_pseudonyms_keep_the_format_and_can_be_undone(kind, value):
 def test_pseudonyms_link_equal_values():
     cards = [re.sub(r"\D", "", pseudonyms.replace(f"x {v} y", KEY)[0]) for v in FINDS["card"][:2]]
     assert cards[0] == cards[1] and pseudonyms.luhn_digit(cards[0][:-1]) == cards[0][-1]
-    days = [pseudonyms.replace(v, KEY)[0] for v in ("2024-02-29", "29.02.2024")]
-    assert days[0].split("-") == days[1].split(".")[::-1]
+
+
+def test_pseudonyms_of_a_day_are_one_in_all_layouts():
+    rng = random.Random(5)
+    for first, last in (("1900-01-01", "2099-12-31"), ("0001-01-01", "9999-12-31")):
+        span = [datetime.date.fromisoformat(d).toordinal() for d in (first, last)]
+        for _ in range(150):
+            d = datetime.date.fromordinal(rng.randint(*span))
+            y = f"{d.year:04d}"
+            layouts = {f"{y}-{d.month:02d}-{d.day:02d}": "Ymd", f"{y}/{d.month:02d}/{d.day:02d}": "Ymd", f"{d.day:02d}.{d.month:02d}.{y}": "dmY", f"{d.day}.{d.month}.{y}": "dmY", f"{d.day:02d}.{d.month}.{y}": "dmY", f"{d.month:02d}/{d.day:02d}/{y}": "mdY", f"{d.month}-{d.day}-{y}": "mdY"}
+            if d.day > 12:
+                layouts |= {f"{d.day:02d}/{d.month:02d}/{y}": "dmY", f"{d.day}-{d.month}-{y}": "dmY"}
+            days = set()
+            for text, order in layouts.items():
+                new, found = pseudonyms.replace(text, KEY)
+                assert found == {"date": 1} and len(new) == len(text)
+                assert pseudonyms.replace(new, KEY, undo=True)[0] == text
+                days.add(tuple(v for _, v in sorted(zip(order, map(int, re.split("[-./]", new)), strict=True))))
+            assert len(days) == 1
+
+
+def test_pseudonyms_of_one_phone_number_link():
+    numbers = {
+        "353861234567": ["+353 86 123 4567", "+353861234567", "+353-86-1234567", "+353 (0) 86 123 4567", "+353 (86) 123 4567"],
+        "442079460958": ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958"],
+        "15425553599": ["+1 (542) 555-3599", "+1 542 555 3599", "(542) 555-3599", "542-555-3599", "+15425553599"],
+        "79161234567": ["+7 916 123 45 67", "+79161234567"],
+    }
+    for whole, written in numbers.items():
+        code = pseudonyms.country_code(written[0])
+        got = set()
+        for text in written:
+            new, found = pseudonyms.replace(f"call {text}, please", KEY)
+            assert found == {"phone": 1} and pseudonyms.replace(new, KEY, undo=True)[0] == f"call {text}, please"
+            digits = re.sub(r"\D", "", new.replace("(0)", ""))
+            got.add(digits.removeprefix(code) if "+" in text else digits)
+            assert "+" not in text or digits.startswith(code)
+        assert len(got) == 1 and got != {whole.removeprefix(code)}
+
+
+@pytest.mark.parametrize("local", ["j\u00f6rg.m\u00fcller", "jo\u0308rg", "\u0438\u0432\u0430\u043d.\u043f", "\u738b\u5c0f\u660e", "-joe", "Jo.Doe", "a" * 60, "longlocal" * 1000, "x_y+z-1"])
+def test_pseudonyms_leave_nothing_of_a_local_part(local):
+    text = f"mail {local}@x.de, or {local}@b\u00fccher.example!"
+    new, found = pseudonyms.replace(text, KEY)
+    assert found == {"email": 2} and len(new) == len(text) and pseudonyms.replace(new, KEY, undo=True)[0] == text
+    got = new.split()[1].removesuffix("@x.de,")
+    same = sum(a == b for a, b in zip(local, got, strict=True) if a not in "._+-")
+    assert same <= max(2, len(local) // 5)
+    signs = str.maketrans("", "", "._+-")
+    assert [c in "._+-" for c in got] == [c in "._+-" for c in local] and got.translate(signs) != local.translate(signs)
+
+
+def test_pseudonyms_of_addresses_link_whatever_case_and_bullet():
+    news = [pseudonyms.replace(t, KEY)[0].lower().lstrip("-") for t in ("jo.doe@x.de", "Jo.Doe@X.de", "-jo.doe@x.de")]
+    assert len(set(news)) == 1
 
 
 @pytest.mark.parametrize("text", ["no data 12 here", "30.02.2024", "999.1.1.300", "000-12-3456", "", "v1.2.3 and 3.14"])
