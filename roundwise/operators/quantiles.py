@@ -10,30 +10,35 @@ from pyspark.sql import functions as F
 from roundwise.operators.lookups import looked_up
 
 OCTAVE_BUCKETS = 1024
-BINS = 1 << 22
-NARROWINGS = 2
+BINS = 1 << 15
+NARROWINGS = 3
+MARK_WORDS = 1 << 12
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], merged: bool = False, many_groups: bool = False) -> DataFrame:
+def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], merged: bool = False) -> DataFrame:
     """Per group: counts, mean, minimum, maximum and exact named quantiles.
 
-    Quantiles are linearly interpolated order statistics (type 7), found by counting: a
-    first pass counts rows per group and bucket of the value's magnitude, two more count
-    only the rows within the buckets that hold a wanted order statistic, each cut into
-    ``BINS`` equal bins. A bucket spans less than 2^43 neighbouring doubles, so the bins of
-    the last pass hold one value each. Only partial counts are shuffled, and no group is
-    gathered or sorted anywhere.
-
-    The plan is lazy. The buckets, at most two per quantile and group, are broadcast, which
-    is meant for the levels of a report; with ``many_groups`` they are joined by shuffle.
-    With ``merged`` equal values are merged first, by one shuffle that all passes reuse:
+    Quantiles are linearly interpolated order statistics (type 7), found by counting. A
+    first pass counts rows per group and bucket of the value's magnitude, and a second
+    reads the rows within the buckets that hold a wanted order statistic, equal values
+    merged before the shuffle. Those are narrowed ``NARROWINGS`` times to one of ``BINS``
+    equal bins. A bucket spans less than 2^43 neighbouring doubles, so the bins of the last
+    narrowing hold one value each. No group is gathered or sorted; what is sorted in one
+    task are the ``BINS`` bins of one bucket, or the buckets that one group occupies.
+
+    The plan is lazy and reads its source twice. The second pass knows the wanted buckets
+    by a bit table of fixed size (``MARK_WORDS`` numbers), whatever the number of groups:
+    with few groups next to nothing is shuffled, with very many all distinct values are.
+    The joins carry no hint, Spark picks them by the measured size of their sides and
+    splits hot buckets.
+    With ``merged`` equal values are merged first, by one shuffle that both passes reuse:
     right where values repeat much or the source is dear to compute.
     NaN counts as larger than any number, as it sorts in Spark.
     """
     names = keys or ["_all"]
     data = df.select(*(keys or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_c"))
-    if merged or many_groups:
+    if merged:
         data = data.groupBy(*names, "_v").agg(F.sum("_c").alias("_c"))
     given = F.col("_v").isNotNull()
     parts = data.groupBy(*names, _magnitude(F.col("_v")).alias("_code")).agg(
@@ -50,11 +55,15 @@ def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping
         F.min("_low").alias("minimum"),
         F.max("_high").alias("maximum"),
     )
-    known = parts.where("_code is not null").withColumn("_n", F.sum("_c").over(Window.partitionBy(*names)))
-    held = _holding(known.withColumn("_targets", _wanted(F.col("_n"), list(quantiles.values()))), names)
-    values = data.where(given)
+    # the buckets of given values; the filter names all columns of the parts, so that all
+    # their users have one plan and share its shuffle
+    known = parts.where("_nulls = 0 and _sum is not null and _low is not null and _high is not null")
+    known = known.withColumn("_n", F.sum("_c").over(Window.partitionBy(*names)))
+    held = _holding(known.withColumn("_targets", _wanted(F.col("_n"), list(quantiles.values()))), names).withColumn("_bucket", F.col("_code"))
+    values = _within_marked(data.withColumn("_bucket", _magnitude(F.col("_v"))), held, [*names, "_bucket"])
+    values = values.groupBy(*names, "_bucket", "_v").agg(F.sum("_c").alias("_c"))
     for _ in range(NARROWINGS):
-        held = _holding(_narrowed(values, held, names, many_groups), [*names, "_within"])
+        held = _holding(_narrowed(values, held, [*names, "_bucket"]), [*names, "_bucket", "_within"])
     position = [(F.col("_n") - 1) * F.lit(float(p)) for p in quantiles.values()]
     found = held.select(*names, "_n", F.col("_low").alias("_v"), F.explode("_targets").alias("_t"))
     picked = [F.max(F.when(F.col("_t.i") == i, F.col("_v"))) for i in range(2 * len(quantiles))]
@@ -69,6 +78,19 @@ def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping
     return joined.select(*keys, "n", "n_missing", "mean", "minimum", "maximum", *between)
 
 
+def _within_marked(data: DataFrame, held: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose key has the hash of a held bucket: all rows of these, few others."""
+    slot = F.pmod(F.xxhash64(*names), F.lit(64 * MARK_WORDS))
+    word, bit = F.floor(slot / 64), (slot % 64).cast("int")
+    marks = held.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    blank = held.sparkSession.range(MARK_WORDS).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = marks.unionByName(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])).scalar()
+    marked = F.call_function("shiftrightunsigned", F.get(table, word.cast("int")), bit).bitwiseAND(F.lit(1).cast("long"))
+    # times the count, so that the filter stays behind a merge that both passes share
+    return data.where(marked * F.col("_c") > 0)
+
+
 def _magnitude(v: Column) -> Column:
     """A whole number that never falls as ``v`` grows: 1024 steps between powers of two."""
     size = F.floor((F.log2(F.abs(v)) + 1075) * OCTAVE_BUCKETS)
@@ -98,16 +120,15 @@ def _holding(counted: DataFrame, within: list[str]) -> DataFrame:
     here = F.filter("_targets", lambda t: (t["k"] >= start) & (t["k"] < F.col("_upto")))
     moved = F.transform(here, lambda t: F.struct(t["i"].alias("i"), (t["k"] - start).alias("k")))
     names = [k for k in within if k != "_within"]
-    return upto.select(*names, "_n", "_low", "_high", moved.alias("_targets")).where(F.size("_targets") > 0)
+    return upto.select(*names, "_n", "_code", "_low", "_high", moved.alias("_targets")).where(F.size("_targets") > 0)
 
 
-def _narrowed(values: DataFrame, held: DataFrame, names: list[str], many_groups: bool) -> DataFrame:
-    """Counts of the rows inside the held buckets, each cut into equal bins."""
+def _narrowed(values: DataFrame, held: DataFrame, names: list[str]) -> DataFrame:
+    """Counts of the rows inside the held ranges, each cut into equal bins."""
     side = held.select(*[F.col(k).alias(f"_k_{k}") for k in names], "_n", F.col("_low").alias("_within"), F.col("_high").alias("_to"), "_targets")
-    if not many_groups:
-        side = F.broadcast(side)
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in names]
-    inside = values.join(side, [*same, F.col("_v") >= F.col("_within"), F.col("_v") <= F.col("_to")])
+    # conditions that let no filter on the value be inferred: all joins share one shuffle
+    inside = values.join(side, [*same, F.coalesce((F.col("_v") >= F.col("_within")) & (F.col("_v") <= F.col("_to")), F.lit(False))])
     part = F.try_divide(F.col("_v") - F.col("_within"), F.col("_to") - F.col("_within"))
     code = F.when(F.col("_within") == F.col("_to"), F.lit(0).cast("long")).otherwise(F.floor(part * BINS))
     return inside.groupBy(*names, "_within", code.alias("_code")).agg(

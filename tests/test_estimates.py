@@ -82,12 +82,12 @@ def skewed(spark, rows=60_000):
     return spark.range(rows).select(g.alias("g"), v.alias("v"))
 
 
-@pytest.mark.parametrize("many_groups", [False, True])
-def test_quantiles_are_exact_on_skewed_groups(spark, many_groups):
+@pytest.mark.parametrize("merged", [False, True])
+def test_quantiles_are_exact_on_skewed_groups(spark, merged):
     df = skewed(spark)
     probs = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
     names = {f"q{i}": p for i, p in enumerate(probs)}
-    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", names, many_groups=many_groups).collect()}
+    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", names, merged=merged).collect()}
     for g, values in df.toPandas().groupby("g")["v"]:
         assert (got[g]["n"], got[g]["n_missing"]) == (len(values), 0)
         assert got[g]["mean"] == pytest.approx(values.mean())
@@ -95,8 +95,8 @@ def test_quantiles_are_exact_on_skewed_groups(spark, many_groups):
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, p)
 
 
-@pytest.mark.parametrize("many_groups", [False, True])
-def test_quantiles_of_values_of_any_size(spark, many_groups):
+@pytest.mark.parametrize("merged", [False, True])
+def test_quantiles_of_values_of_any_size(spark, merged):
     """Neighbouring doubles, both signs, zeros, the smallest and the largest numbers."""
     near = [1.0]
     for _ in range(400):
@@ -108,7 +108,7 @@ def test_quantiles_of_values_of_any_size(spark, many_groups):
         "one": [3.0],
     }
     df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g string, v double")
-    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.75}, many_groups=many_groups).collect()}
+    got = {r["g"]: r for r in Q.group_summary(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 0.75}, merged=merged).collect()}
     for g, values in groups.items():
         for name, p in (("a", 0.1), ("b", 0.5), ("c", 0.75)):
             at, values = (len(values) - 1) * p, sorted(values)
