@@ -48,6 +48,9 @@ def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
     )
+    # true of every part; it names all columns, so that none is pruned for one user only
+    # and all users share one shuffle
+    parts = parts.where("(_c > 0 or _nulls > 0) and (_sum is null) = (_low is null) and (_low is null) = (_high is null)")
     stats = parts.groupBy(*names).agg(
         F.sum("_c").alias("n"),
         F.sum("_nulls").alias("n_missing"),
@@ -55,9 +58,7 @@ def group_summary(df: DataFrame, keys: list[str], value: str, quantiles: Mapping
         F.min("_low").alias("minimum"),
         F.max("_high").alias("maximum"),
     )
-    # the buckets of given values; the filter names all columns of the parts, so that all
-    # their users have one plan and share its shuffle
-    known = parts.where("_nulls = 0 and _sum is not null and _low is not null and _high is not null")
+    known = parts.where("_nulls = 0")
     known = known.withColumn("_n", F.sum("_c").over(Window.partitionBy(*names)))
     held = _holding(known.withColumn("_targets", _wanted(F.col("_n"), list(quantiles.values()))), names).withColumn("_bucket", F.col("_code"))
     values = _within_marked(data.withColumn("_bucket", _magnitude(F.col("_v"))), held, [*names, "_bucket"])

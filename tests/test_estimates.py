@@ -123,6 +123,29 @@ def test_quantiles_with_missing_key_and_no_key(spark):
     assert Q.group_summary(df, [], "v", {"m": 0.5}).first()["m"] == 2.0
 
 
+@pytest.mark.parametrize("merged,passes", [(False, 2), (True, 1)])
+def test_quantiles_read_their_source_twice_or_once(spark, merged, passes):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    df = skewed(spark).mapInArrow(counted, "g string, v double")
+    assert Q.group_summary(df, ["g"], "v", Q.QUARTILES, merged=merged).select("g", "q50").collect()
+    assert rows.value == passes * skewed(spark).count()
+
+
+def test_quantiles_of_more_groups_than_marks(spark):
+    """Every key is marked then, and all rows take the way through the shuffle."""
+    df = spark.range(3 * 64 * Q.MARK_WORDS).select((F.col("id") % (64 * Q.MARK_WORDS)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("v"))
+    got = Q.group_summary(df, ["g"], "v", Q.QUARTILES).select("g", *Q.QUARTILES)
+    want = df.groupBy("g").agg(*[F.percentile("v", p).alias(k) for k, p in Q.QUARTILES.items()])
+    assert got.count() == 64 * Q.MARK_WORDS
+    assert got.join(want.toDF("g", "a", "b", "c"), "g").where("abs(q25 - a) + abs(q50 - b) + abs(q75 - c) > 1e-9").count() == 0
+
+
 def test_histogram_counts_every_row(spark):
     df = skewed(spark).union(spark.createDataFrame([("same", 4.0), ("same", 4.0)], "g string, v double"))
     counts = Q.equal_width_counts(df, "g", "v", 7).groupBy("g").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 0, F.col("bin"))).alias("b"))
