@@ -54,6 +54,7 @@ DELETE, DOUBLE = -5.5, -5.0
 # Between single letters it is the separator that is unusual.
 APART = -3.0
 LONGEST_GAP = 3
+LONGEST_KEPT = 256
 TRAIL = ".,;:!?\"'()[]{}<>*%&#|+-_~`"
 ORNAMENT = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 SIGNS = frozenset(LOOKALIKES)
@@ -63,19 +64,30 @@ SPACED = re.compile(rf"(?<![^\W_]){ONE}(?:[\W_]{{1,{LONGEST_GAP}}}?{ONE}(?![^\W_
 RUNS = re.compile(rf"[^\w{re.escape(''.join(LOOKALIKES))}]+|_+|(.)\1*", re.S)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def letters_of(piece: str) -> tuple[int, ...]:
+    return tuple(symbols(piece)[1:-1].tolist())
+
+
 class Reader:
     """Restores obfuscated text under a character trigram table (log probabilities)."""
 
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
-        self.read = functools.lru_cache(maxsize=1 << 17)(self._read)
+        self.cells = memoryview(np.ascontiguousarray(table).ravel())
+        self.read_short = functools.lru_cache(maxsize=1 << 17)(self._read)
+
+    def read(self, token: str) -> tuple[float, str]:
+        return self.read_short(token) if len(token) <= LONGEST_KEPT else self._read(token)
 
     def _read(self, token: str) -> tuple[float, str]:
         """The likeliest letters behind a token and their log probability, boundaries
-        included: exact Viterbi over the lattice, with the last two symbols as state."""
+        included: exact Viterbi over the lattice, with the last two symbols as state. A
+        state points back to the one it came from, so time and memory grow with the token."""
         runs = [(m[1] or m[0], len(m[0]), m[1] is None) for m in RUNS.finditer(token.lower())]
         single = [not gap and n == 1 and (i == 0 or runs[i - 1][2]) and (i + 1 == len(runs) or runs[i + 1][2]) for i, (_, n, gap) in enumerate(runs)]
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        cells = self.cells
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, (c, n, gap) in enumerate(runs):
             if gap:
                 inner = 0 < i < len(runs) - 1
@@ -91,18 +103,23 @@ class Reader:
                 options.append((c, DOUBLE))
             for other in LOOKALIKES.get(c, ""):
                 options += [(other * k, CHANGE * (1 if k == n else 1.5)) for k in {1, min(n, 2)}]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for piece, cost in options:
-                coded = [0] * bool(piece) if gap else [int(x) for x in symbols(piece)[1:-1]]
-                for (a, b), (score, text) in states.items():
-                    s, p, q = score + cost, a, b
+                coded = (0,) * bool(piece) if gap else letters_of(piece)
+                for (p, q), (score, back) in states.items():
+                    s = score + cost
                     for x in coded:
-                        s += self.table[p, q, x]
+                        s += cells[(p * SYMBOLS + q) * SYMBOLS + x]
                         p, q = q, x
                     if (p, q) not in after or s > after[p, q][0]:
-                        after[p, q] = (s, text + piece)
+                        after[p, q] = (s, (back, piece))
             states = after
-        return max((score + self.table[a, b, 0], text) for (a, b), (score, text) in states.items())
+        score, back = max(((score + cells[(p * SYMBOLS + q) * SYMBOLS], back) for (p, q), (score, back) in states.items()), key=lambda x: x[0])
+        pieces = []
+        while back:
+            back, piece = back
+            pieces.append(piece)
+        return score, "".join(reversed(pieces))
 
     def token(self, token: str) -> str:
         core = ORNAMENT.sub("", token.strip(TRAIL))

@@ -205,6 +205,53 @@ def test_viterbi_is_the_best_path(reader):
     assert word == best[1] and abs(score - best[0]) < 1e-3
 
 
+@pytest.mark.parametrize("token", ["s1llyy", "ii  d", "i.d!!t", "a  b..c", "heeey $$o", "x - 0 - y", "oo0", ".a b.", "a     b", "a_b", "11 1", "\u00e9\u00e93"])
+def test_viterbi_is_the_best_path_with_gaps_and_shrinks(reader, token):
+    """All readings of a token, written out run by run and scored one by one."""
+    import itertools
+
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(token, key=lambda c: c if c.isalnum() or c in toxicity.LOOKALIKES else "_" if c == "_" else " ")]
+    starts = list(itertools.accumulate((n for _, n in runs), initial=0))
+    sides = [None if c in " _" else n for c, n in runs]
+    alone = [sides[i] == 1 and all(sides[k] is None for k in (i - 1, i + 1) if 0 <= k < len(runs)) for i in range(len(runs))]
+    options = []
+    for i, (c, n) in enumerate(runs):
+        own = []
+        if sides[i] is None:
+            between = 0 < i < len(runs) - 1
+            spelled = between and alone[i - 1] and alone[i + 1]
+            own.append((token[starts[i] : starts[i] + n], toxicity.APART if spelled else 0.0, [0]))
+            if between and n <= toxicity.LONGEST_GAP:
+                own.append(("", toxicity.JOIN if spelled else toxicity.DELETE, []))
+        else:
+            code = {x: toxicity.symbols(x).tolist()[1:-1] for x in c + toxicity.LOOKALIKES.get(c, "")}
+            own.append((c * n, toxicity.KEEP if c in toxicity.SIGNS else 0.0, code[c] * n))
+            if n == 2:
+                own.append((c, toxicity.SHRINK if c in toxicity.SIGNS else toxicity.DOUBLE, code[c]))
+            if n > 2:
+                own += [(c * k, toxicity.SHRINK, code[c] * k) for k in (1, 2)]
+            for y in toxicity.LOOKALIKES.get(c, ""):
+                own += [(y * k, toxicity.CHANGE * (1 if k == n else 1.5), code[y] * k) for k in {1, min(n, 2)}]
+        options.append(own)
+    readings = {}
+    for path in itertools.product(*options):
+        sym = [0, 0, *itertools.chain(*(codes for _, _, codes in path)), 0]
+        value = sum(cost for _, cost, _ in path) + sum(float(reader.table[a, b, c]) for a, b, c in zip(sym, sym[1:], sym[2:], strict=False))
+        text = "".join(p for p, _, _ in path)
+        readings[text] = max(value, readings.get(text, -np.inf))
+    score, text = reader.read(token)
+    assert score == pytest.approx(max(readings.values()), abs=1e-6) and readings[text] == pytest.approx(score, abs=1e-6)
+
+
+def test_long_spelled_text_takes_linear_time(reader):
+    import time
+
+    start = time.perf_counter()
+    out = reader.restore("i d i o t " * 40_000)
+    assert time.perf_counter() - start < 6 and len(out) <= 400_000
+    assert reader.read_short.cache_info().currsize < 1 << 17
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
