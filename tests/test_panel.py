@@ -193,3 +193,16 @@ def test_histograms_list_empty_bins(spark):
     rows = [(r["key"], r["bin"], r["n"]) for r in Q.equal_width_counts(df, "key", "v", 4).collect()]
     assert sorted(r for r in rows if r[0] == "a") == [("a", 0, 1), ("a", 1, 0), ("a", 2, 0), ("a", 3, 1)]
     assert sum(n for k, _, n in rows if k == "b") == 1
+
+
+def test_subjects_without_birth_date_are_verified(spark, tmp_path):
+    """Being in the eligibility table is enough; 7 has no birth date there, 8 no row."""
+    from roundwise.plans import catalogue
+
+    orders = [(1, 7, "F", 10.0, "1996-02-01", "5-LOW"), (2, 7, "F", 10.0, "1996-05-01", "5-LOW"), (3, 9, "F", 10.0, "1996-02-01", "5-LOW"), (4, 8, "F", 10.0, "1996-02-01", "5-LOW")]
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    spark.createDataFrame(orders, names).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    people = [(7, 1, 5.0, "BUILDING"), (9, 1, 5.0, "BUILDING")]
+    spark.createDataFrame(people, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalogue.QUERIES["status_of_verified"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(5, 2, 2), (6, 1, 1)]
