@@ -77,6 +77,37 @@ def test_demographic_joins_reuse_the_subject_partitioning(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4
 
 
+def test_joined_panel_is_not_sorted_again(spark):
+    """The joins leave the rows in order of subject and round; only person-time, which goes
+    by date, sorts the joined rows."""
+    tune(spark)
+    paths = [sinks.write_table(make(spark, SF), shared_folder(spark)) for make in (X.status_visits, X.eligibility, X.questionnaire)]
+    schemas = (readers.STATUS_VISITS, readers.ELIGIBILITY, readers.QUESTIONNAIRE)
+    tables = [readers.read_table(spark, p, s) for p, s in zip(paths, schemas)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(spark, C.analysis_panel(*tables, X.SETTINGS))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    above_joins = plan[: plan.index("SortMergeJoin")]
+    assert len(re.findall(r"\bSort \[", above_joins)) == 1 and "visit_day" in re.search(r"\bSort \[(.*?)\]", above_joins)[1]
+
+
+def test_tasks_follow_bytes_and_not_the_number_of_partitions(spark):
+    """A session with one shuffle partition does not give a panel's task all the rows."""
+    tune(spark)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = spark.range(1_500_000).select(F.md5(F.col("id").cast("string")).alias("research_id"), F.lit(1).alias("round"))
+        again = F.row_number().over(Window.partitionBy("research_id").orderBy("round"))
+        sizes = rows.withColumn("n", again).where("n = 1").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert sum(r["count"] for r in sizes) == 1_500_000 and max(r["count"] for r in sizes) < 750_000
+
+
 @pytest.mark.parametrize("name", ["crude_cases_py", "parameter_quantiles", "smooth_curves", "contingency_3way", "ingest_form", "infections_averted"])
 def test_no_cross_join_and_pruned_scans(spark, name):
     plan = plan_of(spark, contract.queries()[name](spark, SF))
