@@ -49,10 +49,12 @@ def duplicate_person_rounds(df: DataFrame, id: str = ID, round: str = ROUND) ->
 
 def refuse_duplicates(panel: DataFrame, id: str = ID, round: str = ROUND) -> DataFrame:
     """The same rows; fails on two of one subject and round (no shuffle of its own where
-    other windows over the subject follow)."""
+    other windows over the subject follow). No column is rewritten, so rows that a join by
+    subject and round has put in order are not sorted again for those windows."""
     again = F.lag(round).over(_history(id, round)) == F.col(round)
     alarm = F.raise_error(F.lit("two rows of one subject and round"))
-    return panel.withColumn(round, F.when(again, alarm.cast(panel.schema[round].dataType)).otherwise(F.col(round)))
+    checked = panel.withColumn("_again", again)
+    return checked.where(F.when(F.col("_again"), alarm.cast("boolean")).otherwise(F.lit(True))).drop("_again")
 
 
 def complete_rounds(visits: DataFrame, id: str = ID, round: str = ROUND) -> DataFrame:
