@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from roundwise.operators import demographics as D
 from roundwise.operators import estimates as E
 from roundwise.plans import cohort as C
 from roundwise.plans import fixtures as X
@@ -94,6 +95,22 @@ def test_joined_panel_is_not_sorted_again(spark):
     assert len(re.findall(r"\bSort \[", above_joins)) == 1 and "visit_day" in re.search(r"\bSort \[(.*?)\]", above_joins)[1]
 
 
+def test_flow_panel_is_sorted_once_after_its_joins(spark):
+    """Windows over the joined rows and the counts of the flow use the order of the joins."""
+    tune(spark)
+    paths = [sinks.write_table(make(spark, SF), shared_folder(spark)) for make in (X.status_visits, X.eligibility, X.questionnaire)]
+    schemas = (readers.STATUS_VISITS, readers.ELIGIBILITY, readers.QUESTIONNAIRE)
+    visits, eligible, answers = [readers.read_table(spark, p, s) for p, s in zip(paths, schemas)]
+    panel = D.attach_demographics(C.event_panel(visits, X.SETTINGS), D.clean_eligibility(eligible), D.clean_questionnaire(answers))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(spark, E.observed_flow(panel, {"all": F.lit(True)})[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Sort [" not in plan[: plan.index("SortMergeJoin")]
+
+
 def test_tasks_follow_bytes_and_not_the_number_of_partitions(spark):
     """A session with one shuffle partition does not give a panel's task all the rows."""
     tune(spark)
