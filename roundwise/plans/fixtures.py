@@ -36,6 +36,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _STATES = ["F", "O", "P"]
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _KEY_SPACE = 1 << 44  # order keys stay below this
+_DEALT = 200  # so many partitions at most are written row by row, without sorting them in memory
 _QUARTER = "(year(o_orderdate) - 1995) * 4 + quarter(o_orderdate)"
 _BORN = "date_add(DATE '1945-01-01', CAST((c_custkey * 37) % 14000 AS INT))"
 
@@ -47,6 +48,10 @@ def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders are summed per quarter before the running sums, so a customer with very
     many orders costs the window no more rows than there are quarters. All aggregation
     buffers are plain numbers, which keeps the aggregation hash-based.
+
+    Orders are dealt by customer and quarter before they are summed: a file of one row
+    group is read by one task, which would else hold all of its customers and quarters
+    at once. A raw row is also narrower than the buffers it would travel in.
     """
     labels = [codes.level_code("o_orderstatus", _STATES).alias("s"), codes.level_code("o_orderpriority", _PRIORITIES).alias("p")]
     orders = read(spark, sf_dir, "orders").select("*", *labels).selectExpr(
@@ -58,7 +63,8 @@ def _survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first = ["min(place) AS place", "min_by(code, place) AS code", "min_by(cents, place) AS cents"]
     totals = ["sum(cents) AS total", "count(1) AS n_orders"]
-    quarters = orders.groupBy("id", "rnd").agg(*map(F.expr, first + totals))
+    dealt = orders.hint("rebalance", _DEALT, "id", "rnd")
+    quarters = dealt.groupBy("id", "rnd").agg(*map(F.expr, first + totals))
     before = "OVER (PARTITION BY study_id ORDER BY rnd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return quarters.selectExpr("*", "CAST(id AS STRING) AS study_id").selectExpr(
         "study_id",

@@ -125,6 +125,36 @@ def test_tasks_follow_bytes_and_not_the_number_of_partitions(spark):
     assert sum(r["count"] for r in sizes) == 1_500_000 and max(r["count"] for r in sizes) < 750_000
 
 
+def test_one_row_group_of_orders_is_summed_in_parts(spark, tmp_path):
+    """No task sums up all customers and quarters of a file that it reads alone; a customer
+    with a third of the orders, missing customers and orders that come twice count in full."""
+    tune(spark)
+    number = F.col("id")
+    orders = spark.range(30_000, numPartitions=1).select(
+        F.when(number % 5000 == 1, 7).otherwise(number).cast("bigint").alias("o_orderkey"),
+        F.when(number % 3 == 0, 1).when(number % 100 != 2, number % 4001).cast("bigint").alias("o_custkey"),
+        F.lit("F").alias("o_orderstatus"),
+        F.lit(1.25).alias("o_totalprice"),
+        F.expr("TIMESTAMP_NTZ'1996-01-01 00:00:00' + make_dt_interval(CAST(id % 700 AS INT))").alias("o_orderdate"),
+        F.lit("5-LOW").alias("o_orderpriority"),
+    )
+    orders.union(orders.where("id % 1000 = 5").drop("id")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    survey = X._survey(spark, str(tmp_path))
+    plan = plan_of(spark, survey)
+    assert re.search(r"HashAggregate\(.*\n.*HashAggregate\(.*partial_.*\n.*Exchange hashpartitioning\(id#\w+, rnd#\w+, ", plan)
+    assert "Aggregate" not in plan[plan.index("REBALANCE") :]
+    got = sorted(((r.id, r.rnd, str(r.visit_date), r.key, r.cum, r.ordinal) for r in survey.collect()), key=repr)
+    rows = spark.read.parquet(f"{tmp_path}/orders.parquet").selectExpr("o_custkey", f"{X._QUARTER}", "CAST(o_orderdate AS DATE)", "o_orderkey").collect()
+    want, firsts, counts = [], {}, {}
+    for i, q, day, key in rows:
+        firsts[i, q] = min(firsts.get((i, q), (day, key)), (day, key))
+        counts[i, q] = counts.get((i, q), 0) + 1
+    for (i, q), (day, key) in firsts.items():
+        before = sum(counts.get((i, p), 0) for p in range(q))
+        want.append((i, q, str(day), key, 125 * (before + 1), before + 1))
+    assert len(rows) == 30_000 + 30 and got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", ["crude_cases_py", "parameter_quantiles", "smooth_curves", "contingency_3way", "ingest_form", "infections_averted"])
 def test_no_cross_join_and_pruned_scans(spark, name):
     plan = plan_of(spark, contract.queries()[name](spark, SF))
